@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, token_counts, token_files
+from . import bpe_codec, language_id, packing, quality, token_counts, token_files
 from .scratch import new_path
 
 
@@ -30,6 +30,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,11 +42,17 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    return language_id.identify(docs, model).select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, out, ids=False).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op6_bpe_codec, op9_token_files)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_rules, op6_bpe_codec, op7_language_id, op9_token_files)}
+SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
