@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkCache
+from .chunks import CACHE_ENTRIES, Chunks, Remembered, byte_table, shown, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
-def byte_table() -> list[str]:
-    """The printable character that stands for each byte: itself where it prints, else the next one from U+0100."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in file if x.strip())}
@@ -57,10 +51,10 @@ class Codec:
         from tokenizers.models import BPE
 
         ranks = read_ranks(path)
-        self.chars = byte_table()
-        shown = {token: "".join([self.chars[b] for b in token]) for token in ranks}
-        merges = [(shown[a], shown[b]) for token in sorted(ranks, key=ranks.__getitem__) for a, b in splits_of(token, ranks)]
-        self.model = Tokenizer(BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        chars = byte_table()
+        named = {token: "".join([chars[b] for b in token]) for token in ranks}
+        merges = [(named[a], named[b]) for token in sorted(ranks, key=ranks.__getitem__) for a, b in splits_of(token, ranks)]
+        self.model = Tokenizer(BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.find = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -68,8 +62,8 @@ class Codec:
         self.sizes = np.array([len(x) for x in self.tokens], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.shown = {chr(b): c for b, c in enumerate(self.chars)}
-        self.cache = ChunkCache(self._chunks)
+        self.pieces = Remembered(self._encode, CACHE_ENTRIES // 4)
+        self.chunks = Chunks(self._chunks, "<i4")
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Codec":
@@ -77,21 +71,18 @@ class Codec:
             cls._by_key[path, pattern] = cls(path, pattern)
         return cls._by_key[path, pattern]
 
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        tokenize = self.model.model.tokenize
+        return [array("i", [t.id for t in tokenize(shown(x))]).tobytes() for x in pieces]
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        pieces: list[str] = []
-        ends: list[int] = []
-        show = str.maketrans(self.shown)
-        for chunk in chunks:
-            pieces.extend(x.encode().decode("latin-1").translate(show) for x in self.find(chunk))
-            ends.append(len(pieces))
-        ids: list[bytes] = []
-        for lo in range(0, len(pieces), 20_000):
-            ids.extend(np.array(x.ids, "<i4").tobytes() for x in self.model.encode_batch_fast(pieces[lo : lo + 20_000], add_special_tokens=False))
-        return [b"".join(ids[lo:hi]) for lo, hi in zip([0, *ends], ends)]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        for parts in self.cache.results(x or "" for x in texts):
-            yield np.frombuffer(b"".join(parts), "<i4")
+        found = [self.find(x) for x in chunks]
+        distinct = list(dict.fromkeys(p for ps in found for p in ps))
+        known = dict(zip(distinct, self.pieces(distinct)))
+        return [b"".join([known[p] for p in ps]) for ps in found]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return self.chunks(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all ids end to end; a character whose bytes lie in several tokens comes out whole."""
@@ -130,11 +121,10 @@ def encode(text: Column | str, path: str, pattern: str, offsets: bool = False) -
         codec = Codec.of(path, pattern)
         for batch in batches:
             parts = []
-            for lo in range(0, len(batch), 1000):
-                texts = [x or "" for x in batch.slice(lo, 1000).to_pylist()]
+            for texts in slices(batch):
                 ids = list(codec.encode(texts))
                 if offsets:
-                    spans = [codec.offsets(t, i) for t, i in zip(texts, ids)]
+                    spans = [codec.offsets(t or "", i) for t, i in zip(texts.to_pylist(), ids)]
                     parts.append(pa.StructArray.from_arrays([as_list(ids), as_list([s for s, _ in spans]), as_list([e for _, e in spans])], ["ids", "starts", "ends"]))
                 else:
                     parts.append(as_list(ids))

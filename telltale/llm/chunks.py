@@ -9,17 +9,24 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _ODD_SPACE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Chunks whose result a worker remembers. The first seen stay, which are mostly the frequent ones.
-CACHE_ENTRIES = 300_000
-#: Characters of text handled at a time.
-SLICE_CHARS = 2_000_000
+#: Chunks whose result a worker remembers; the first seen stay, which are mostly the frequent ones.
+CACHE_ENTRIES = 400_000
+#: Bytes of text handled at a time; a longer text is one slice.
+SLICE_BYTES = 6_000_000
+#: Below U+0250, but for one capital whose lower case is two characters, all libraries agree about letters and case.
+PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
 
 def cut(text: str) -> list[str]:
@@ -27,47 +34,121 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
-class ChunkCache:
-    """Remembers a result for each chunk; ``compute`` gets the unknown chunks of a slice at once."""
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of an array of about ``SLICE_BYTES`` each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+class Remembered:
+    """Results by key; ``compute`` gets all unknown keys of a request at once."""
 
     def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
-        self.compute, self.entries = compute, entries
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
-
-    def _filled(self, kept: dict, wanted: set[str], prefix: str) -> dict:
-        missing = [x for x in wanted if x not in kept]
-        if not missing:
-            return kept
-        found = dict(zip(missing, self.compute([prefix + x for x in missing]), strict=True))
-        if len(kept) + len(found) <= self.entries:
-            kept.update(found)
-            return kept
-        if len(kept) < self.entries:
-            for key in missing[: self.entries - len(kept)]:
-                kept[key] = found[key]
-        return {x: kept[x] if x in kept else found[x] for x in wanted}
-
-    def results(self, texts: Iterable[str]) -> Iterable[list]:
-        """For each text the results of its chunks in order."""
-        held, size = [], 0
-        for text in texts:
-            held.append(cut(text))
-            size += len(text)
-            if size >= SLICE_CHARS:
-                yield from self._of(held)
-                held, size = [], 0
-        yield from self._of(held)
-
-    def _of(self, held: list[list[str]]) -> Iterable[list]:
-        later: set[str] = set()
-        for chunks in held:
-            later.update(chunks[1:])
-        first_by = self._filled(self.first, {x[0] for x in held}, "")
-        later_by = self._filled(self.later, later, " ")
-        get = later_by.__getitem__
-        for chunks in held:
-            yield [first_by[chunks[0]], *map(get, chunks[1:])]
+        self.compute, self.entries, self.known = compute, entries, {}
+
+    def __call__(self, keys: list[str]) -> list:
+        """The results of distinct keys."""
+        found = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            asked = [keys[i] for i in missing]
+            results = self.compute(asked)
+            for i, result in zip(missing, results, strict=True):
+                found[i] = result
+            room = max(0, self.entries - len(self.known))
+            self.known.update(zip(asked[:room], results[:room]))
+        return found
+
+
+_EDGE_SPACE = r"^$|^[\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}]$"
+
+
+class Chunks:
+    """Numbers for each text of an array: those of its chunks, end to end.
+
+    ``compute`` gives each of a list of chunks its numbers as bytes of ``kind``. Texts are split and their chunks numbered
+    by Arrow, so only distinct chunks become Python strings. A full stop or comma after a letter is a chunk of its own;
+    with ``lower``, chunks of letters alone are the same whatever the case of their ASCII letters.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], kind: str = "<u4", lower: bool = False):
+        self.kind, self.size, self.lower = np.dtype(kind), np.dtype(kind).itemsize, lower
+        self.first = Remembered(compute, CACHE_ENTRIES // 10)
+        self.later = Remembered(lambda keys: compute([" " + x for x in keys]))
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for part in slices(texts):
+            yield from self._slice(part)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The stem's number of each word, the stems, and what follows the stem: 0 nothing, 1 a full stop, 2 a comma."""
+        stem = pc.utf8_rtrim(words, characters=".,")
+        cut_off = pc.and_(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stem)), 1), pc.match_substring_regex(stem, r"\p{L}$"))
+        tail = np.where(cut_off.to_numpy(zero_copy_only=False), np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
+        stem = pc.if_else(cut_off, stem, words)
+        if self.lower:
+            stem = pc.if_else(pc.match_substring_regex(stem, r"^\p{L}+$"), pc.ascii_lower(stem), stem)
+        coded = stem.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), tail
+
+    def _slice(self, part: pa.Array) -> Iterator[np.ndarray]:
+        lists = pc.split_pattern(pc.fill_null(part.cast(pa.string()), ""), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        odd_word = pc.match_substring_regex(words, _EDGE_SPACE).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(odd_word[at], offsets[:-1])
+        leading = np.zeros(len(at), bool)
+        leading[offsets[:-1]] = True
+        used = np.flatnonzero((np.bincount(at[~leading], minlength=len(words)) > 0) & ~odd_word)
+        first_at, first_place = np.unique(at[offsets[:-1]][~odd], return_inverse=True)
+        stem_of, stems, tail = self._words(words)
+        after = [b"", *self.first([".", ","])]
+        table: list[bytes] = []
+        for remembered, wanted in ((self.later, used), (self.first, first_at)):
+            distinct, where = np.unique(stem_of[wanted], return_inverse=True)
+            found = remembered([stems[i] for i in distinct.tolist()])
+            table += [found[i] + after[t] for i, t in zip(where.tolist(), tail[wanted].tolist())]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.size
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), self.kind)
+        place = np.full(len(words), -1, np.int64)
+        place[used] = np.arange(len(used))
+        code = place[at]
+        code[offsets[:-1][~odd]] = len(used) + first_place
+        code[np.repeat(odd, np.diff(offsets))] = -1
+        lengths = np.where(code < 0, 0, sizes[code]) if len(sizes) else np.zeros(len(code), np.int64)
+        ends = np.cumsum(lengths)
+        source = np.repeat((starts[code] if len(starts) else code) - (ends - lengths), lengths)
+        numbers = flat[source + np.arange(len(source))]
+        bounds = np.concatenate(([0], ends[offsets[1:] - 1])) if len(ends) else [0]
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield self._one(part[i].as_py() or "") if odd[i] else numbers[a:b]
+
+    def _one(self, text: str) -> np.ndarray:
+        chunks = cut(text)
+        later = sorted(set(chunks[1:]))
+        known = dict(zip(later, self.later(later)))
+        return np.frombuffer(b"".join([self.first(chunks[:1])[0], *map(known.__getitem__, chunks[1:])]), self.kind)
+
+
+def byte_table() -> list[str]:
+    """The printable character that stands for each byte: itself where it prints, else the next one from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+_SHOWN = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
+
+
+def shown(text: str) -> str:
+    """The text's bytes as byte-level models see them."""
+    return text.encode().decode("latin-1").translate(_SHOWN)
 
 
 _LOADED: dict[str, object] = {}
@@ -83,23 +164,30 @@ def library_tokenizer(path: str):
 
 
 class LibraryIds:
-    """Ids of texts by the tokenizers library, as little-endian bytes of 4-byte unsigned ids."""
+    """Ids of texts by the tokenizers library, as unsigned 4-byte numbers.
+
+    Unknown chunks are split as the file's own pattern splits them, and the library's model encodes the unknown pre-tokens
+    among them; a chunk that may hold a special token, or characters about which libraries differ, goes through all of
+    the library's own steps.
+    """
 
     _by_path: dict[str, "LibraryIds"] = {}
 
     def __init__(self, path: str):
-        import numpy as np
-
-        tokenizer = library_tokenizer(path)
+        import json
 
-        def compute(chunks: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for lo in range(0, len(chunks), 20_000):
-                encoded = tokenizer.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)
-                out.extend(np.array(x.ids, "<u4").tobytes() for x in encoded)
-            return out
+        import regex
 
-        self.cache = ChunkCache(compute)
+        self.tokenizer = library_tokenizer(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec["pre_tokenizer"]]
+        pattern = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), None)
+        self.lower = "Lowercase" in [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.find = regex.compile(pattern or BYTE_LEVEL).findall
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.pieces = Remembered(self._encode, CACHE_ENTRIES // 4)
+        self.chunks = Chunks(self._chunks, lower=self.lower)
 
     @classmethod
     def of(cls, path: str) -> "LibraryIds":
@@ -107,6 +195,30 @@ class LibraryIds:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def __call__(self, texts: Iterable[str]) -> Iterable[bytes]:
-        for parts in self.cache.results(texts):
-            yield b"".join(parts)
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(shown(x))]).tobytes() for x in pieces]
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(chunks), 20_000):
+            out.extend(array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False))
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        letters = [i for i, x in enumerate(chunks) if x[x[:1] == " " :].isalpha() and PLAIN(x)]
+        cased = [chunks[i].lower().lstrip(" ") if self.lower else chunks[i] for i in letters]
+        out = dict(zip(letters, self._encode(cased)))
+        whole = [i for i, x in enumerate(chunks) if i not in out and (not PLAIN(x) or any(s in x for s in self.special))]
+        out.update(zip(whole, self._whole([chunks[i] for i in whole])))
+        split = {i: self.find(x.lower() if self.lower else x) for i, x in enumerate(chunks) if i not in out}
+        distinct = list(dict.fromkeys(p for ps in split.values() for p in ps))
+        known = dict(zip(distinct, self.pieces(distinct)))
+        return [out[i] if i in out else b"".join([known[p] for p in split[i]]) for i in range(len(chunks))]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return self.chunks(texts)
+
+
+#: Fixed value: how byte-level files split text that name no pattern.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -41,13 +41,12 @@ def pieces_of(text: Column | str, path: str, end_id: int, capacity: int, keep_id
         ids_of, kind, end = LibraryIds.of(path), to_arrow_type(PIECE), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ends, rows = [0], []
-            for lo in range(0, len(batch), 1000):
-                for raw in ids_of(x or "" for x in batch.slice(lo, 1000).to_pylist()):
-                    raw += end
-                    for i, (start, length) in enumerate(cut_points(len(raw) // 4, capacity)):
-                        own = raw[4 * start : 4 * (start + length)]
-                        rows.append((i, start, length, zlib.crc32(own), np.frombuffer(own, "<u4") if keep_ids else None))
-                    ends.append(len(rows))
+            for ids in ids_of(batch):
+                raw = ids.tobytes() + end
+                for i, (start, length) in enumerate(cut_points(len(raw) // 4, capacity)):
+                    own = raw[4 * start : 4 * (start + length)]
+                    rows.append((i, start, length, zlib.crc32(own), np.frombuffer(own, "<u4") if keep_ids else None))
+                ends.append(len(rows))
             columns = list(zip(*rows)) or [[]] * 5
             arrays = [pa.array(c, f.type) for c, f in zip(columns, kind)]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, packing, quality, token_counts, token_files
+from . import bpe_codec, language_id, near_dedup, packing, quality, token_counts, token_files
 from .scratch import new_path
 
 
@@ -54,5 +54,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, out, ids=False).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_rules, op6_bpe_codec, op7_language_id, op9_token_files)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_rules, op6_bpe_codec, op7_language_id, op9_token_files, op10_near_dedup)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}

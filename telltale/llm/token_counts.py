@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkCache, library_tokenizer
+from .chunks import PLAIN, Chunks, library_tokenizer, shown
 
 NO_RANK = np.iinfo(np.int32).max
 #: Pre-tokens merged together: bounds the arrays of a round.
@@ -99,7 +99,7 @@ class Counter:
         self.table = RankTable(path)
         self.pre = library_tokenizer(path).pre_tokenizer
         self.special = re.compile("|".join(map(re.escape, self.table.special))) if self.table.special else None
-        self.cache = ChunkCache(self._chunks)
+        self.chunks = Chunks(self._chunks, "<i4")
 
     @classmethod
     def of(cls, path: str) -> "Counter":
@@ -107,12 +107,16 @@ class Counter:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _chunks(self, chunks: list[str]) -> list[int]:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         counts = np.zeros(len(chunks), np.int64)
         pieces: list[str] = []
         owner: list[int] = []
         split = self.pre.pre_tokenize_str
         for i, chunk in enumerate(chunks):
+            if chunk[chunk[:1] == " " :].isalpha() and PLAIN(chunk):
+                pieces.append(shown(chunk))
+                owner.append(i)
+                continue
             parts = [chunk]
             if self.special and self.special.search(chunk):
                 counts[i] = len(self.special.findall(chunk))
@@ -127,10 +131,11 @@ class Counter:
             lengths = np.fromiter(map(len, some), np.int64, len(some))
             found = survivors(self.table.symbols[points], lengths, self.table)
             np.add.at(counts, np.array(owner[lo : lo + SEQUENCES], np.int64), found)
-        return counts.tolist()
+        raw = counts.astype("<i4").tobytes()
+        return [raw[4 * i : 4 * i + 4] for i in range(len(chunks))]
 
-    def __call__(self, texts: list[str | None]) -> list[int]:
-        return [sum(x) for x in self.cache.results(x or "" for x in texts)]
+    def __call__(self, texts: pa.Array) -> list[int]:
+        return [int(x.sum()) for x in self.chunks(texts)]
 
 
 def token_count(text: Column | str, path: str) -> Column:
@@ -143,10 +148,7 @@ def token_count(text: Column | str, path: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter.of(path)
         for batch in batches:
-            out: list[int] = []
-            for lo in range(0, len(batch), 1000):
-                out.extend(counter(batch.slice(lo, 1000).to_pylist()))
-            yield pa.array(out, pa.int64())
+            yield pa.array(counter(batch), pa.int64())
 
     return count(F.col(text) if isinstance(text, str) else text)
 

@@ -2,7 +2,7 @@
 
 Ids are replaced by their rank in the corpus, frequent ones first, so most take one byte. Of each rank two bits of a
 control byte hold its length in bytes, less one, four ranks to a control byte; the bytes themselves, low ones first,
-lie in a stream of their own. A document starts at a control byte. Blocks of documents are the rows of Parquet shards
+lie in a stream of their own. Blocks of documents are the rows of Parquet shards
 in ascending order of the key, written by Spark's committer, so a lost executor leaves no half-written file; beside
 them lie the vocabulary (rank, id) and the manifest (shard, ids before it).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import LibraryIds
+from .chunks import LibraryIds, library_tokenizer
 from .scratch import partitions, written
 
 #: Lengths of the four values of each control byte.
@@ -53,31 +53,35 @@ def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def id_kind(path: str) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    return "<u2" if library_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def tokenised(df: DataFrame, path: str, end_id: int, key: str, text: str, tag: str) -> DataFrame:
-    """A written table of ``_key``, ``_n`` and ``_ids`` (2-byte ids where the vocabulary allows, else 4-byte)."""
+    """A written table of ``_key`` and ``_ids`` (of ``id_kind``)."""
+    kind = id_kind(path)
 
     @F.arrow_udf(T.BinaryType())
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids_of, end = LibraryIds.of(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = LibraryIds.of(path), np.array([end_id], kind).tobytes()
         for batch in batches:
-            out = []
-            for lo in range(0, len(batch), 1000):
-                out.extend(raw + end for raw in ids_of(x or "" for x in batch.slice(lo, 1000).to_pylist()))
-            yield pa.array(out, pa.binary())
+            yield pa.array([x.astype(kind).tobytes() + end for x in ids_of(batch)], pa.binary())
 
     return written(df.select(F.col(key).alias("_key"), ids(F.col(text)).alias("_ids")), "ids", tag)
 
 
-def frequencies(table: DataFrame) -> np.ndarray:
+def frequencies(table: DataFrame, kind: str) -> np.ndarray:
     """Ids by descending count, ties to the smaller id. The driver gets a row for each id of the vocabulary at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total[: len(found)] += found
+            for lo in range(0, batch.num_rows, 1000):
+                found = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(lo, 1000).to_pylist()), kind))
+                if len(found) > len(total):
+                    total = np.pad(total, (0, len(found) - len(total)))
+                total[: len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -92,51 +96,44 @@ def write(df: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id",
     ascending order of ``key``, null keys first, rows of equal keys in the order of their ids. An empty table gives an
     empty folder of the same schema.
     """
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, id_kind(path)
     ids = tokenised(df, path, end_id, key, text, tag)
-    by_rank = frequencies(ids)
+    by_rank = frequencies(ids, kind)
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{out}/vocabulary")
     ranks = np.zeros(int(by_rank.max(initial=0)) + 1, "<u4")
     ranks[by_rank] = np.arange(len(by_rank))
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
-    coded = T.StructType([T.StructField("n", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
-
-    @F.arrow_udf(coded)
-    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = [(len(x) // 4, *compress(shared.value[np.frombuffer(x, "<u4")])) for x in batch.to_pylist()]
-            n, control, data = list(zip(*rows)) or [[]] * 3
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["n", "control", "data"])
-
-    kind = ids.schema["_key"].dataType
-    block = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
+    key_kind = ids.schema["_key"].dataType
+    block = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("keys", T.ArrayType(key_kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, shard = to_arrow_schema(block), TaskContext.get().partitionId()
-        number, before, rows, size = 0, 0, [], 0
+        schema, shard, width = to_arrow_schema(block), TaskContext.get().partitionId(), np.dtype(kind).itemsize
+        number, before, keys, held, size = 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, sizes, control, data = zip(*rows)
-            values = [[shard], [number], [before], [list(keys)], [list(sizes)], [b"".join(control)], [b"".join(data)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+            values = np.frombuffer(b"".join(held), kind)
+            fields = [shard, number, before, keys, [len(x) // width for x in held], len(values), *compress(shared.value[values])]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(fields, schema)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(row)
-                size += row[1]
-                if size >= BLOCK_TOKENS or len(rows) >= 4096:
-                    yield flush()
-                    number, before, rows, size = number + 1, before + size, [], 0
-        if rows:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    keys.append(k)
+                    held.append(x)
+                    size += len(x) // width
+                    if size >= BLOCK_TOKENS or len(keys) >= 4096:
+                        yield flush()
+                        number, before, keys, held, size = number + 1, before + size, [], [], 0
+        if keys:
             yield flush()
 
-    small = ids.select("_key", code(F.col("_ids")).alias("_c")).select("_key", "_c.n", "_c.control", "_c.data")
-    ranged = small.repartitionByRange(partitions(spark), "_key").sortWithinPartitions(F.col("_key").asc_nulls_first(), "control", "data")
+    ranged = ids.repartitionByRange(partitions(spark), "_key").sortWithinPartitions(F.col("_key").asc_nulls_first(), "_ids")
     ranged.mapInArrow(blocks, block).write.option("compression", "zstd").parquet(f"{out}/shards")
-    totals = spark.read.schema(block).parquet(f"{out}/shards").groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
+    totals = spark.read.schema(block).parquet(f"{out}/shards").groupBy("shard").agg(F.sum("tokens").alias("tokens"))
     manifest = totals.select("shard", "tokens", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("before"))
     manifest.coalesce(1).write.parquet(f"{out}/manifest")
 
@@ -158,24 +155,16 @@ def read(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for row in batch.to_pylist():
-                at, firsts, sums, own = 0, [], [], []
-                control, data, sizes = row["control"], row["data"], np.array(row["sizes"], np.int64)
-                quads = np.concatenate(([0], np.cumsum(-(-sizes // 4))))
-                begin = 0
-                for i, n in enumerate(sizes.tolist()):
-                    part = control[quads[i] : quads[i + 1]]
-                    width = int(LENGTHS[np.frombuffer(part, np.uint8)].reshape(-1)[:n].sum())
-                    found = table.value[expand(part, data[begin : begin + width], n)]
-                    begin += width
-                    firsts.append(row["first"] + at)
-                    sums.append(zlib.crc32(found.tobytes()))
-                    own.append(found.astype(np.int32) if ids else None)
-                    at += n
-                values = [[row["shard"]] * len(sizes), row["keys"], firsts, row["sizes"], sums, *([own] if ids else [])]
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found = table.value[expand(row["control"], row["data"], row["tokens"])]
+                ends = np.cumsum(np.array(row["sizes"], np.int64))
+                parts = np.split(found, ends[:-1])
+                sums = [zlib.crc32(x.tobytes()) for x in parts]
+                values = [[row["shard"]] * len(parts), row["keys"], row["first"] + ends - row["sizes"], row["sizes"], sums, *([[x.astype(np.int32) for x in parts]] if ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
 
-    decoded = shards.select("shard", "block", "first", "keys", "sizes", "control", "data").mapInArrow(decode, schema)
+    decoded = shards.mapInArrow(decode, schema)
     before = spark.read.parquet(f"{out}/manifest").select("shard", "before")
     joined = decoded.join(before, "shard")
     return joined.select("key", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
