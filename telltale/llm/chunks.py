@@ -34,12 +34,12 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Parts of an array of about ``SLICE_BYTES`` each."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Parts of an array of about ``size`` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
         yield texts.slice(lo, hi - lo)
         lo = hi
 

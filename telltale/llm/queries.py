@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, near_dedup, packing, quality, token_counts, token_files
+from . import bpe_codec, fingerprint_index, language_id, near_dedup, packing, quality, suffix_dedup, token_counts, token_files
 from .scratch import new_path
 
 
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("n", "n_bytes")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -34,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("n", "n_words").drop("n_spans")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,5 +66,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_rules, op6_bpe_codec, op7_language_id, op9_token_files, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprint_index, op6_bpe_codec, op7_language_id, op9_token_files, op10_near_dedup)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}

@@ -96,7 +96,8 @@ def words(texts: Flat, lower: bool = False) -> Words:
 
 @dataclass
 class Anchors:
-    """For each anchor: its text, its hash, and the first and the last window (as starts within the text) it stands for.
+    """For each anchor: its text, its hash, a hash of all values of its windows, and within the text the first and the last
+    window (by their starts) it stands for and its own place.
 
     Of all grams in a window the smallest, the leftmost among equals, is the window's anchor. So equal windows have anchors
     of equal hashes at equal places, and each window belongs to one anchor.
@@ -104,38 +105,53 @@ class Anchors:
 
     text: np.ndarray
     hashes: np.ndarray
+    content: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    place: np.ndarray
+
+
+#: Windows whose anchors are found at a time: bounds the memory whatever the length of a text.
+BLOCK = 1 << 18
 
 
 def anchors(values: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> Anchors:
     """Anchors of all windows of ``window`` values; text ``i`` is ``values[firsts[i]:firsts[i + 1]]``."""
-    n, width = len(values), window - gram + 1
-    if n < window:
-        none = np.zeros(0, np.int64)
-        return Anchors(none, none.astype(_U), none, none)
-    at = np.arange(n - gram + 1)
-    grams = between(prefix(values), at, at + gram)
-    low, place = grams.copy(), at.copy()
+    parts = [_block(values[lo : lo + BLOCK + window - 1], firsts, lo, window, gram) for lo in range(0, max(0, len(values) - window + 1), BLOCK)]
+    none = np.zeros(0, np.int64)
+    text, hashes, content, first, last, place = [np.concatenate(x) for x in zip(*parts)] if parts else [none] * 6
+    if len(parts) > 1:  # an anchor may go on in the next block
+        more = np.zeros(len(text), bool)
+        more[1:] = (text[1:] == text[:-1]) & (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)
+        head = np.flatnonzero(~more)
+        tail = np.concatenate((head[1:], [len(text)])) - 1
+        for i in np.flatnonzero(more):
+            content[i] = mix(content[i : i + 1] + content[i - 1] * _U(BASE))[0]
+        text, hashes, content, first, last, place = text[head], hashes[head], content[tail], first[head], last[tail], place[head]
+    return Anchors(text, hashes.astype(_U), content.astype(_U), first, last, place)
+
+
+def _block(values: np.ndarray, firsts: np.ndarray, lo: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    width = window - gram + 1
+    sums = prefix(values)
+    at = np.arange(len(values) - gram + 1)
+    grams = between(sums, at, at + gram)
+    low, where = grams, at
     span = 1
-    while span < width:  # low[i], place[i]: the smallest of span grams from i on
+    while span < width:  # low[i], where[i]: the smallest of the span grams from i on
         step = min(span, width - span)
-        other, where = low[step:], place[step:]
-        keep = len(other)
-        left = low[:keep]
-        take = other < left
-        low, place = np.where(take, other, left), np.where(take, where, place[:keep])
+        keep = len(low) - step
+        take = low[step:] < low[:keep]
+        low, where = np.where(take, low[step:], low[:keep]), np.where(take, where[step:], where[:keep])
         span += step
-    # windows inside one text
-    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[: len(low)]
-    starts = np.arange(len(low))
-    valid = np.flatnonzero(starts + window <= firsts[1:][owner])
-    if not len(valid):
-        none = np.zeros(0, np.int64)
-        return Anchors(none, none.astype(_U), none, none)
-    p, o = place[valid], owner[valid]
-    new = np.concatenate(([True], (p[1:] != p[:-1]) | (o[1:] != o[:-1])))
+    starts = np.arange(len(low)) + lo
+    owner = np.searchsorted(firsts, starts, "right") - 1
+    valid = np.flatnonzero(starts + window <= firsts[np.minimum(owner + 1, len(firsts) - 1)])
+    p, o = where[valid], owner[valid]
+    new = np.ones(len(valid), bool)
+    new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(valid)])) - 1
-    text = o[head]
-    return Anchors(text, grams[p[head]], valid[head] - firsts[text], valid[tail] - firsts[text])
+    first, last, text = valid[head], valid[tail], o[head]
+    base = firsts[text] - lo
+    return text, grams[p[head]], between(sums, first, last + window), first - base, last - base, p[head] - base
