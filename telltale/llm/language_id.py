@@ -24,7 +24,7 @@ FAMILIES = {
     "uralic": ["et", "fi", "hu"],
 }
 #: Bounds of what is fitted on: labelled rows of each language, and languages (the most frequent ones).
-ROWS_PER_LANGUAGE, LANGUAGES = 500, 200
+ROWS_PER_LANGUAGE, LANGUAGES = 400, 100
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 #: Bytes of a text handled at a time.
 SLICE = 1 << 20
@@ -51,19 +51,22 @@ def features(text: str) -> np.ndarray:
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
 
-def svm(rows: np.ndarray, signs: np.ndarray, cost: float = 4.0, rounds: int = 30) -> np.ndarray:
-    """Weights, with the bias last, of a linear support vector machine; classes weigh alike whatever their sizes."""
-    rows = np.hstack([rows, np.ones((len(rows), 1))]).astype(np.float32)
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 4.0, rounds: int = 30) -> np.ndarray:
+    """Weights, with the bias last, of a linear support vector machine over sparse rows (places, values).
+
+    Classes weigh alike whatever their sizes.
+    """
     signs = signs.astype(np.float32)
     share = np.where(signs > 0, (signs > 0).sum(), (signs < 0).sum()) * 2 / len(signs)
-    bound, square = (cost / share).tolist(), (rows * rows).sum(axis=1).tolist()
-    alpha, w, random = [0.0] * len(rows), np.zeros(rows.shape[1], np.float32), np.random.default_rng(7)
+    bound, square = (cost / share).tolist(), [float(v @ v) for _, v in rows]
+    alpha, w, random = [0.0] * len(rows), np.zeros(BIGRAMS + TRIGRAMS + 1, np.float32), np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in random.permutation(len(rows)):
-            new = min(max(alpha[i] - float(signs[i] * (rows[i] @ w) - 1) / square[i], 0.0), bound[i])
+            at, values = rows[i]
+            new = min(max(alpha[i] - float(signs[i] * (values @ w[at]) - 1) / square[i], 0.0), bound[i])
             if (step := new - alpha[i]) != 0:
-                w += np.float32(step * signs[i]) * rows[i]
+                w[at] += np.float32(step * signs[i]) * values
                 alpha[i], moved = new, max(moved, abs(step))
         if moved < 1e-3:
             break
@@ -73,10 +76,12 @@ def svm(rows: np.ndarray, signs: np.ndarray, cost: float = 4.0, rounds: int = 30
 class Vote:
     """Machines for all pairs of ``classes``."""
 
-    def __init__(self, classes: list[str], rows: np.ndarray, labels: np.ndarray):
+    def __init__(self, classes: list[str], rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.classes, self.pairs = classes, list(combinations(range(len(classes)), 2))
-        weights = [svm(rows[m], np.where(labels[m] == classes[a], 1.0, -1.0)) for a, b in self.pairs for m in [np.isin(labels, [classes[a], classes[b]])]]
-        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), rows.shape[1] + 1)
+        self.weights = np.zeros((len(self.pairs), BIGRAMS + TRIGRAMS + 1), np.float32)
+        for row, (a, b) in zip(self.weights, self.pairs):
+            two = np.flatnonzero(np.isin(labels, [classes[a], classes[b]]))
+            row[:] = svm([rows[i] for i in two], np.where(labels[two] == classes[a], 1.0, -1.0))
 
     def __call__(self, x: np.ndarray) -> tuple[str, float]:
         if not self.pairs:
@@ -94,11 +99,11 @@ class Vote:
 
 
 class Model:
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, families: dict[str, list[str]]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, families: dict[str, list[str]]):
         of = {language: family for family, members in families.items() for language in members}
         family = np.array([of.get(x, x) for x in labels])
         self.families = Vote(sorted(set(family)), rows, family)
-        self.within = {f: Vote(sorted(set(labels[family == f])), rows[family == f], labels[family == f]) for f in self.families.classes}
+        self.within = {f: Vote(sorted(set(labels[own])), [rows[i] for i in own], labels[own]) for f in self.families.classes for own in [np.flatnonzero(family == f)]}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not _LETTER.search(text):
@@ -120,9 +125,11 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     a label, a key and a text with a letter.
     """
     usable = df.select(F.col(key).alias("k"), F.col(label).alias("y"), F.col(text).alias("t")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & F.col("t").isNotNull() & ~held_out("k"))
-    most = usable.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).select("y")
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.col("k").cast("string"), F.lit(11)), "k")
-    slim = usable.select("k", "y").join(F.broadcast(most), "y")
+    most = usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES)
+    # a hash below a bound keeps a few times the rows wanted, whatever their number, so that no task ranks a whole language
+    drawn = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(11)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    slim = usable.select("k", "y").join(F.broadcast(most), "y").where(drawn * F.col("n") <= 4 * ROWS_PER_LANGUAGE + 200)
+    order = Window.partitionBy("y").orderBy(drawn, "k")
     chosen = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("k", "y").distinct()
 
     @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
@@ -140,9 +147,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     if not found:
         return None
     found.sort(key=lambda r: (r["y"], str(r["k"])))
-    rows = np.zeros((len(found), BIGRAMS + TRIGRAMS), np.float32)
-    for row, r in zip(rows, found):
-        row[r["x"]["at"]] = r["x"]["v"]
+    bias = BIGRAMS + TRIGRAMS
+    rows = [(np.array([*r["x"]["at"], bias], np.int32), np.array([*r["x"]["v"], 1.0], np.float32)) for r in found]
     return Model(rows, np.array([r["y"] for r in found]), families or FAMILIES)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint_index, language_id, near_dedup, packing, quality, suffix_dedup, token_counts, token_files
+from . import bpe_codec, fingerprint_index, language_id, near_dedup, neighbours, packing, quality, suffix_dedup, token_counts, token_files
 from .scratch import new_path
 
 
@@ -56,6 +56,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -66,5 +70,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprint_index, op6_bpe_codec, op7_language_id, op9_token_files, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprint_index, op6_bpe_codec, op7_language_id, op8_nearest_neighbours, op9_token_files, op10_near_dedup)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
