@@ -126,7 +126,7 @@ def anchors(values: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> A
         head = np.flatnonzero(~more)
         tail = np.concatenate((head[1:], [len(text)])) - 1
         for i in np.flatnonzero(more):
-            content[i] = mix(content[i : i + 1] + content[i - 1] * _U(BASE))[0]
+            content[i : i + 1] = mix(content[i : i + 1] + content[i - 1 : i] * _U(BASE))
         text, hashes, content, first, last, place = text[head], hashes[head], content[tail], first[head], last[tail], place[head]
     return Anchors(text, hashes.astype(_U), content.astype(_U), first, last, place)
 
