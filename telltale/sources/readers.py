@@ -59,7 +59,7 @@ def without_ignored(df: DataFrame, path: str, globs: list[str]) -> DataFrame:
     clean = F.regexp_replace(F.translate(F.col(path), "\\", "/"), r"^\./", "")
     base = F.element_at(F.split(clean, "/", -1), -1)
     patterns = df.sparkSession.createDataFrame([(glob_regex(g),) for g in globs], "_pattern string")
-    return df.withColumns({"_full": clean, "_base": base}).join(F.broadcast(patterns), F.col("_full").rlike(F.col("_pattern")) | F.col("_base").rlike(F.col("_pattern")), "left_anti").drop("_full", "_base")
+    return df.withColumns({"_full": clean, "_base": base}).join(F.broadcast(patterns), F.rlike("_full", F.col("_pattern")) | F.rlike("_base", F.col("_pattern")), "left_anti").drop("_full", "_base")
 
 
 def find_config(start: str) -> str | None:
