@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from telltale.functions import features as X
 from telltale.functions.lexicon import configured, packs
-from telltale.operators import evaluate, findings, prose
+from telltale.operators import code, evaluate, findings, prose
 from telltale.sources import readers
+from telltale.streaming import stream
 
 from . import oracle as O
 from .tells import tells
@@ -168,3 +169,42 @@ add(
 round_even(avg((s >= 10)::INT) FILTER (WHERE q = 1), 6) AS detection_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 1), 6) AS detection_25, round_even(avg((s >= 10)::INT) FILTER (WHERE q = 0), 6) AS false_positive_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 0), 6) AS false_positive_25 FROM x""",
 )
 add("eval_failures", lambda spark, sf_dir: evaluate.failures(evaluate.summary(_labelled(spark, sf_dir), "score_per_1k", "quality"), evaluate.PROSE_FLOORS))
+
+
+# --- code ----------------------------------------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as source files, each with a line or two of planted code below it."""
+    planted = F.element_at(F.array(*[F.lit(x) for x in _CODE]), (F.pmod("page_id", F.lit(len(_CODE))) + 1).cast("int"))
+    return readers.table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), planted).alias("text"), F.lit(".html").alias("ext"))
+
+
+_CODE = [
+    "<!-- Step 1: load the page -->\n<p>a</p>",
+    "<script>console.error('Something went wrong')</script>",
+    "<script>console.log('Saved successfully'); print(\"ok successfully\")</script>",
+    "<script>try { f() } catch (e) { console.log(e) }</script>\n<!-- Replace with your key -->",
+    "<p>plain</p>",
+]
+_HTML = r"<!--(?s:.*?)-->|<!--(?s:.*)|\"(?:\\(?s:.)|[^\"\\\n])*\"|'(?:\\(?s:.)|[^'\\\n])*'"
+_HTML = _HTML.replace('\\"', '"')
+_PLANTED = "coalesce(html, '') || chr(10) || [" + ", ".join(O.s(x) for x in _CODE) + f"][(page_id % {len(_CODE)} + {len(_CODE)}) % {len(_CODE)} + 1]"
+_PAGES = f"WITH pg AS (SELECT page_id, regexp_replace({_PLANTED}, '\\r\\n?|[\\x1c-\\x1f\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS t FROM pages), m AS (SELECT page_id, t, regexp_extract_all(t, {O.s(_HTML)}) AS ms FROM pg)"
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.with_evidence(_pages(spark, sf_dir))
+
+
+add("html_comments", lambda spark, sf_dir: _evidence(spark, sf_dir).select("page_id", F.size("_comments").alias("n_comments"), F.size("_strings").alias("n_strings"), "lines"), f"{_PAGES} SELECT page_id, len(list_filter(ms, lambda x: x[1:4] = '<!--')) AS n_comments, len(list_filter(ms, lambda x: x[1:4] <> '<!--')) AS n_strings, length(t) - length(replace(t, chr(10), '')) + 1 AS lines FROM m")
+for _name, _rx in (("error_boilerplate", code.ERRORS), ("success_boilerplate", code.SUCCESSES), ("swallowed_errors", code.SWALLOWED)):
+    add(_name, lambda spark, sf_dir, c=_name: _evidence(spark, sf_dir).select("page_id", F.size(c).alias("n")), f"{_PAGES} SELECT page_id, {O.count('t', O.spaced(_rx).replace('[^' + O.SPACES, '[^'))} AS n FROM pg")
+add("code_score", lambda spark, sf_dir: code.score_code(_pages(spark, sf_dir)).select("page_id", "lines", "sloc", "comment_lines", "comment_share", "score_per_100", "verdict"))
+add("code_record", lambda spark, sf_dir: code.score_code(_pages(spark, sf_dir)).drop("text"))
+add("code_redundant", lambda spark, sf_dir: _evidence(spark, sf_dir).select("page_id", F.size("redundant_comments").alias("n_redundant"), "narration_comment_count", "corroborated"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+add("event_window_verdicts", stream.window_verdicts)
