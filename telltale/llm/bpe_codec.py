@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CACHE_ENTRIES, Chunks, Remembered, byte_table, shown, slices
+from .chunks import CACHE_ENTRIES, KEPT, Chunks, Remembered, byte_table, shown, slices, tidied
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -104,6 +104,9 @@ class Codec:
         return char[starts], char[ends - 1] + 1
 
 
+KEPT.append(Codec._by_key)
+
+
 def encode(text: Column | str, path: str, pattern: str, offsets: bool = False) -> Column:
     """A column of ``array<int>`` with the ids of ``text``; null and empty texts give an empty array.
 
@@ -117,6 +120,7 @@ def encode(text: Column | str, path: str, pattern: str, offsets: bool = False) -
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *arrays]), pa.int32()))
 
     @F.arrow_udf(kind)
+    @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(path, pattern)
         for batch in batches:
@@ -143,6 +147,7 @@ def decode(ids: Column | str, path: str, pattern: str) -> Column:
     """A binary column with the bytes of an ``array<int>`` of ids; null gives null, an unknown id is an error."""
 
     @F.arrow_udf(T.BinaryType())
+    @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(path, pattern)
         for batch in batches:

@@ -7,6 +7,9 @@ a chunk keeps the space before it. Other white space stays inside its chunk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import re
 from array import array
@@ -22,9 +25,9 @@ _ODD_SPACE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Chunks whose result a worker remembers; the first seen stay, which are mostly the frequent ones.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Bytes of text handled at a time; a longer text is one slice.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 #: Below U+0250, but for one capital whose lower case is two characters, all libraries agree about letters and case.
 PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
@@ -34,6 +37,31 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
+#: What a worker keeps from task to task; it goes when another operator's task begins.
+KEPT: list[dict] = []
+_OWNER: list[str] = [""]
+
+
+def tidied(run: Callable) -> Callable:
+    """Keeps a worker small, as workers live on and share the executor's memory with others: what another operator kept is
+    dropped when a task begins, and freed memory goes back to the system when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        if _OWNER[0] != run.__module__:
+            for kept in KEPT:
+                kept.clear()
+            _OWNER[0] = run.__module__
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Parts of an array of about ``size`` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -86,12 +114,15 @@ class Chunks:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         """The stem's number of each word, the stems, and what follows the stem: 0 nothing, 1 a full stop, 2 a comma."""
-        stem = pc.utf8_rtrim(words, characters=".,")
-        cut_off = pc.and_(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stem)), 1), pc.match_substring_regex(stem, r"\p{L}$"))
-        tail = np.where(cut_off.to_numpy(zero_copy_only=False), np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
-        stem = pc.if_else(cut_off, stem, words)
+        stop, comma = pc.ends_with(words, "."), pc.ends_with(words, ",")
+        marked = np.flatnonzero(pc.or_(stop, comma).to_numpy(zero_copy_only=False))
+        short = pc.utf8_slice_codeunits(words.take(pa.array(marked)), 0, -1)
+        letter = pc.match_substring_regex(short, r"\p{L}$").to_numpy(zero_copy_only=False)
+        tail = np.zeros(len(words), np.int64)
+        tail[marked[letter]] = np.where(stop.to_numpy(zero_copy_only=False)[marked[letter]], 1, 2)
+        stem = pc.replace_with_mask(words, pa.array(tail > 0), short.filter(pa.array(letter)))
         if self.lower:
-            stem = pc.if_else(pc.match_substring_regex(stem, r"^\p{L}+$"), pc.ascii_lower(stem), stem)
+            stem = pc.if_else(pc.utf8_is_alpha(stem), pc.ascii_lower(stem), stem)
         coded = stem.dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), tail
 
@@ -148,10 +179,13 @@ _SHOWN = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
 
 def shown(text: str) -> str:
     """The text's bytes as byte-level models see them."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", _SHOWN[0x20])
     return text.encode().decode("latin-1").translate(_SHOWN)
 
 
 _LOADED: dict[str, object] = {}
+KEPT.append(_LOADED)
 
 
 def library_tokenizer(path: str):
@@ -206,12 +240,13 @@ class LibraryIds:
         return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        letters = [i for i, x in enumerate(chunks) if x[x[:1] == " " :].isalpha() and PLAIN(x)]
-        cased = [chunks[i].lower().lstrip(" ") if self.lower else chunks[i] for i in letters]
+        letters = [i for i, x in enumerate(chunks) if x[x[:1] == " " :].isalpha() and (x.isascii() or PLAIN(x))]
+        cased = [chunks[i].lower().lstrip(" ") for i in letters] if self.lower else [chunks[i] for i in letters]
         out = dict(zip(letters, self._encode(cased)))
-        whole = [i for i, x in enumerate(chunks) if i not in out and (not PLAIN(x) or any(s in x for s in self.special))]
+        rest = [(i, x) for i, x in enumerate(chunks) if i not in out]
+        whole = [i for i, x in rest if not (x.isascii() or PLAIN(x)) or any(s in x for s in self.special)]
         out.update(zip(whole, self._whole([chunks[i] for i in whole])))
-        split = {i: self.find(x.lower() if self.lower else x) for i, x in enumerate(chunks) if i not in out}
+        split = {i: self.find(x.lower() if self.lower else x) for i, x in rest if i not in out}
         distinct = list(dict.fromkeys(p for ps in split.values() for p in ps))
         known = dict(zip(distinct, self.pieces(distinct)))
         return [out[i] if i in out else b"".join([known[p] for p in split[i]]) for i in range(len(chunks))]
@@ -220,5 +255,6 @@ class LibraryIds:
         return self.chunks(texts)
 
 
+KEPT.append(LibraryIds._by_path)
 #: Fixed value: how byte-level files split text that name no pattern.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import tidied
+
 #: Languages of a family; one that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"],
@@ -133,6 +135,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     chosen = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("k", "y").distinct()
 
     @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
+    @tidied
     def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             at, v = [], []
@@ -162,6 +165,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     kind = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 
     @F.arrow_udf(kind)
+    @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = []

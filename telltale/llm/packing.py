@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import LibraryIds
+from .chunks import LibraryIds, tidied
 from .scratch import partitions, written
 
 PIECE = T.StructType([T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -35,6 +35,7 @@ def pieces_of(text: Column | str, path: str, end_id: int, capacity: int, keep_id
     """An array with the pieces of each text's ids and ``end_id`` after them; null counts as empty."""
 
     @F.arrow_udf(T.ArrayType(PIECE, False))
+    @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 

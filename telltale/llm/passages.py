@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import slices
+from .chunks import slices, tidied
 from .scratch import partitions, written
 from .windows import anchors, between, flat, mix, prefix, words
 
@@ -43,6 +43,7 @@ def scan(text: Column, window: int, gram: int, by_word: bool) -> Column:
     """A struct for each text: words or bytes, SHA-256 of all of them, and the occurrences of anchors."""
 
     @F.arrow_udf(SCANNED)
+    @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -114,7 +115,7 @@ def windows_of(members: DataFrame, texts: DataFrame, window: int, by_word: bool)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema_of = to_arrow_schema(schema)
-    return texts.join(asked, "_key").select("_key", "_text", "_asked").mapInArrow(run, schema)
+    return texts.join(asked, "_key").select("_key", "_text", "_asked").mapInArrow(tidied(run), schema)
 
 
 def repeated(rows: DataFrame, window: int, smaller_only: bool) -> DataFrame:
@@ -178,7 +179,7 @@ def _held(rows: DataFrame, window: int, smaller_only: bool) -> DataFrame:
 
     ordered = rows.repartition(partitions(rows.sparkSession), "h", "_block").sortWithinPartitions("h", "_block", "_key", "first")
     schema = T.StructType([T.StructField("_key", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
-    return ordered.select("h", "_block", "_key", "first", "_hashes").mapInArrow(run, schema)
+    return ordered.select("h", "_block", "_key", "first", "_hashes").mapInArrow(tidied(run), schema)
 
 
 REMOVED = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
@@ -188,6 +189,7 @@ def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
     """A struct for each text and its array of spans: what is removed, and what is left (its bytes only with ``keep``)."""
 
     @F.arrow_udf(REMOVED)
+    @tidied
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -238,6 +240,7 @@ def cleaned(df: DataFrame, spans: DataFrame, key: str, text: str, by_word: bool,
     joined = df.join(per_text, df[key] == per_text["_key"], "left")
 
     @F.arrow_udf(T.StringType())
+    @tidied
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())

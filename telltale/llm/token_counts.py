@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import PLAIN, Chunks, library_tokenizer, shown
+from .chunks import KEPT, PLAIN, Chunks, library_tokenizer, shown, tidied
 
 NO_RANK = np.iinfo(np.int32).max
 #: Pre-tokens merged together: bounds the arrays of a round.
@@ -138,6 +138,9 @@ class Counter:
         return [int(x.sum()) for x in self.chunks(texts)]
 
 
+KEPT.append(Counter._by_path)
+
+
 def token_count(text: Column | str, path: str) -> Column:
     """A column with the number of tokens of ``text`` under the byte-level BPE file at ``path``; null counts 0.
 
@@ -145,6 +148,7 @@ def token_count(text: Column | str, path: str) -> Column:
     """
 
     @F.arrow_udf(T.LongType())
+    @tidied
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter.of(path)
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import LibraryIds, library_tokenizer
+from .chunks import LibraryIds, library_tokenizer, tidied
 from .scratch import partitions, written
 
 #: Lengths of the four values of each control byte.
@@ -63,6 +63,7 @@ def tokenised(df: DataFrame, path: str, end_id: int, key: str, text: str, tag: s
     kind = id_kind(path)
 
     @F.arrow_udf(T.BinaryType())
+    @tidied
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids_of, end = LibraryIds.of(path), np.array([end_id], kind).tobytes()
         for batch in batches:
@@ -85,7 +86,7 @@ def frequencies(table: DataFrame, kind: str) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counted = table.select("_ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = table.select("_ids").mapInArrow(tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r[0] for r in sorted(counted, key=lambda r: (-r[1], r[0]))], np.int64)
 
 
@@ -132,7 +133,7 @@ def write(df: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id",
             yield flush()
 
     ranged = ids.repartitionByRange(partitions(spark), "_key").sortWithinPartitions(F.col("_key").asc_nulls_first(), "_ids")
-    ranged.mapInArrow(blocks, block).write.option("compression", "zstd").parquet(f"{out}/shards")
+    ranged.mapInArrow(tidied(blocks), block).write.option("compression", "zstd").parquet(f"{out}/shards")
     totals = spark.read.schema(block).parquet(f"{out}/shards").groupBy("shard").agg(F.sum("tokens").alias("tokens"))
     manifest = totals.select("shard", "tokens", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("before"))
     manifest.coalesce(1).write.parquet(f"{out}/manifest")
@@ -164,7 +165,7 @@ def read(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
                 values = [[row["shard"]] * len(parts), row["keys"], row["first"] + ends - row["sizes"], row["sizes"], sums, *([[x.astype(np.int32) for x in parts]] if ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
 
-    decoded = shards.mapInArrow(decode, schema)
+    decoded = shards.mapInArrow(tidied(decode), schema)
     before = spark.read.parquet(f"{out}/manifest").select("shard", "before")
     joined = decoded.join(before, "shard")
     return joined.select("key", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .chunks import KEPT
+
 _U = np.uint64
 #: An odd number and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -17,6 +19,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
+KEPT.append(_POWERS)
 
 
 def powers(base: int, n: int) -> np.ndarray:
