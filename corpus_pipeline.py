@@ -18,8 +18,9 @@ _TAG = "pipeline"
 
 
 def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """What earlier stages kept aside goes: their results are written by now."""
+    """What earlier stages kept aside goes: their results are written by now. Long texts go to Python in small batches."""
     scratch.release(spark, _TAG)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return docs
 
 
