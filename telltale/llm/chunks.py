@@ -25,9 +25,9 @@ _ODD_SPACE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Chunks whose result a worker remembers; the first seen stay, which are mostly the frequent ones.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 #: Bytes of text handled at a time; a longer text is one slice.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 6_000_000
 #: Below U+0250, but for one capital whose lower case is two characters, all libraries agree about letters and case.
 PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
@@ -103,13 +103,14 @@ class Chunks:
     with ``lower``, chunks of letters alone are the same whatever the case of their ASCII letters.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], kind: str = "<u4", lower: bool = False):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], kind: str = "<u4", lower: bool = False, entries: int = CACHE_ENTRIES):
         self.kind, self.size, self.lower = np.dtype(kind), np.dtype(kind).itemsize, lower
-        self.first = Remembered(compute, CACHE_ENTRIES // 10)
-        self.later = Remembered(lambda keys: compute([" " + x for x in keys]))
+        self.first = Remembered(compute, entries // 10)
+        self.later = Remembered(lambda keys: compute([" " + x for x in keys]), entries)
+        self.slice = min(SLICE_BYTES, 15 * entries)
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for part in slices(texts):
+        for part in slices(texts, self.slice):
             yield from self._slice(part)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -205,9 +206,9 @@ class LibraryIds:
     the library's own steps.
     """
 
-    _by_path: dict[str, "LibraryIds"] = {}
+    _by_path: dict[tuple[str, int], "LibraryIds"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import json
 
         import regex
@@ -220,14 +221,14 @@ class LibraryIds:
         self.lower = "Lowercase" in [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.find = regex.compile(pattern or BYTE_LEVEL).findall
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.pieces = Remembered(self._encode, CACHE_ENTRIES // 4)
-        self.chunks = Chunks(self._chunks, lower=self.lower)
+        self.pieces = Remembered(self._encode, entries // 4)
+        self.chunks = Chunks(self._chunks, lower=self.lower, entries=entries)
 
     @classmethod
-    def of(cls, path: str) -> "LibraryIds":
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+    def of(cls, path: str, entries: int = CACHE_ENTRIES) -> "LibraryIds":
+        if (path, entries) not in cls._by_path:
+            cls._by_path[path, entries] = cls(path, entries)
+        return cls._by_path[path, entries]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         tokenize = self.tokenizer.model.tokenize

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import LibraryIds, tidied
+from .chunks import CACHE_ENTRIES, LibraryIds, tidied
 from .scratch import partitions, written
 
 PIECE = T.StructType([T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -31,7 +31,7 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], total])]
 
 
-def pieces_of(text: Column | str, path: str, end_id: int, capacity: int, keep_ids: bool = False) -> Column:
+def pieces_of(text: Column | str, path: str, end_id: int, capacity: int, keep_ids: bool = False, entries: int = CACHE_ENTRIES) -> Column:
     """An array with the pieces of each text's ids and ``end_id`` after them; null counts as empty."""
 
     @F.arrow_udf(T.ArrayType(PIECE, False))
@@ -39,7 +39,7 @@ def pieces_of(text: Column | str, path: str, end_id: int, capacity: int, keep_id
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        ids_of, kind, end = LibraryIds.of(path), to_arrow_type(PIECE), np.array([end_id], "<u4").tobytes()
+        ids_of, kind, end = LibraryIds.of(path, entries), to_arrow_type(PIECE), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ends, rows = [0], []
             for ids in ids_of(batch):
@@ -131,16 +131,17 @@ def place(pieces: DataFrame, order: list[str], capacity: int, length: str = "len
     return found.withColumns({"sequence_id": (F.col("_sequence") + F.floor(at / F.col("_each"))).cast("long"), "offset": (F.col("_offset") + (at % F.col("_each")) * F.col(length)).cast("long")}).drop("_rank", *names[1:])
 
 
-def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, key: str = "doc_id", text: str = "text", keep_ids: bool = False, tag: str = "query") -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, key: str = "doc_id", text: str = "text", keep_ids: bool = False, entries: int = CACHE_ENTRIES, tag: str = "query") -> DataFrame:
     """Packs the documents of ``df`` into sequences of at most ``capacity`` tokens; one row for each piece.
 
     Returns ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``, and ``ids`` on demand.
     A document longer than ``capacity`` is cut into full pieces, of which only the first may be shorter. Null and empty
     texts have the end id alone. Repeated rows are packed each for itself, null keys included; ties in the order of ranks
-    are between pieces of equal length, so any of them may take either place. An empty table gives no rows.
+    are between pieces of equal length, so any of them may take either place. An empty table gives no rows. ``entries`` bounds
+    what a worker remembers of its vocabulary, and so its memory.
     """
     row = F.struct(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    slim = df.select(row.alias("_row")).select("_row._key", F.explode(pieces_of(F.col("_row._text"), path, end_id, capacity, keep_ids)).alias("_p"))
+    slim = df.select(row.alias("_row")).select("_row._key", F.explode(pieces_of(F.col("_row._text"), path, end_id, capacity, keep_ids, entries)).alias("_p"))
     pieces = written(slim.select("_key", *[f"_p.{x}" for x in ("piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []))]), "pieces", tag)
     return place(pieces, ["_key", "piece", "ids_crc32"], capacity).withColumnRenamed("_key", key)
 

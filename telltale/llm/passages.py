@@ -17,7 +17,8 @@ from .windows import anchors, between, flat, mix, prefix, words
 
 OCCURRENCE = T.StructType([T.StructField(n, t, False) for n, t in (("h", T.LongType()), ("c", T.LongType()), ("first", T.IntegerType()), ("last", T.IntegerType()), ("place", T.IntegerType()))])
 SCANNED = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("sha256", T.StringType(), False), T.StructField("anchors", T.ArrayType(OCCURRENCE, False), False)])
-SLICE = 2_000_000
+#: Bytes of text whose words and anchors are found at a time.
+SLICE = 1_000_000
 #: Bits of the filter that keeps most texts that nobody asks for out of a shuffle; 1 MB, whatever the data.
 FILTER_BITS = 1 << 23
 #: Rows of an anchor's group that one task holds; larger groups are counted by Spark.
