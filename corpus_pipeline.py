@@ -48,7 +48,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' tokens in sequences of 1024."""
-    return packing.pack(_begin(spark, docs), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, tag=_TAG)
+    return packing.pack(_begin(spark, docs), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, entries=60_000, tag=_TAG)
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language), ("near-duplicates", near_duplicates), ("suffix-array dedup", repeated_substrings), ("best-fit packing", packed)]
