@@ -76,13 +76,16 @@ class FingerprintIndex:
         had = known.select("h", "c").distinct().withColumn("_had", F.lit(True))
         told = written(classes.join(had, ["h", "c"], "left").withColumn("_had", F.coalesce("_had", F.lit(False))), "told", tag)
         # the same windows all through: every occurrence but the very first is covered
-        again = told.where("_had OR k > 1").select("h", "c", F.col("_key").alias("_first_key"), "_had")
-        whole = found.join(again, ["h", "c"]).where("_had OR _key > _first_key").select("_key", F.col("first").alias("lo"), (F.col("last") + WINDOW).cast("int").alias("hi"))
-        # one anchor, different surroundings: windows are compared
+        again = told.where("_had OR k > 1").select("h", "c", F.col("_key").alias("_first_key"), F.col("first").alias("_first_at"), "_had")
+        same = found.join(again, ["h", "c"]).where("_had OR _key > _first_key OR first > _first_at")
+        same = written(same.select("_key", "h", "first", "last", "place", F.expr("_had OR _key > _first_key").alias("_whole")), "same", tag)
+        whole = same.where("_whole").select("_key", F.col("first").alias("lo"), (F.col("last") + WINDOW).cast("int").alias("hi"))
+        # one anchor, different surroundings: windows are compared, at all places of the document that has them first
         new = told.where("NOT _had").select(*ROW)
         pool = new.withColumn("_new", F.lit(1)).unionByName(known.withColumn("_new", F.lit(0)))
         several = pool.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.max("_new").alias("_any")).where("_n > 1 AND _any = 1").select("h")
-        members = written(pool.join(several, "h").select("_key", "h", "first", "last", "place"), "members", tag)
+        further = same.where("NOT _whole").select("_key", "h", "first", "last", "place")
+        members = written(pool.select(*further.columns).unionByName(further).join(several, "h").select(*further.columns), "members", tag)
         asked = P.texts_of(texts, members.select("_key").distinct(), key, text)
         parts = P.repeated(written(P.windows_of(members, asked, WINDOW, True), "windows", tag), WINDOW, smaller_only=True)
         spans = written(whole.union(parts), "batch", tag)

@@ -126,6 +126,21 @@ def test_words_match_brute_force(spark, monkeypatch, hot):
     assert got == want
 
 
+def test_passages_twice_in_the_document_that_has_them_first(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+        new = lambda n: [word() for _ in range(n)]
+        docs, k = {}, 0
+        for _ in range(20):
+            q = new(200)
+            docs[k], docs[k + 1] = " ".join(new(30) + q[:100] + new(30)), " ".join(q + new(20) + q + new(20) + q[40:])
+            k += 2
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n, r.n_removed, r.kept_sha256) for r in fingerprint_index.deduplicate(df).collect()}
+        assert got == brute_words(docs, 50)
+
+
 def test_empty_null_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     long = " ".join(f"w{i}" for i in range(200))
