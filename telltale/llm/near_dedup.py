@@ -5,8 +5,10 @@ under its own hash and keeps them in text order, so it feels moved text as well
 are candidates; a pair is a link if the edit distance of its words, found within a band, leaves a similarity of 0.8.
 
 Exact copies are one representative first. In a bucket, of whatever size, each member is compared with the bucket's leader
-and, unless both are much alike, with the last members that agree with it in other sketches; so a bucket of n costs a
-multiple of n. Classes are the components of the links.
+and, unless both are much alike, with the last members that agree with it in other sketches. Classes are the components of
+the links. Candidates that are then still in different classes are compared in rounds, more leaders of each bucket at a
+time, until no pair is left; a bucket of n costs a multiple of n where its members are of one class by then, and up to n
+squared where they stay apart.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +27,12 @@ from .scratch import partitions, written
 from .windows import BASE, between, flat, mix, prefix, words
 
 SHINGLE, TAKEN, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: Sketches in which a member must agree with its candidate, and those from which on it needs no other candidate.
+#: Sketches in which a member must agree with its candidate, and those from which on the first round asks for no other.
 LEAST_AGREED, WELL_AGREED = 2, 16
 #: Members compared with a leader in one task's group.
 MEMBERS = 256
+#: Leaders of a bucket in the first round among classes, and how many times as many there are after each round.
+LEADERS = 16
 
 _MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0x5A5A)
@@ -195,6 +199,49 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return spread.select("_bucket", "_rep", "_bits").mapInArrow(tidied(pair), schema).distinct()
 
 
+def pairs_across(members: DataFrame, lo: int, hi: int, similarity: float) -> DataFrame:
+    """``_leader, _member`` of different classes that share a bucket and may be similar, from rows ``_bucket, _order, _rep,
+    _bits, n_words, _class``; leaders are the members ``lo`` to ``hi`` of each bucket, in its order."""
+    kind = members.schema["_rep"].dataType
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            number: dict = {}
+            classes = np.array([number.setdefault(x[3], len(number)) for x in held])
+            lengths = np.array([x[2] for x in held])
+            bits = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1)
+            left, right = [], []
+            for i in range(lo, min(hi, len(held) - 1)):
+                at = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
+                most = np.floor((1 - similarity) * np.maximum(lengths[at], lengths[i]) + 1e-9)
+                at = at[np.abs(lengths[at] - lengths[i]) <= most]
+                at = at[(bits[at] == bits[i]).sum(axis=1) >= LEAST_AGREED]
+                left.extend([held[i][0]] * len(at))
+                right.extend(held[j][0] for j in at.tolist())
+                if len(left) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
+                    left, right = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
+
+        for batch in batches:
+            arrow = batch.schema.field(1).type
+            for start in range(0, batch.num_rows, 1000):
+                for b, *row in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                    if b != bucket:
+                        if held:
+                            yield from found()
+                        bucket, held = b, []
+                    held.append(row)
+        if held:
+            yield from found()
+
+    spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_order", "_rep")
+    schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
+    return spread.select("_bucket", "_rep", "_bits", "n_words", "_class").mapInArrow(tidied(pair), schema).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar enough. ``texts`` has ``_rep, _text`` of all that occur in ``pairs``.
 
@@ -251,6 +298,13 @@ def components(links: DataFrame, tag: str = "query") -> DataFrame:
     return stars.union(edges.select("v", "v").distinct()).toDF("_node", "_class")
 
 
+def _links(df: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float, tag: str) -> DataFrame:
+    """A written table of those of ``pairs`` whose texts in ``df`` are similar enough."""
+    ids = pairs.select(F.col("_leader").alias("_rep")).union(pairs.select("_member")).distinct()
+    texts = written(texts_of(df, ids.withColumnRenamed("_rep", "_key"), key, text).withColumnRenamed("_key", "_rep"), "texts", tag)
+    return written(verified(pairs, texts.dropDuplicates(["_rep"]), similarity), "links", tag)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tag: str = "query") -> DataFrame:
     """The class of each row of ``df``: ``key``, ``class_id`` (the smallest key of the class) and ``n_words``.
 
@@ -263,15 +317,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     slim = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     told = slim.withColumn("_s", signature("_text")).select("_key", "_s.n_words", "_s.content", "_s.sketches")
     rows = written(told, "signatures", tag)
-    alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"))
+    alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
     reps = written(alike, "representatives", tag)
     low_bytes = F.unhex(F.array_join(F.transform("sketches", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
-    members = reps.select(F.explode("sketches").alias("_bucket"), F.xxhash64("_rep").alias("_order"), "_rep", low_bytes.alias("_bits"))
+    members = reps.select(F.explode("sketches").alias("_bucket"), F.xxhash64("_rep").alias("_order"), "_rep", low_bytes.alias("_bits"), "n_words")
+    members = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_bucket"))).where("_n > 1").drop("_n")
+    members = written(members, "members", tag)
     pairs = written(candidate_pairs(members), "pairs", tag)
-    ids = pairs.select(F.col("_leader").alias("_rep")).union(pairs.select("_member")).distinct()
-    texts = written(texts_of(df, ids.withColumnRenamed("_rep", "_key"), key, text).withColumnRenamed("_key", "_rep"), "texts", tag)
-    links = written(verified(pairs, texts.dropDuplicates(["_rep"]), similarity), "links", tag)
-    classes = components(links, tag)
+    classes, tested, lo, hi = components(_links(df, pairs, key, text, similarity, tag), tag), pairs, 0, LEADERS
+    while True:
+        named = members.join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_class", F.coalesce("_class", "_rep"))
+        mixed = named.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_class").alias("_a"), F.max("_class").alias("_b"))
+        mixed = written(named.join(mixed.where((F.col("_n") > lo + 1) & (F.col("_a") != F.col("_b"))), "_bucket", "left_semi"), "mixed", tag)
+        if mixed.isEmpty():
+            break
+        pairs = written(pairs_across(mixed, lo, hi, similarity).join(tested, ["_leader", "_member"], "left_anti"), "pairs", tag)
+        if not pairs.isEmpty():
+            links = _links(df, pairs, key, text, similarity, tag)
+            if not links.isEmpty():
+                classes = components(classes.toDF("_leader", "_member").union(links), tag)
+            tested = tested.union(pairs)
+        lo, hi = hi, hi * LEADERS
     of_rep = reps.select("content", "_rep").join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").select("content", F.coalesce("_class", "_rep").alias("_class"))
     joined = rows.select("_key", "n_words", "content").join(of_rep, "content", "left")
     return joined.select(F.col("_key").alias(key), F.coalesce("_class", "_key").alias("class_id"), "n_words")

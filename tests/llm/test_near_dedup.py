@@ -74,6 +74,22 @@ def test_classes_match_brute_force(spark):
     assert {r.doc_id for r in N.one_of_each(df).collect()} == set(got.values())
 
 
+def test_star_of_inserts_matches_brute_force(spark):
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, k = {}, 0
+    for _ in range(3):
+        base = new(200)
+        for at in range(0, 200, 4):
+            docs[k] = " ".join(base[:at] + new(46) + base[at:])
+            k += 1
+        docs[k] = " ".join(base)
+        k += 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r[0]: r[1] for r in N.near_duplicates(df).select("doc_id", "class_id").collect()}
+    assert got == brute_classes(docs)
+
+
 def test_empty_null_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).count() == 0
