@@ -1,8 +1,8 @@
 """Quality rules: statistics of each document, and the frequency of lines across the documents of a host.
 
 Normalised lines are hashed and, for each host, counted by distinct documents. Copies must not make their own lines
-frequent, as taking out copies is another stage's work: documents of a host that share both their smallest and
-their largest line hash count as one. Lines above the limit are removed; a document that loses more than half of its
+frequent, as taking out copies is another stage's work: documents of a host that have the same set of lines count as
+one. Lines above the limit are removed; a document that loses more than half of its
 words with them is depleted and rejected.
 """
 
@@ -88,11 +88,13 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lines_of(df: DataFrame, row: str, host: str, text: str) -> DataFrame:
-    """One row for each distinct line of a row: ``_row, _host, _line, _words`` (of all its occurrences) and ``_self``."""
+    """One row for each distinct line of a row: ``_row, _host, _line, _words`` (of all its occurrences) and ``_self``, a 128-bit hash of the
+    row's set of lines."""
     split = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD))
     keyed = df.select(F.col(row).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.transform(split, lambda x: F.struct(line_key(x).alias("k"), _word_count(x).alias("w"))).alias("_lines"))
     keys = F.col("_lines.k")
-    self = F.struct(F.array_min(keys).alias("low"), F.array_max(keys).alias("high"))
+    every = F.array_sort(F.array_distinct(keys))
+    self = F.struct(F.xxhash64(every).alias("one"), F.xxhash64(F.lit(0x3C3C), every).alias("two"))
     long = keyed.select("_row", "_host", self.alias("_self"), F.explode("_lines").alias("_l"))
     return long.select("_row", "_host", "_self", F.col("_l.k").alias("_line"), F.col("_l.w").alias("_words"))
 

@@ -46,6 +46,18 @@ def test_quality_of_odd_tables(spark):
     assert sorted((str(r.doc_id), r.n_words) for r in quality.verdicts(twice).collect()) == [("1", 3), ("1", 3), ("None", 2)]
 
 
+def test_pages_that_are_mostly_template_count_apart(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    template = [line(8) for _ in range(50)]
+    rows = [(i, "\n".join([*template, line(30)]), "en", "a", 0) for i in range(200)]
+    rows += [(1000 + i, "\n".join([line(60)] * 2), "en", "b", 0) for i in range(2)]
+    rows += [(2000 + i, rows[0][1], "en", "c", 0) for i in range(200)]
+    got = {r.doc_id: (r.n_words, r.n_line_words, r.kept) for r in quality.verdicts(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert all(got[i] == (430, 400, False) for i in range(200))
+    assert all(got[i][1] == 0 for i in got if i >= 1000)
+
+
 def test_repeated_words():
     def brute(ws):
         n = len(ws) - 2
