@@ -111,7 +111,8 @@ def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
 def verdicts(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limit: int = LINE_LIMIT, keep_lines: bool = False, tag: str = "query") -> DataFrame:
     """The base statistics of each row of ``df``, ``n_line_words`` (words in removed lines) and ``kept``.
 
-    With ``keep_lines`` also ``removed_lines``, the keys of the document's frequent lines. Only ``key`` and the results
+    With ``keep_lines`` also ``removed_lines``, the keys of the document's frequent lines, and ``_row`` and ``_host``, which
+    tell rows that share a key apart. Only ``key`` and the results
     are returned. Rows are counted one by one: repeated rows have the same result each, and rows that share a key are
     judged apart. Null or empty text has no words and fails the base rules; a null host is the host "". An empty table
     gives no rows.
@@ -127,7 +128,7 @@ def verdicts(df: DataFrame, key: str = "doc_id", host: str = "source", text: str
     joined = copies.join(removed, ["_row", "_host"], "left")
     words = F.coalesce(F.expr("_line_words div _copies"), F.lit(0).cast("long"))
     out = joined.withColumn("n_line_words", words).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= LEAST_SHARE * F.col("n_words")))
-    out = out.select(F.col("_row._key").alias(key), *BASE, "n_line_words", "kept", *(["removed_lines"] if keep_lines else []), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
+    out = out.select(F.col("_row._key").alias(key), *BASE, "n_line_words", "kept", *(["removed_lines", "_row", "_host"] if keep_lines else []), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     return out.drop("_copy")
 
 
@@ -143,10 +144,12 @@ def without_lines(text: Column, keys: Column) -> Column:
 def clean(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limit: int = LINE_LIMIT, tag: str = "query") -> DataFrame:
     """The rows of ``df`` that are kept, without their frequent lines, in the columns of ``df``.
 
-    ``key`` must identify rows here; rows with a null key are kept or rejected by their base statistics alone.
+    Each row is judged by its own key, host and text, so rows with a null or repeated key are told apart.
     """
-    wanted = verdicts(df, key, host, text, limit, keep_lines=True, tag=tag).where("kept").select(F.col(key).alias("_k"), "removed_lines")
-    judged = df.join(wanted.dropDuplicates(["_k"]), F.col(key).eqNullSafe(F.col("_k")))
+    told = verdicts(df, key, host, text, limit, keep_lines=True, tag=tag).where("kept")
+    wanted = told.select(F.col("_row").alias("_r"), F.col("_host").alias("_h"), "removed_lines").dropDuplicates(["_r", "_h"])
+    row = F.struct(F.col(key).alias("_key"), F.xxhash64(F.col(text)))
+    judged = df.join(wanted, row.eqNullSafe(F.col("_r")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_h")))
     return judged.withColumn(text, without_lines(F.col(text), F.col("removed_lines"))).select(*[df[c] if c != text else F.col(text) for c in df.columns])
 
 

@@ -58,6 +58,13 @@ def test_pages_that_are_mostly_template_count_apart(spark):
     assert all(got[i][1] == 0 for i in got if i >= 1000)
 
 
+def test_clean_tells_rows_of_one_key_apart(spark):
+    good = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(3)]
+    rows = [(None, good[0], "en", "a", 0), (None, "short", "en", "a", 0), (None, None, "en", "a", 0), (7, good[1], "en", "a", 0), (7, "few words", "en", "a", 0), (8, good[2], "en", None, 0), (8, good[2], "en", None, 0)]
+    got = [(r.doc_id, r.text) for r in quality.clean(spark.createDataFrame(rows, COLUMNS)).collect()]
+    assert sorted(got, key=str) == sorted([(None, good[0]), (7, good[1]), (8, good[2]), (8, good[2])], key=str)
+
+
 def test_repeated_words():
     def brute(ws):
         n = len(ws) - 2
