@@ -30,9 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no or no recognisable language go."""
+    """Documents of no or no recognisable language go; where no label allows a model, only those without a letter."""
     docs = _begin(spark, docs)
-    told = language_id.identify(docs.withColumn("_row", F.struct(*docs.columns)), language_id.train(docs))
+    model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language_id.identify(docs.withColumn("_row", F.struct(*docs.columns)), model)
     return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 

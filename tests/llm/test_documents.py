@@ -129,3 +129,9 @@ def test_pipeline_of_odd_documents(spark):
         assert i == 4 or out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.count() > 0
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "the cat and the dog", None, "a", 0), (2, "été", None, "a", 0), (3, "12 !", None, "a", 0), (4, None, None, "a", 0), (5, "", None, "a", 0)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, COLUMNS), SF)
+    assert sorted(tuple(r) for r in out.collect()) == rows[:2]
