@@ -6,12 +6,12 @@ by dual coordinate descent, on hashed byte bigrams and trigrams of lower-cased t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ STEEPNESS = 4.0
 UNDETERMINED = "und"
 
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> np.ndarray:
@@ -158,8 +158,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to the rows of ``df``, from the whole text alone; no shuffle.
 
-    Null texts, texts without a letter, and all texts where there is no model, are ``und`` with score 0. Repeated rows get
-    the same result each; an empty table stays empty; columns of the same names are replaced.
+    Null and empty texts, texts without a letter (``\\p{L}``), and all texts where there is no model, are ``und`` with score 0.
+    Texts of any length are read whole. Repeated rows get the same result each; an empty table stays empty. Columns of the same two
+    names are replaced, all others stay, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
@@ -173,5 +174,5 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 found.extend(shared.value.predict(x) if shared.value else (UNDETERMINED, 0.0) for x in batch.slice(lo, 500).to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([float(x) for _, x in found], pa.float64())], ["lang_pred", "score"])
 
-    told = df.drop("lang_pred", "score").withColumn("_told", run(F.col(text)))
-    return told.select("*", "_told.lang_pred", "_told.score").drop("_told")
+    own = F.struct(*[F.col(c) for c in df.columns if c not in ("lang_pred", "score")]).alias("_row")
+    return df.select(own, run(F.col(text)).alias("_told")).select("_row.*", "_told.lang_pred", "_told.score")

@@ -1,9 +1,9 @@
-"""What the operators on repeated passages share: occurrences of anchors, texts by key, windows compared, spans removed."""
+"""What the operators on repeated passages share: occurrences of anchors, texts by key, spans removed."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,182 +12,149 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import slices, tidied
-from .scratch import partitions, written
-from .windows import anchors, between, flat, mix, prefix, words
+from .scratch import written
+from .windows import anchors, between, flat, joined, prefix, words
 
-OCCURRENCE = T.StructType([T.StructField(n, t, False) for n, t in (("h", T.LongType()), ("c", T.LongType()), ("first", T.IntegerType()), ("last", T.IntegerType()), ("place", T.IntegerType()))])
-SCANNED = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("sha256", T.StringType(), False), T.StructField("anchors", T.ArrayType(OCCURRENCE, False), False)])
+OCCURRENCE = T.StructType([T.StructField("h", T.LongType(), False), T.StructField("c", T.BinaryType(), False), *[T.StructField(n, T.IntegerType(), False) for n in ("first", "last", "place")]])
 #: Bytes of text whose words and anchors are found at a time.
 SLICE = 1_000_000
 #: Bits of the filter that keeps most texts that nobody asks for out of a shuffle; 1 MB, whatever the data.
 FILTER_BITS = 1 << 23
-#: Rows of an anchor's group that one task holds; larger groups are counted by Spark.
-GROUP = 50_000
-#: Places of the anchor in a window that are compared together, so that an anchor of many texts is several groups.
-PLACES = 8
+#: Bytes of the fingerprint of a window; equal ones are verified before anything is decided.
+FINGERPRINT = 4
+SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _values(part: pa.Array, by_word: bool) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
-    """Values, the first value of each text, and what a text is when nothing is removed."""
-    texts = flat(part)
-    if not by_word:
-        return texts.data, texts.offsets, lambda i: texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes()
-    found = words(texts)
+def digest(data: bytes | memoryview) -> bytes:
+    """128 bits that tell any two stretches of text apart."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    def joined(i: int) -> bytes:
-        return b" ".join(texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes().split())
 
-    return found.hashes, found.firsts, joined
+def _binaries(sizes: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def scan(text: Column, window: int, gram: int, by_word: bool) -> Column:
-    """A struct for each text: words or bytes, SHA-256 of all of them, and the occurrences of anchors."""
+def scan(text: Column, window: int, gram: int, by_word: bool, fingerprints: bool) -> Column:
+    """A struct for each text: its number of words or bytes, SHA-256 of all of them, and the occurrences of anchors.
 
-    @F.arrow_udf(SCANNED)
+    An occurrence has the digest ``c`` of all bytes or words its windows cover and, with ``fingerprints``, in ``w`` a few bytes
+    of the hash of each of its windows.
+    """
+    occurrence = T.StructType([*OCCURRENCE, T.StructField("w", T.BinaryType(), False)]) if fingerprints else OCCURRENCE
+    scanned = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("sha256", T.StringType(), False), T.StructField("anchors", T.ArrayType(occurrence, False), False)])
+
+    def of(part: pa.Array, kind: pa.DataType) -> pa.Array:
+        texts = flat(part)
+        if by_word:
+            found = words(texts)
+            data, begins, ends = joined(texts, found)
+            values, firsts = found.hashes, found.firsts
+        else:
+            data, values, firsts = texts.data, texts.data, texts.offsets
+            begins, ends = np.arange(len(data)), np.arange(1, len(data) + 1)
+        raw = memoryview(data.tobytes())
+
+        def stretches(lo: np.ndarray, hi: np.ndarray) -> list[memoryview]:
+            """The bytes of values ``lo`` to ``hi``, the latter not among them."""
+            some = hi > lo
+            a, b = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+            a[some], b[some] = begins[lo[some]], ends[hi[some] - 1]
+            return [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+
+        a = anchors(values, firsts, window, gram)
+        base = firsts[a.text]
+        columns = [pa.array(a.hashes.view(np.int64)), pa.array([digest(x) for x in stretches(base + a.first, base + a.last + window)], pa.binary()), *[pa.array(x.astype(np.int32)) for x in (a.first, a.last, a.place)]]
+        if fingerprints:
+            sizes = a.last - a.first + 1
+            starts = np.repeat(base + a.first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            prints = between(prefix(values), starts, starts + window).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT]
+            columns.append(_binaries(sizes * FINGERPRINT, np.ascontiguousarray(prints).tobytes()))
+        rows = pa.StructArray.from_arrays(columns, fields=list(kind[2].type.value_type))
+        per_text = pa.array(np.searchsorted(a.text, np.arange(len(part) + 1)).astype(np.int32))
+        shas = [hashlib.sha256(x).hexdigest() for x in stretches(firsts[:-1], firsts[1:])]
+        return pa.StructArray.from_arrays([pa.array(np.diff(firsts), pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(per_text, rows, type=kind[2].type)], fields=list(kind))
+
+    @F.arrow_udf(scanned)
     @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(SCANNED)
+        kind = to_arrow_type(scanned)
         for batch in batches:
-            parts = []
-            for part in slices(batch, SLICE):
-                values, firsts, whole = _values(part, by_word)
-                a = anchors(values, firsts, window, gram)
-                ends = np.searchsorted(a.text, np.arange(len(part) + 1)).astype(np.int32)
-                columns = (a.hashes.view(np.int64), a.content.view(np.int64), a.first.astype(np.int32), a.last.astype(np.int32), a.place.astype(np.int32))
-                rows = pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(kind[2].type.value_type))
-                shas = [hashlib.sha256(whole(i)).hexdigest() for i in range(len(part))]
-                parts.append(pa.StructArray.from_arrays([pa.array(np.diff(firsts), pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(ends), rows, type=kind[2].type)], fields=list(kind)))
+            parts = [of(part, kind) for part in slices(batch, SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return run(text)
 
 
-def scanned(df: DataFrame, key: str, text: str, window: int, gram: int, by_word: bool, tag: str) -> DataFrame:
+def scanned(df: DataFrame, key: str, text: str, window: int, gram: int, by_word: bool, tag: str, fingerprints: bool = False) -> DataFrame:
     """A written table ``_key, n, sha256, anchors`` of all rows."""
-    told = df.select(F.col(key).alias("_key"), scan(F.col(text), window, gram, by_word).alias("_s"))
+    told = df.select(F.col(key).alias("_key"), scan(F.col(text), window, gram, by_word, fingerprints).alias("_s"))
     return written(told.select("_key", "_s.n", "_s.sha256", "_s.anchors"), "scan", tag)
 
 
 def occurrences(table: DataFrame) -> DataFrame:
-    """``_key, h, c, first, last, place``; rows with a null key take no part."""
+    """``_key, h, c, first, last, place`` (and ``w``); rows with a null key take no part."""
     return table.where("_key IS NOT NULL").select("_key", F.explode("anchors").alias("a")).select("_key", "a.*")
 
 
-def texts_of(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key, _text`` of the rows of ``df`` whose key is in ``keys`` (one column ``_key``, distinct).
+def _asked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds ``_maybe`` to rows with a ``_key``: false for nearly all whose key is not in ``keys`` (``_key``, distinct, not null).
 
-    A bitmap of fixed size goes to all executors and drops most other texts before the shuffle; the join is exact.
+    A bitmap of fixed size goes to all executors; true may be wrong, false and null keys never are.
     """
     slot = F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS))
     bits = keys.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))
-    asked = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
-    asked = asked.withColumn("_b", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot)).join(F.broadcast(bits), "_b")
+    placed = rows.withColumns({"_b": F.bitmap_bucket_number(slot), "_p": F.bitmap_bit_position(slot)}).join(F.broadcast(bits), "_b", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return asked.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select("_key", "_text").join(keys, "_key")
-
-
-def windows_of(members: DataFrame, texts: DataFrame, window: int, by_word: bool) -> DataFrame:
-    """``h, _block, _key, first, _hashes``: hashes of 16 bytes of the windows of each member (``_key, h, first, last, place``),
-    those with the anchor at about the same place together."""
-    asked = members.groupBy("_key").agg(F.collect_list(F.struct("h", "first", "last", "place")).alias("_asked"))
-    row = T.StructType([T.StructField("h", T.LongType()), T.StructField("_block", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("_hashes", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                values, firsts, _ = _values(part.column(1), by_word)
-                one, two = prefix(values), prefix(mix(values.astype(np.uint64), 0x3C3C))
-                out: list[list] = [[], [], [], [], []]
-                for i, asked_here in enumerate(part.column(2).to_pylist()):
-                    for a in asked_here:
-                        blocks = (a["place"] - np.arange(a["first"], a["last"] + 1)) // PLACES
-                        for block in np.unique(blocks):
-                            at = np.flatnonzero(blocks == block) + a["first"]
-                            starts = at + firsts[i]
-                            hashes = np.stack([between(one, starts, starts + window), between(two, starts, starts + window)], axis=1)
-                            for column, value in zip(out, (part.column(0)[i].as_py(), a["h"], int(block), int(at[0]), hashes.tobytes())):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema_of)], schema=schema_of)
-
-    schema = T.StructType([T.StructField("_key", members.schema["_key"].dataType), *row])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema_of = to_arrow_schema(schema)
-    return texts.join(asked, "_key").select("_key", "_text", "_asked").mapInArrow(tidied(run), schema)
-
-
-def repeated(rows: DataFrame, window: int, smaller_only: bool) -> DataFrame:
-    """``_key, lo, hi``: spans covered by windows that also occur elsewhere among ``rows`` (of ``windows_of``) of the same
-    anchor, or, with ``smaller_only``, in a text of a smaller key.
-
-    A task holds a group's hashes. Groups of more than ``GROUP`` rows, of an anchor that a great many texts have, are
-    aggregated by hash instead, whose partial results keep any one hash small. ``rows`` is read several times: pass a
-    written table.
-    """
-    kind = rows.schema["_key"].dataType
-    large = rows.groupBy("h", "_block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select("h", "_block")
-    if large.isEmpty():
-        return _held(rows, window, smaller_only)
-    return _held(rows.join(large, ["h", "_block"], "left_anti"), window, smaller_only).union(_counted(rows.join(large, ["h", "_block"]), window, smaller_only))
-
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0, F.lit(False))
+    return placed.withColumn("_maybe", hit & F.col("_key").isNotNull()).drop("_b", "_p", "_bits")
 
-def _counted(rows: DataFrame, window: int, smaller_only: bool) -> DataFrame:
-    places = F.sequence(F.lit(0), (F.length("_hashes") / 16 - 1).cast("int"))
-    long = rows.select("_key", F.posexplode(F.transform(places, lambda i: F.expr("_hashes").substr(i * 16 + 1, F.lit(16)))).alias("i", "w"), "first")
-    told = long.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"))
-    wanted = told.where("n > 1").join(long, "w").where("_key > low" if smaller_only else "true")
-    return wanted.select("_key", (F.col("first") + F.col("i")).cast("int").alias("lo"), (F.col("first") + F.col("i") + window).cast("int").alias("hi"))
 
+def texts_of(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key, _text`` of the rows of ``df`` whose key is in ``keys`` (one column ``_key``, distinct); the join is exact."""
+    rows = _asked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), keys)
+    return rows.where("_maybe").select("_key", "_text").join(keys, "_key")
 
-def _held(rows: DataFrame, window: int, smaller_only: bool) -> DataFrame:
-    kind = rows.schema["_key"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, seen = None, [], {}
 
-        def spans() -> Iterator[tuple]:
-            for key, first, hashes in held:
-                own = [hashes[i : i + 16] for i in range(0, len(hashes), 16)]
-                flags = np.fromiter((seen[x] < key if smaller_only else seen[x] > 1 for x in own), bool, len(own))
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    yield key, first + a, first + b - 1 + window
+REMOVED = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
 
-        def flush() -> pa.RecordBatch:
-            found = list(zip(*spans())) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(found[0], arrow), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())], ["_key", "lo", "hi"])
 
-        for batch in batches:
-            arrow = batch.schema.field(2).type
-            for lo in range(0, batch.num_rows, 1000):
-                for h, block, key, first, hashes in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns)):
-                    if (h, block) != group:
-                        if len(held) > 1:
-                            yield flush()
-                        group, held, seen = (h, block), [], {}
-                    for i in range(0, len(hashes), 16):
-                        x = hashes[i : i + 16]
-                        if smaller_only:
-                            seen.setdefault(x, key)
-                        else:
-                            seen[x] = seen.get(x, 0) + 1
-                    held.append((key, first, hashes))
-        if len(held) > 1:
-            yield flush()
-
-    ordered = rows.repartition(partitions(rows.sparkSession), "h", "_block").sortWithinPartitions("h", "_block", "_key", "first")
-    schema = T.StructType([T.StructField("_key", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
-    return ordered.select("h", "_block", "_key", "first", "_hashes").mapInArrow(tidied(run), schema)
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-REMOVED = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
+    """A struct for each text and its array of spans: what is removed, and what is left.
 
+    ``kept_sha256`` is of the bytes left or, of words, of the words left with one space between them. The bytes themselves come only
+    with ``keep``; of a text cut by words they are its own, white space included, without each removed word and what follows it
+    up to the next one.
+    """
 
-def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
-    """A struct for each text and its array of spans: what is removed, and what is left (its bytes only with ``keep``)."""
+    def of(text: str | None, own: list[dict] | None) -> tuple:
+        raw, spans = (text or "").encode(), merged([(x["lo"], x["hi"]) for x in own or ()])
+        n, cuts, left = len(raw), spans, None
+        if by_word:
+            texts = flat(pa.array([raw], pa.binary()))
+            found = words(texts)
+            whole, begins, ends = joined(texts, found)
+            n, bounds = len(begins), [*found.starts.tolist(), len(raw)]
+            cuts = [(bounds[a], bounds[b]) for a, b in spans]
+            kept_words = [whole[begins[a] : ends[b - 1]].tobytes() for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), n]) if b > a]
+            left = b" ".join(kept_words)
+        kept = None
+        if keep or left is None:
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(raw)]))
+            left = kept if left is None else left
+        return sum(b - a for a, b in spans), len(spans), kept if keep else None, hashlib.sha256(left).hexdigest()
 
     @F.arrow_udf(REMOVED)
     @tidied
@@ -198,19 +165,7 @@ def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
         for texts, spans in batches:
             out = []
             for lo in range(0, len(texts), 500):
-                for text, own in zip(texts.slice(lo, 500).to_pylist(), spans.slice(lo, 500).to_pylist()):
-                    raw = (text or "").encode()
-                    parts = raw.split() if by_word else raw
-                    merged: list[list[int]] = []
-                    for a, b in sorted((x["lo"], x["hi"]) for x in own or ()):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    edges = [0, *(x for pair in merged for x in pair), len(parts)]
-                    kept = [parts[a:b] for a, b in zip(edges[::2], edges[1::2])]
-                    left = b" ".join(w for part in kept for w in part) if by_word else b"".join(kept)
-                    out.append((sum(b - a for a, b in merged), len(merged), left if keep else None, hashlib.sha256(left).hexdigest()))
+                out.extend(map(of, texts.slice(lo, 500).to_pylist(), spans.slice(lo, 500).to_pylist()))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
 
@@ -228,17 +183,19 @@ def results(df: DataFrame, table: DataFrame, spans: DataFrame, key: str, text: s
     left = written(left.withColumn("_all", F.coalesce((reach == F.col("n")) & (F.col("n") > 0), F.lit(False))), "left", tag)
     asked = left.where("_spans IS NOT NULL AND NOT _all").select("_key").distinct()
     cut = texts_of(df, asked, key, text).join(per_text, "_key").select("_key", remove(F.col("_text"), F.col("_spans"), by_word, False).alias("_r")).dropDuplicates(["_key"])
-    joined = left.drop("_spans").join(cut, "_key", "left")
+    told = left.drop("_spans").join(cut, "_key", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     pick = lambda whole, own, none: F.when(F.col("_all"), whole).when(F.col("_r").isNotNull(), own).otherwise(none)
-    return joined.select(F.col("_key").alias(key), "n", pick(F.col("n"), F.col("_r.n_removed"), F.lit(0).cast("long")).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("_r.n_spans"), F.lit(0).cast("long")).alias("n_spans"), pick(F.lit(nothing), F.col("_r.kept_sha256"), F.col("sha256")).alias("kept_sha256"))
+    return told.select(F.col("_key").alias(key), "n", pick(F.col("n"), F.col("_r.n_removed"), F.lit(0).cast("long")).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("_r.n_spans"), F.lit(0).cast("long")).alias("n_spans"), pick(F.lit(nothing), F.col("_r.kept_sha256"), F.col("sha256")).alias("kept_sha256"))
 
 
 def cleaned(df: DataFrame, spans: DataFrame, key: str, text: str, by_word: bool, tag: str) -> DataFrame:
-    """The rows of ``df`` without the spans (``_key, lo, hi``) in their texts, in the columns of ``df``; of a character whose
-    bytes are partly removed nothing stays."""
+    """The rows of ``df`` without the spans (``_key, lo, hi``) in their texts, in the columns of ``df``, whatever their names.
+
+    Only rows that may have a span are shuffled. Of a character whose bytes are partly removed nothing stays.
+    """
     per_text = written(spans.groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")), "spans", tag)
-    joined = df.join(per_text, df[key] == per_text["_key"], "left")
+    rows = _asked(df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias("_row")), per_text.select("_key"))
 
     @F.arrow_udf(T.StringType())
     @tidied
@@ -246,5 +203,11 @@ def cleaned(df: DataFrame, spans: DataFrame, key: str, text: str, by_word: bool,
         for batch in batches:
             yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
 
-    kept = decoded(remove(F.col(text), F.col("_spans"), by_word, True)["kept"])
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+    def columns(own: Column) -> list[Column]:
+        return [own.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns]
+
+    touched = rows.where("_maybe").join(per_text, "_key", "left")
+    kept = decoded(remove(F.col("_row")[text], F.col("_spans"), by_word, True)["kept"])
+    changed = touched.where("_spans IS NOT NULL").select(*columns(kept))
+    same = touched.where("_spans IS NULL").select(*columns(F.col("_row")[text]))
+    return rows.where("NOT _maybe").select(*columns(F.col("_row")[text])).unionByName(same).unionByName(changed)

@@ -1,9 +1,10 @@
 """Quality rules: statistics of each document, and the frequency of lines across the documents of a host.
 
-Normalised lines are hashed and, for each host, counted by distinct documents. Copies must not make their own lines
-frequent, as taking out copies is another stage's work: documents of a host that have the same set of lines count as
-one. Lines above the limit are removed; a document that loses more than half of its
-words with them is depleted and rejected.
+Normalised lines are hashed and, for each host, counted by distinct documents (equal texts are one document: taking out
+copies is another stage's work). Lines that more of a host's documents have than its limit are removed; a document that
+loses more than half of its words with them is depleted and rejected.
+
+A row's verdict depends on its own host and text and on the host's frequent lines, so rows are never joined by their keys.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from .scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Distinct documents of a host that may share a line.
-LINE_LIMIT = 100
-#: A document that keeps less than this share of its words is depleted.
-LEAST_SHARE = 0.5
+#: A line is frequent if more documents of its host have it than this percentage of the host's documents, and more than
+#: this number of them. The floor keeps hosts of a few documents from losing what two or three of them happen to share.
+LINE_PERCENT, LINE_FLOOR = 2, 5
+#: A document that keeps less than this percentage of its words is depleted.
+LEAST_PERCENT = 50
+#: Frequent lines, of all hosts, up to which they are broadcast (17 bytes each); more of them are joined by host.
+BROADCAST_LINES = 200_000
 LEAST_WORDS = 50
 #: In percent of the words.
 MOST_REPEATED = 50
@@ -87,70 +91,72 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def lines_of(df: DataFrame, row: str, host: str, text: str) -> DataFrame:
-    """One row for each distinct line of a row: ``_row, _host, _line, _words`` (of all its occurrences) and ``_self``, a 128-bit hash of the
-    row's set of lines."""
-    split = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD))
-    keyed = df.select(F.col(row).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.transform(split, lambda x: F.struct(line_key(x).alias("k"), _word_count(x).alias("w"))).alias("_lines"))
-    keys = F.col("_lines.k")
-    every = F.array_sort(F.array_distinct(keys))
-    self = F.struct(F.xxhash64(every).alias("one"), F.xxhash64(F.lit(0x3C3C), every).alias("two"))
-    long = keyed.select("_row", "_host", self.alias("_self"), F.explode("_lines").alias("_l"))
-    return long.select("_row", "_host", "_self", F.col("_l.k").alias("_line"), F.col("_l.w").alias("_words"))
-
+def lines_of(text: Column) -> Column:
+    """An array with the key and the number of words of each line of ``text`` that has a word."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.struct(line_key(x).alias("k"), _word_count(x).alias("w")))
 
-def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """``_host, _line`` of the lines that more than ``limit`` distinct documents of the host have.
 
-    The pairs are made distinct on all their columns first, so a line that most documents have is never in one task.
-    """
-    distinct = lines.select("_host", "_line", "_self").distinct()
-    return distinct.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_host", "_line")
+def host_of(host: Column) -> Column:
+    return F.coalesce(host.cast("string"), F.lit(""))
 
 
-def verdicts(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limit: int = LINE_LIMIT, keep_lines: bool = False, tag: str = "query") -> DataFrame:
-    """The base statistics of each row of ``df``, ``n_line_words`` (words in removed lines) and ``kept``.
+def frequent_lines(df: DataFrame, host: Column, text: Column, percent: int = LINE_PERCENT, floor: int = LINE_FLOOR, tag: str = "query") -> DataFrame:
+    """A written table ``_host, _keys``: the keys of the frequent lines of each host that has any.
 
-    With ``keep_lines`` also ``removed_lines``, the keys of the document's frequent lines, and ``_row`` and ``_host``, which
-    tell rows that share a key apart. Only ``key`` and the results
-    are returned. Rows are counted one by one: repeated rows have the same result each, and rows that share a key are
-    judged apart. Null or empty text has no words and fails the base rules; a null host is the host "". An empty table
-    gives no rows.
+    Texts are told apart by MD5, so equal texts of a host count once; texts without words don't count. Of a text each
+    line counts once, and an empty key counts the text itself, so one aggregation, of partial counts, gives the lines' and the
+    hosts' numbers. A host has at most 100 / ``percent`` frequent lines for each line of its mean document.
     """
-    slim = df.select(F.col(key).alias("_key"), F.col(host).alias("_host_in"), F.col(text).alias("_text"))
-    lines = lines_of(slim.withColumn("_row", F.struct("_key", F.xxhash64("_text"))), "_row", "_host_in", "_text")
-    hit = lines.join(frequent_lines(lines, limit), ["_host", "_line"])
-    # rows that are alike in key, host and text were exploded once for each of them; they all get the same lines
-    per_line = hit.groupBy("_row", "_host", "_line").agg(F.sum("_words").alias("_w"))
-    removed = per_line.groupBy("_row", "_host").agg(F.sum("_w").alias("_line_words"), F.collect_list("_line").alias("removed_lines"))
-    base = statistics(slim, "_text").withColumn("_row", F.struct("_key", F.xxhash64("_text"))).withColumn("_host", F.coalesce(F.col("_host_in").cast("string"), F.lit(""))).drop("_text")
-    copies = base.groupBy("_row", "_host", *BASE).agg(F.count(F.lit(1)).alias("_copies"))
-    joined = copies.join(removed, ["_row", "_host"], "left")
-    words = F.coalesce(F.expr("_line_words div _copies"), F.lit(0).cast("long"))
-    out = joined.withColumn("n_line_words", words).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= LEAST_SHARE * F.col("n_words")))
-    out = out.select(F.col("_row._key").alias(key), *BASE, "n_line_words", "kept", *(["removed_lines", "_row", "_host"] if keep_lines else []), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
-    return out.drop("_copy")
+    keyed = df.select(host_of(host).alias("_host"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("_doc"), F.array_distinct(lines_of(text)["k"]).alias("_keys")).where(F.size("_keys") > 0)
+    texts = keyed.groupBy("_host", "_doc").agg(F.first("_keys").alias("_keys"))
+    itself = F.array(F.lit(b""))
+    counts = texts.select("_host", F.explode(F.concat("_keys", itself)).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts.where((F.col("_n") > floor) | (F.length("_line") == 0)), "line-counts", tag)
+    hosts = counts.where(F.length("_line") == 0).select("_host", F.col("_n").alias("_docs"))
+    found = counts.where(F.length("_line") > 0).join(hosts, "_host").where((F.col("_n") > floor) & (100 * F.col("_n") > percent * F.col("_docs")))
+    return written(found.groupBy("_host").agg(F.collect_set("_line").alias("_keys")), "frequent-lines", tag)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _judged(df: DataFrame, carried: list[Column], key: str, host: str, text: str, percent: int, floor: int, tag: str) -> DataFrame:
+    """``carried`` of each row, ``_text``, the base statistics, ``n_line_words``, ``removed_lines`` and ``kept``; rows don't move."""
+    lines = frequent_lines(df, F.col(host), F.col(text), percent, floor, tag)
+    few = (lines.agg(F.sum(F.size("_keys"))).first()[0] or 0) <= BROADCAST_LINES
+    own = statistics(df.select(*carried, host_of(F.col(host)).alias("_host"), F.col(text).alias("_text")), "_text").withColumn("_lines", lines_of(F.col("_text")))
+    told = own.join(F.broadcast(lines) if few else lines, "_host", "left")
+    told = told.withColumn("removed_lines", F.coalesce(F.array_intersect(F.col("_lines.k"), F.col("_keys")), F.array().cast("array<binary>")))
+    gone = F.aggregate(F.filter("_lines", lambda x: F.array_contains("removed_lines", x["k"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    told = told.withColumn("n_line_words", F.when(F.size("removed_lines") > 0, gone).otherwise(F.lit(0).cast("long")))
+    return told.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_line_words")) >= LEAST_PERCENT * F.col("n_words"))).drop("_host", "_lines", "_keys")
+
+
+def verdicts(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", percent: int = LINE_PERCENT, floor: int = LINE_FLOOR, tag: str = "query") -> DataFrame:
+    """``key``, the base statistics of each row of ``df``, ``n_line_words`` (words in frequent lines) and ``kept``.
+
+    Each row is judged by its own host and text, so repeated rows have the same result each and rows with a null or repeated key
+    are told apart. A null or empty text has no words and fails the base rules; a null host is the host "". Of a very long text
+    every line counts. Other columns of ``df``, whatever their names, are ignored. An empty table gives no rows.
+    """
+    told = _judged(df, [F.col(key).alias("_id")], key, host, text, percent, floor, tag)
+    return told.select(F.col("_id").alias(key), *BASE, "n_line_words", "kept")
+
+
 def without_lines(text: Column, keys: Column) -> Column:
-    """The text without the lines whose key is in the array ``keys``; a null array removes none."""
+    """The text without the lines whose key is in the array ``keys``."""
     lines = F.split(text, "\n", -1)
-    return F.when(keys.isNull() | (F.size(keys) == 0), text).otherwise(F.array_join(F.filter(lines, lambda x: ~(x.rlike(WORD) & F.array_contains(keys, line_key(x)))), "\n"))
+    return F.when(F.size(keys) == 0, text).otherwise(F.array_join(F.filter(lines, lambda x: ~(x.rlike(WORD) & F.array_contains(keys, line_key(x)))), "\n"))
 
 
-def clean(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limit: int = LINE_LIMIT, tag: str = "query") -> DataFrame:
-    """The rows of ``df`` that are kept, without their frequent lines, in the columns of ``df``.
+def clean(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", percent: int = LINE_PERCENT, floor: int = LINE_FLOOR, tag: str = "query") -> DataFrame:
+    """The rows of ``df`` that ``verdicts`` keeps, without their frequent lines, in the columns of ``df``.
 
-    Each row is judged by its own key, host and text, so rows with a null or repeated key are told apart.
+    Rows are judged one by one, whatever their keys (see ``verdicts``); repeated rows are all kept or all rejected. Columns of
+    ``df`` may have any names. An empty table stays empty.
     """
-    told = verdicts(df, key, host, text, limit, keep_lines=True, tag=tag).where("kept")
-    wanted = told.select(F.col("_row").alias("_r"), F.col("_host").alias("_h"), "removed_lines").dropDuplicates(["_r", "_h"])
-    row = F.struct(F.col(key).alias("_key"), F.xxhash64(F.col(text)))
-    judged = df.join(wanted, row.eqNullSafe(F.col("_r")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_h")))
-    return judged.withColumn(text, without_lines(F.col(text), F.col("removed_lines"))).select(*[df[c] if c != text else F.col(text) for c in df.columns])
+    told = _judged(df, [F.struct(*[F.col(c) for c in df.columns]).alias("_row")], key, host, text, percent, floor, tag).where("kept")
+    return told.select(*[without_lines(F.col("_text"), F.col("removed_lines")).alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 SQL = f"""
@@ -163,13 +169,15 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1,
 l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
 lw AS (SELECT doc_id, host, line, md5(lower(trim(regexp_replace(line, '{SPACE}', ' ', 'g')))) AS k, len(regexp_extract_all(line, '{WORD}')) AS n FROM l WHERE regexp_matches(line, '{WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
-me AS (SELECT doc_id, min(k) || max(k) AS me FROM lw GROUP BY doc_id),
-f AS (SELECT host, k FROM lw JOIN me USING (doc_id) GROUP BY host, k HAVING count(DISTINCT me) > {LINE_LIMIT}),
+texts AS (SELECT host, t, min(doc_id) AS doc_id FROM d WHERE regexp_matches(t, '{WORD}') GROUP BY host, t),
+docs AS (SELECT host, count(*) AS n FROM texts GROUP BY host),
+each AS (SELECT DISTINCT host, doc_id, k FROM lw SEMI JOIN texts USING (host, doc_id)),
+f AS (SELECT each.host, k FROM each JOIN docs USING (host) GROUP BY each.host, k, docs.n HAVING count(*) > {LINE_FLOOR} AND 100 * count(*) > {LINE_PERCENT} * docs.n),
 x AS (SELECT doc_id, sum(n) AS n FROM lw JOIN f USING (host, k) GROUP BY doc_id),
 s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g'))::BIGINT AS word_chars, len(sy)::BIGINT AS n_symbols,
         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(x.n, 0)::BIGINT AS n_line_words
       FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN x USING (doc_id)),
 b AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words,
-  (NOT base_failed AND n_words - n_line_words >= {LEAST_SHARE} * n_words) AS kept FROM b
+  (NOT base_failed AND 100 * (n_words - n_line_words) >= {LEAST_PERCENT} * n_words) AS kept FROM b
 """

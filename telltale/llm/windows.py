@@ -97,18 +97,28 @@ def words(texts: Flat, lower: bool = False) -> Words:
     return Words(starts, ends, np.searchsorted(starts, texts.offsets), between(prefix(data), starts, ends))
 
 
+def joined(texts: Flat, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each word starts and ends in them: what a stretch of words is,
+    whatever white space stood between them."""
+    sizes = found.ends - found.starts + 1
+    ends = np.cumsum(sizes)
+    out = texts.data[np.minimum(np.repeat(found.starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0), len(texts.data) - 1)]
+    out[ends - 1] = 0x20
+    return out, ends - sizes, ends - 1
+
+
 @dataclass
 class Anchors:
-    """For each anchor: its text, its hash, a hash of all values of its windows, and within the text the first and the last
-    window (by their starts) it stands for and its own place.
+    """For each anchor: its text, its hash, and within the text the first and the last window (by their starts) it stands for
+    and its own place.
 
-    Of all grams in a window the smallest, the leftmost among equals, is the window's anchor. So equal windows have anchors
-    of equal hashes at equal places, and each window belongs to one anchor.
+    Of all grams in a window the one of the smallest hash, the leftmost among equals, is the window's anchor. So equal windows
+    have anchors of equal hashes at equal places, and each window belongs to one anchor. Unequal grams of one hash do no harm:
+    an anchor only says what is to be compared.
     """
 
     text: np.ndarray
     hashes: np.ndarray
-    content: np.ndarray
     first: np.ndarray
     last: np.ndarray
     place: np.ndarray
@@ -122,16 +132,14 @@ def anchors(values: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> A
     """Anchors of all windows of ``window`` values; text ``i`` is ``values[firsts[i]:firsts[i + 1]]``."""
     parts = [_block(values[lo : lo + BLOCK + window - 1], firsts, lo, window, gram) for lo in range(0, max(0, len(values) - window + 1), BLOCK)]
     none = np.zeros(0, np.int64)
-    text, hashes, content, first, last, place = [np.concatenate(x) for x in zip(*parts)] if parts else [none] * 6
+    text, hashes, first, last, place = [np.concatenate(x) for x in zip(*parts)] if parts else [none] * 5
     if len(parts) > 1:  # an anchor may go on in the next block
         more = np.zeros(len(text), bool)
         more[1:] = (text[1:] == text[:-1]) & (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)
         head = np.flatnonzero(~more)
         tail = np.concatenate((head[1:], [len(text)])) - 1
-        for i in np.flatnonzero(more):
-            content[i : i + 1] = mix(content[i : i + 1] + content[i - 1 : i] * _U(BASE))
-        text, hashes, content, first, last, place = text[head], hashes[head], content[tail], first[head], last[tail], place[head]
-    return Anchors(text, hashes.astype(_U), content.astype(_U), first, last, place)
+        text, hashes, first, last, place = text[head], hashes[head], first[head], last[tail], place[head]
+    return Anchors(text, hashes.astype(_U), first, last, place)
 
 
 def _block(values: np.ndarray, firsts: np.ndarray, lo: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -157,4 +165,4 @@ def _block(values: np.ndarray, firsts: np.ndarray, lo: int, window: int, gram: i
     tail = np.concatenate((head[1:], [len(valid)])) - 1
     first, last, text = valid[head], valid[tail], o[head]
     base = firsts[text] - lo
-    return text, grams[p[head]], between(sums, first, last + window), first - base, last - base, p[head] - base
+    return text, grams[p[head]], first - base, last - base, p[head] - base

@@ -8,7 +8,7 @@ import corpus_pipeline
 from telltale.llm import language_id, quality
 
 from .test_near_dedup import brute_classes
-from .test_passages import brute_bytes
+from .test_passages import without_repeats
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,9 +53,26 @@ def test_pages_that_are_mostly_template_count_apart(spark):
     rows = [(i, "\n".join([*template, line(30)]), "en", "a", 0) for i in range(200)]
     rows += [(1000 + i, "\n".join([line(60)] * 2), "en", "b", 0) for i in range(2)]
     rows += [(2000 + i, rows[0][1], "en", "c", 0) for i in range(200)]
+    rows += [(3000 + i, "\n".join([*template[:20], line(30), line(200)]), "en", "d", 0) for i in range(400)]
     got = {r.doc_id: (r.n_words, r.n_line_words, r.kept) for r in quality.verdicts(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert all(got[i] == (430, 400, False) for i in range(200))
-    assert all(got[i][1] == 0 for i in got if i >= 1000)
+    assert all(got[i][1] == 0 for i in got if 1000 <= i < 3000)
+    assert all(got[i] == (390, 160, True) for i in got if i >= 3000)
+
+
+def test_quality_joins_by_host_where_lines_are_many(spark, monkeypatch):
+    df = spark.createDataFrame(odd_documents(), COLUMNS)
+    want = sorted(map(str, quality.clean(df).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert sorted(map(str, quality.clean(df).collect())) == want
+
+
+def test_quality_with_clashing_names(spark):
+    names = ["removed_lines", "kept", "_row", "_host", "_text", "_lines", "n_words", "_keys"]
+    df = spark.createDataFrame(odd_documents(), COLUMNS).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    rows = quality.clean(df).collect()
+    assert rows and all([r[n] for n in names] == list(range(len(names))) for r in rows)
+    assert quality.verdicts(df).count() == df.count()
 
 
 def test_clean_tells_rows_of_one_key_apart(spark):
@@ -85,10 +102,10 @@ def test_languages_held_out(spark):
 
 
 def test_languages_of_odd_rows(spark):
-    rows = [(i, t, y) for i, (t, y) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("xx yy zz", "tlh"), (None, "en"), ("123 !", "fr"), ("the dog", None)] * 8)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    rows = [(i, t, y) for i, (t, y) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("xx yy zz", "tlh"), (None, "en"), ("²³ Ⅷ", "fr"), ("the dog", None)] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "_told": F.lit(5), "_row": F.lit(6)})
     got = {r.doc_id: r for r in language_id.identify(df, language_id.train(df)).collect()}
-    assert all(got[i].lang_pred == ("und" if rows[i][1] in (None, "123 !") else rows[i][2] or "en") and 0 <= got[i].score <= 1 for i in got)
+    assert all(got[i].lang_pred == ("und" if rows[i][1] in (None, "²³ Ⅷ") else rows[i][2] or "en") and 0 <= got[i].score <= 1 and (got[i]._told, got[i]._row) == (5, 6) for i in got)
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.train(none) is None and language_id.identify(none, None).count() == 0
 
@@ -111,8 +128,7 @@ def test_stages_match_brute_force(spark, stages):
     assert set(texts[0][1]) == {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality.SQL}) WHERE kept").fetchall()}
     assert set(texts[1][1]) <= set(texts[1][0]) and len(texts[1][1]) >= 0.99 * len(texts[1][0])
     assert set(texts[2][1]) == set(brute_classes(texts[2][0]).values())
-    changed = {k for k, x in brute_bytes(texts[3][0], 400).items() if x[1]}
-    assert {k for k in texts[3][0] if texts[3][0][k] != texts[3][1][k]} == changed
+    assert texts[3][1] == without_repeats(texts[3][0], 50) != texts[3][0]
     for before, after in stages[:-1]:
         assert before.columns == after.columns
     assert {r.doc_id for r in stages[-1][1].select("doc_id").distinct().collect()} == set(texts[3][1])
