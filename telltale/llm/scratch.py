@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,14 @@ _FOLDERS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode (tests) where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="telltale-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -47,6 +50,17 @@ def written(df: DataFrame, name: str, tag: str = "query") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _filesystem(spark, path)
+    return fs.exists(hadoop)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    fs, hadoop = _filesystem(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(hadoop) if x.isDirectory()] if fs.exists(hadoop) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, hadoop = _filesystem(spark, path)
     fs.delete(hadoop, True)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from telltale.llm import fingerprint_index, passages, suffix_dedup
+from telltale.llm import fingerprint_index, passages, scratch, suffix_dedup
 from telltale.llm.windows import anchors
 
 
@@ -138,18 +138,48 @@ def test_cleaning_by_words_matches_brute_force(spark, monkeypatch, hot):
     assert all((r._spans, r._key, r._row) == ([r.doc_id], r.doc_id, "x") for r in rows) and len(rows) == len(docs)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_words_match_brute_force(spark, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(passages, "GROUP", 3)
+@pytest.mark.parametrize(("batches", "group", "fingerprint"), [(1, 50_000, 4), (2, 3, 4), (3, 50_000, 1), (7, 3, 1)])
+def test_words_match_brute_force(spark, monkeypatch, batches, group, fingerprint):
+    monkeypatch.setattr(fingerprint_index, "GROUP", group)
+    monkeypatch.setattr(passages, "FINGERPRINT", fingerprint)  # one byte is often equal by chance
     docs = corpus(6)
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in docs.items()], "doc_id long, text string, first int, c int").repartition(3)
-    got = {r.doc_id: (r.n, r.n_removed, r.kept_sha256) for r in fingerprint_index.deduplicate(df).collect()}
+    got = {r.doc_id: (r.n, r.n_removed, r.kept_sha256) for r in fingerprint_index.deduplicate(df, batches=batches).collect()}
     want = brute_words(docs, 50)
     assert sum(x[1] > 0 for x in want.values()) > 20
     assert got == want
 
 
+def thue_morse(swap):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+def test_words_of_equal_polynomial_hashes(spark):
+    """These two words have the same hash modulo 2 ** 64 under any base."""
+    ws = [f"w{i}" for i in range(60)]
+    docs = {1: " ".join([*ws[:30], thue_morse(0), *ws[30:]]), 2: " ".join([*ws[:30], thue_morse(1), *ws[30:]]), 3: " ".join([*ws[:30], thue_morse(1), *ws[30:55], "x"])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for batches in (1, 3):
+        got = {r.doc_id: (r.n, r.n_removed, r.kept_sha256) for r in fingerprint_index.deduplicate(df, batches=batches).collect()}
+        assert got == brute_words(docs, 50) and got[2][1] == 0 < got[3][1]
+    changed = {r.doc_id: r.text for r in suffix_dedup.clean(df).collect()}
+    assert changed == without_repeats(docs, 50) and changed[1] == docs[1]
+
+
+def test_an_index_goes_on_from_its_folder(spark):
+    docs = {k: t for k, t in corpus(9).items() if t}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    folder, spans = scratch.new_path(spark, "index"), []
+    for i, (lo, hi) in enumerate([(0, 30), (30, 50), (50, 90), (90, 200)]):
+        index = fingerprint_index.FingerprintIndex(spark, folder)  # as a new session would
+        assert index.next_batch == i and len(index.runs) == [0, 1, 1, 2][i]
+        table = passages.scanned(df.where(f"doc_id >= {lo} AND doc_id < {hi}"), "doc_id", "text", 50, 10, True, "query", fingerprints=True)
+        spans += [(r[0], r.lo, r.hi) for r in index.add(table, df.where(f"doc_id < {hi}"), "doc_id", "text").collect()]
+        index.close()
+    lost = {k: sum(covered(x[0], [s for key, lo, hi in spans if key == k for s in range(lo, hi)], 1)) for k, x in brute_words(docs, 50).items()}
+    assert lost == {k: x[1] for k, x in brute_words(docs, 50).items()}
+
+
 def test_passages_twice_in_the_document_that_has_them_first(spark):
     for seed in range(2):
         rng = random.Random(seed)
