@@ -1,14 +1,15 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text's k-mers of words are labelled with their occurrence. Each sketch takes the few labelled k-mers that are smallest
-under its own hash and keeps them in text order, so it feels moved text as well as changed text. Texts that share a sketch
-are candidates; a pair is a link if the edit distance of its words, found within a band, leaves a similarity of 0.8.
-
-Exact copies are one representative first. In a bucket, of whatever size, each member is compared with the bucket's leader
-and, unless both are much alike, with the last members that agree with it in other sketches. Classes are the components of
-the links. Candidates that are then still in different classes are compared in rounds, more leaders of each bucket at a
-time, until no pair is left; a bucket of n costs a multiple of n where its members are of one class by then, and up to n
-squared where they stay apart.
+A text's k-mers of five words are labelled with their occurrence. Each sketch takes the few labelled k-mers that are smallest
+under its own hash and keeps them in text order, so it feels moved text as well as changed text. A pair is a link if the
+edit distance of the two sequences of k-mers, found within a band, leaves a similarity of 0.8: at most one k-mer in five is
+changed, added or taken out. Such texts share two thirds of their k-mers or more, so they agree in each sketch with a
+probability of about 0.44; those that agree in three of 24 or more are candidates.
+
+Exact copies are one representative first. Texts that share a sketch are a bucket. Each member is compared with its bucket's
+leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
+classes are then compared within their buckets: small buckets in a task each, members of large ones by a second sketch they
+share, then a third, and what is large even then in tiles, until no candidate pair is left.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import slices, tidied
-from .passages import SLICE, texts_of
+from .passages import SLICE, asked, digest, texts_of
 from .scratch import partitions, written
-from .windows import BASE, between, flat, mix, prefix, words
+from .windows import BASE, between, flat, joined, lowered, mix, prefix, words
 
 SHINGLE, TAKEN, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: Sketches in which a member must agree with its candidate, and those from which on the first round asks for no other.
-LEAST_AGREED, WELL_AGREED = 2, 16
+#: Sketches in which candidates agree.
+LEAST_AGREED = 3
 #: Members compared with a leader in one task's group.
 MEMBERS = 256
-#: Leaders of a bucket in the first round among classes, and how many times as many there are after each round.
-LEADERS = 16
+#: Members of a bucket that are compared in one task; larger buckets are split.
+BUCKET = 1000
 
 _MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0x5A5A)
@@ -67,7 +68,7 @@ SIGNATURE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(
 
 
 def signature(text: Column | str) -> Column:
-    """Number of words, a 128-bit hash of all words and the sketches; null for texts without words."""
+    """Number of words, a 128-bit digest of all words and the sketches; null for texts without words."""
 
     @F.arrow_udf(SIGNATURE)
     @tidied
@@ -75,21 +76,40 @@ def signature(text: Column | str) -> Column:
         for batch in batches:
             counts, contents, drawn = [], [], []
             for part in slices(batch, SLICE):
-                found = words(flat(part), lower=True)
-                sums, other = prefix(found.hashes), prefix(mix(found.hashes, 0x77))
-                a, b = found.firsts[:-1], found.firsts[1:]
-                both = np.stack([between(sums, a, b), between(other, a, b)], axis=1)
-                for i, (lo, hi) in enumerate(zip(a.tolist(), b.tolist())):
+                texts = lowered(flat(part))
+                found = words(texts)
+                data, begins, ends = joined(texts, found)
+                raw = memoryview(data.tobytes())
+                for lo, hi in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
                     counts.append(hi - lo)
-                    contents.append(both[i].tobytes() if hi > lo else None)
+                    contents.append(digest(raw[begins[lo] : ends[hi - 1]]) if hi > lo else None)
                     drawn.append(sketches(found.hashes[lo:hi]).view(np.int64) if hi > lo else None)
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(contents, pa.binary()), pa.array(drawn, pa.list_(pa.int64()))], ["n_words", "content", "sketches"])
 
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """Numbers of each text's k-mers of words, alike for like k-mers of all the texts; none for fewer words than a k-mer has.
+
+    The words themselves are numbered, not their hashes.
+    """
+    low = lowered(flat(texts))
+    found = words(low)
+    data, begins, _ = joined(low, found)
+    offsets = np.append(begins, len(data)).astype(np.int32)
+    each = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    ids = each.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = ids
+    for k in range(1, SHINGLE):
+        if len(keys) < 2:
+            break
+        _, keys = np.unique(keys[:-1] * (len(ids) + 1) + ids[k:], return_inverse=True)
+    return [keys[a : max(a, b - SHINGLE + 1)] for a, b in zip(found.firsts[:-1], found.firsts[1:])]
+
+
 def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Edit distance of two word sequences if it is at most ``limit``."""
+    """Edit distance of two sequences of numbers if it is at most ``limit``."""
     if abs(len(a) - len(b)) > limit:
         return None
     short = min(len(a), len(b))
@@ -143,103 +163,86 @@ def allowed(n: int, m: int, similarity: float) -> int:
     return int((1 - similarity) * max(n, m) + 1e-9)
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """``_leader, _member`` from rows ``_bucket, _order, _rep, _bits``; linear in the rows, whatever the buckets' sizes."""
-    kind = members.schema["_rep"].dataType
+def similar_enough(n: Column, m: Column, similarity: float) -> Column:
+    """Whether texts of ``n`` and ``m`` words can be similar by their lengths alone."""
+    return F.abs(n - m) <= F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leader, last = None, None, {}
-        waiting: tuple | None = None
-        for batch in batches:
-            buckets = batch.column(0).to_numpy(zero_copy_only=False)
-            same = np.zeros(len(buckets), bool)
-            same[1:] = buckets[1:] == buckets[:-1]
-            if len(same):
-                same[0] = buckets[0] == bucket or (waiting is not None and buckets[0] == waiting[0])
-            in_run = same.copy()
-            in_run[:-1] |= same[1:]
-            reps, bits = batch.column(1), batch.column(2)
-            left, right = [], []
 
-            def take(b, rep, raw):
-                nonlocal bucket, leader, last
-                own = np.frombuffer(raw, np.uint8)
-                places = [(b >> 3) % SKETCHES, (b >> 9) % SKETCHES, (b >> 15) % SKETCHES]
-                if b != bucket:
-                    bucket, leader, last = b, (rep, own), {}
-                else:
-                    agreed = int((leader[1] == own).sum())
-                    if agreed >= LEAST_AGREED and rep != leader[0]:
-                        left.append(leader[0])
-                        right.append(rep)
-                    if agreed < WELL_AGREED:
-                        for p in places:
-                            other = last.get((p, own[p]))
-                            if other is not None and other[0] != rep and other[0] != leader[0] and int((other[1] == own).sum()) >= LEAST_AGREED:
-                                left.append(other[0])
-                                right.append(rep)
-                for p in places:
-                    last[p, own[p]] = (rep, own)
-
-            for i in np.flatnonzero(in_run).tolist():
-                if waiting is not None and not (i == 0 and same[0]):
-                    waiting = None
-                if waiting is not None:
-                    take(*waiting)
-                    waiting = None
-                take(int(buckets[i]), reps[i].as_py(), bits[i].as_py())
-            if len(buckets) and not in_run[-1]:
-                waiting = (int(buckets[-1]), reps[len(buckets) - 1].as_py(), bits[len(buckets) - 1].as_py())
-            elif len(buckets):
-                waiting = None
-            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(1).type), pa.array(right, batch.schema.field(1).type)], ["_leader", "_member"])
-
-    spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_order", "_rep")
-    schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
-    return spread.select("_bucket", "_rep", "_bits").mapInArrow(tidied(pair), schema).distinct()
+def with_leaders(members: DataFrame, tag: str) -> DataFrame:
+    """A written table of those ``members`` (``_bucket, _rep, _order, _bits, n_words`` and others) that share their bucket, with
+    its size ``_n`` and, of its first member, ``_leader``, ``_lead_bits`` and ``_lead_words``.
+
+    Buckets are counted in partial aggregates, and Spark can split a large one in the join.
+    """
+    first = F.struct("_order", "_rep", "_bits", "n_words")
+    leaders = members.groupBy("_bucket").agg(F.min(first).alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    leaders = written(leaders.select("_bucket", "_n", F.col("_m._rep").alias("_leader"), F.col("_m._bits").alias("_lead_bits"), F.col("_m.n_words").alias("_lead_words")), "leaders", tag)
+    shared = asked(members.withColumn("_key", F.col("_bucket")), leaders.select(F.col("_bucket").alias("_key"))).where("_maybe").drop("_key", "_maybe")
+    return written(shared.join(leaders, "_bucket"), "members", tag)
+
+
+def leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """``_leader, _member`` of candidates among the rows of ``with_leaders``; as many as rows at most."""
+    agreed = F.aggregate(F.zip_with("_bits", "_lead_bits", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    close = similar_enough(F.col("n_words"), F.col("_lead_words"), similarity)
+    return members.where((F.col("_rep") != F.col("_leader")) & close & (agreed >= LEAST_AGREED)).select("_leader", F.col("_rep").alias("_member")).distinct()
 
 
-def pairs_across(members: DataFrame, lo: int, hi: int, similarity: float) -> DataFrame:
-    """``_leader, _member`` of different classes that share a bucket and may be similar, from rows ``_bucket, _order, _rep,
-    _bits, n_words, _class``; leaders are the members ``lo`` to ``hi`` of each bucket, in its order."""
+def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
+    """``_leader, _member`` of all candidates of different classes in a bucket, from rows ``_bucket, _rep, _bits, n_words,
+    _class``; a task holds a bucket, so pass small ones."""
     kind = members.schema["_rep"].dataType
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
-        def found() -> Iterator[pa.RecordBatch]:
+        def found() -> pa.RecordBatch:
             number: dict = {}
             classes = np.array([number.setdefault(x[3], len(number)) for x in held])
             lengths = np.array([x[2] for x in held])
-            bits = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1)
+            bits = np.array([x[1] for x in held], np.int8)
             left, right = [], []
-            for i in range(lo, min(hi, len(held) - 1)):
+            for i in range(len(held) - 1):
                 at = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
                 most = np.floor((1 - similarity) * np.maximum(lengths[at], lengths[i]) + 1e-9)
                 at = at[np.abs(lengths[at] - lengths[i]) <= most]
                 at = at[(bits[at] == bits[i]).sum(axis=1) >= LEAST_AGREED]
                 left.extend([held[i][0]] * len(at))
                 right.extend(held[j][0] for j in at.tolist())
-                if len(left) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
-                    left, right = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
+            return pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
 
         for batch in batches:
             arrow = batch.schema.field(1).type
             for start in range(0, batch.num_rows, 1000):
                 for b, *row in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
                     if b != bucket:
-                        if held:
-                            yield from found()
+                        if len(held) > 1:
+                            yield found()
                         bucket, held = b, []
                     held.append(row)
-        if held:
-            yield from found()
+        if len(held) > 1:
+            yield found()
 
-    spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_order", "_rep")
+    spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_rep")
     schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
-    return spread.select("_bucket", "_rep", "_bits", "n_words", "_class").mapInArrow(tidied(pair), schema).distinct()
+    told = spread.select("_bucket", "_rep", "_bits", "n_words", "_class").mapInArrow(tidied(pair), schema)
+    return told.select(F.least("_leader", "_member").alias("_leader"), F.greatest("_leader", "_member").alias("_member")).distinct()
+
+
+def split(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of large buckets in buckets of one more sketch each; ``_used`` is the last sketch of a bucket, so that each set of
+    sketches is one bucket."""
+    own = members.select("_bucket", "_used", "_rep", "_order", "_bits", "n_words").join(reps.select("_rep", "sketches"), "_rep")
+    more = own.select("*", F.posexplode("sketches").alias("_at", "_sketch")).where("_at > _used")
+    return more.select(F.xxhash64("_bucket", "_at", "_sketch").alias("_bucket"), F.col("_at").alias("_used"), "_rep", "_order", "_bits", "n_words")
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """Members of large buckets once for each pair of tiles they are in, so that every two members meet in a bucket of two tiles."""
+    count = F.ceil(F.col("_n") / (BUCKET / 2)).cast("int")
+    own = members.withColumn("_tiles", count).withColumn("_tile", F.pmod(F.col("_order"), F.col("_tiles")).cast("int"))
+    met = own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    return met.withColumn("_bucket", F.xxhash64("_bucket", F.least("_tile", "_with"), F.greatest("_tile", "_with")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -255,17 +258,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     rows = own.unionByName(theirs).repartition(partitions(pairs.sparkSession), "_leader", "_salt").sortWithinPartitions("_leader", "_salt", "_role")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, mine = None, np.zeros(0, np.uint64)
+        lead, own = None, ""
         for batch in batches:
             left, right = [], []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = words(flat(part.column(3)), lower=True)
+                texts = part.column(3).cast(pa.string())
+                found = shingles(pa.concat_arrays([pa.array([own], pa.string()), texts]))
+                mine = found[0]
                 for i, (leader, role, member) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
-                    hashes = found.hashes[found.firsts[i] : found.firsts[i + 1]]
+                    theirs = found[i + 1]
                     if role == 0:
-                        lead, mine = leader, hashes
-                    elif leader == lead and distance(mine, hashes, allowed(len(mine), len(hashes), similarity)) is not None:
+                        lead, mine, own = leader, theirs, texts[i].as_py() or ""
+                    elif leader == lead and len(mine) and len(theirs) and distance(mine, theirs, allowed(len(mine), len(theirs), similarity)) is not None:
                         left.append(leader)
                         right.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(0).type), pa.array(right, batch.schema.field(0).type)], ["_leader", "_member"])
@@ -309,41 +314,63 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     """The class of each row of ``df``: ``key``, ``class_id`` (the smallest key of the class) and ``n_words``.
 
     Words are split at ASCII white space and compared without regard to the case of ASCII letters. Texts with the same
-    words are one class, and so are texts linked by a chain of similar ones. Null, empty and blank texts are classes of
-    their own; a row with a null key has the class of its copies, null without any. Repeated rows share their class. ``key``
-    should identify a text: of rows that share a key and have different texts, any one is compared. An empty table gives no
-    rows.
+    words are one class, and so are texts linked by a chain of similar ones; texts of fewer than five words have no k-mer and
+    only equal ones are alike. Null, empty and blank texts are classes of
+    their own; a row with a null key has the class of its copies, null without any. Repeated rows share their class. Texts of
+    any length are taken whole. ``key`` should identify a text: of rows that share a key and have different texts, any one is
+    compared. Other columns are ignored. An empty table gives no rows.
     """
     slim = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     told = slim.withColumn("_s", signature("_text")).select("_key", "_s.n_words", "_s.content", "_s.sketches")
     rows = written(told, "signatures", tag)
     alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
     reps = written(alike, "representatives", tag)
-    low_bytes = F.unhex(F.array_join(F.transform("sketches", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
-    members = reps.select(F.explode("sketches").alias("_bucket"), F.xxhash64("_rep").alias("_order"), "_rep", low_bytes.alias("_bits"), "n_words")
-    members = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_bucket"))).where("_n > 1").drop("_n")
-    members = written(members, "members", tag)
-    pairs = written(candidate_pairs(members), "pairs", tag)
-    classes, tested, lo, hi = components(_links(df, pairs, key, text, similarity, tag), tag), pairs, 0, LEADERS
-    while True:
+    low_bytes = F.transform("sketches", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint"))
+    full = reps.where(F.col("n_words") >= SHINGLE).select("_rep", F.xxhash64("_rep").alias("_order"), low_bytes.alias("_bits"), "n_words", F.posexplode("sketches").alias("_used", "_bucket"))
+    members = with_leaders(full, tag)
+    pairs = written(leader_pairs(members, similarity), "pairs", tag)
+    tested, classes = pairs, components(_links(df, pairs, key, text, similarity, tag), tag)
+
+    def compared(pairs: DataFrame) -> None:
+        """Links that are found among ``pairs`` join their classes."""
+        nonlocal tested, classes
+        pairs = written(pairs.join(tested, ["_leader", "_member"], "left_anti").join(tested.toDF("_member", "_leader"), ["_leader", "_member"], "left_anti"), "pairs", tag)
+        if pairs.isEmpty():
+            return
+        tested = tested.union(pairs)
+        links = _links(df, pairs, key, text, similarity, tag)
+        if not links.isEmpty():
+            classes = components(classes.toDF("_leader", "_member").union(links), tag)
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Members of buckets with several classes, with ``_class``."""
         named = members.join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_class", F.coalesce("_class", "_rep"))
-        mixed = named.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_class").alias("_a"), F.max("_class").alias("_b"))
-        mixed = written(named.join(mixed.where((F.col("_n") > lo + 1) & (F.col("_a") != F.col("_b"))), "_bucket", "left_semi"), "mixed", tag)
-        if mixed.isEmpty():
+        several = named.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("_bucket")
+        return written(named.join(several, "_bucket", "left_semi"), "mixed", tag)
+
+    for sketches_used in range(1, LEAST_AGREED + 1):
+        left = mixed(members)
+        compared(pairs_across(left.where(F.col("_n") <= BUCKET), similarity))
+        large = left.where(F.col("_n") > BUCKET)
+        if large.isEmpty():
+            break
+        if sketches_used == LEAST_AGREED:
+            compared(pairs_across(tiles(large), similarity))
             break
-        pairs = written(pairs_across(mixed, lo, hi, similarity).join(tested, ["_leader", "_member"], "left_anti"), "pairs", tag)
-        if not pairs.isEmpty():
-            links = _links(df, pairs, key, text, similarity, tag)
-            if not links.isEmpty():
-                classes = components(classes.toDF("_leader", "_member").union(links), tag)
-            tested = tested.union(pairs)
-        lo, hi = hi, hi * LEADERS
+        members = with_leaders(split(large, reps), tag)
+        compared(leader_pairs(members, similarity))
     of_rep = reps.select("content", "_rep").join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").select("content", F.coalesce("_class", "_rep").alias("_class"))
-    joined = rows.select("_key", "n_words", "content").join(of_rep, "content", "left")
-    return joined.select(F.col("_key").alias(key), F.coalesce("_class", "_key").alias("class_id"), "n_words")
+    told = rows.select("_key", "n_words", "content").join(of_rep, "content", "left")
+    return told.select(F.col("_key").alias(key), F.coalesce("_class", "_key").alias("class_id"), "n_words")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tag: str = "query") -> DataFrame:
-    """The rows of ``df`` whose key is that of their class; rows with a null key stay."""
-    kept = near_duplicates(df, key, text, similarity, tag).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_k")).distinct()
-    return df.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_k"), "left_semi").unionByName(df.where(F.col(key).isNull()))
+    """The rows of ``df``, in its columns, whose key is that of their class.
+
+    Texts without words stay, and so do rows with a null key; of rows that repeat a key all stay or none. Only rows that may have to go are
+    shuffled. Columns of ``df`` may have any names. An empty table stays empty.
+    """
+    told = near_duplicates(df, key, text, similarity, tag).where(F.col(key).isNotNull())
+    gone = written(told.groupBy(F.col(key).alias("_key")).agg(F.max((F.col(key) == F.col("class_id")).cast("int")).alias("_kept")).where("_kept = 0").select("_key"), "gone", tag)
+    rows = asked(df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias("_row")), gone)
+    return rows.where("NOT _maybe").unionByName(rows.where("_maybe").join(gone, "_key", "left_anti")).select("_row.*")

@@ -99,22 +99,22 @@ def occurrences(table: DataFrame) -> DataFrame:
     return table.where("_key IS NOT NULL").select("_key", F.explode("anchors").alias("a")).select("_key", "a.*")
 
 
-def _asked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def asked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds ``_maybe`` to rows with a ``_key``: false for nearly all whose key is not in ``keys`` (``_key``, distinct, not null).
 
     A bitmap of fixed size goes to all executors; true may be wrong, false and null keys never are.
     """
     slot = F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS))
-    bits = keys.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))
-    placed = rows.withColumns({"_b": F.bitmap_bucket_number(slot), "_p": F.bitmap_bit_position(slot)}).join(F.broadcast(bits), "_b", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0, F.lit(False))
-    return placed.withColumn("_maybe", hit & F.col("_key").isNotNull()).drop("_b", "_p", "_bits")
+    bits = keys.select(F.bitmap_bucket_number(slot).alias("_slot"), F.bitmap_bit_position(slot).alias("_place")).groupBy("_slot").agg(F.bitmap_construct_agg("_place").alias("_bitmap"))
+    placed = rows.withColumns({"_slot": F.bitmap_bucket_number(slot), "_place": F.bitmap_bit_position(slot)}).join(F.broadcast(bits), "_slot", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0, F.lit(False))
+    return placed.withColumn("_maybe", hit & F.col("_key").isNotNull()).drop("_slot", "_place", "_bitmap")
 
 
 def texts_of(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, _text`` of the rows of ``df`` whose key is in ``keys`` (one column ``_key``, distinct); the join is exact."""
-    rows = _asked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), keys)
+    rows = asked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), keys)
     return rows.where("_maybe").select("_key", "_text").join(keys, "_key")
 
 
@@ -195,7 +195,7 @@ def cleaned(df: DataFrame, spans: DataFrame, key: str, text: str, by_word: bool,
     Only rows that may have a span are shuffled. Of a character whose bytes are partly removed nothing stays.
     """
     per_text = written(spans.groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")), "spans", tag)
-    rows = _asked(df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias("_row")), per_text.select("_key"))
+    rows = asked(df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias("_row")), per_text.select("_key"))
 
     @F.arrow_udf(T.StringType())
     @tidied

@@ -81,8 +81,13 @@ class Words:
     hashes: np.ndarray
 
 
-def words(texts: Flat, lower: bool = False) -> Words:
-    data = _ASCII_LOWER[texts.data] if lower else texts.data
+def lowered(texts: Flat) -> Flat:
+    """The same with ASCII letters in lower case."""
+    return Flat(_ASCII_LOWER[texts.data], texts.offsets)
+
+
+def words(texts: Flat) -> Words:
+    data = texts.data
     inside = ~_SPACE[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,6 +31,37 @@ def test_distance_equals_the_full_table(seed):
             assert N.distance(np.array(a, np.uint64), np.array(b, np.uint64), limit) == (want if want <= limit else None)
 
 
+def grams(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return ws, [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+
+
+def edits(a, b):
+    """The whole table of edit distances, a row at a time."""
+    number = {g: i for i, g in enumerate({*a, *b})}
+    a, b = [number[g] for g in a], np.array([number[g] for g in b])
+    at = np.arange(len(b) + 1)
+    row = at
+    for i, x in enumerate(a, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
+
+
+def brute_links(docs, similarity=0.8):
+    """All pairs of texts with the same words, or with k-mer sequences at most a fifth of whose k-mers are edited."""
+    found = {k: grams(t) for k, t in docs.items()}
+    bags = {k: Counter(g) for k, (_, g) in found.items()}
+    keys = sorted(docs)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            (x, g), (y, h) = found[a], found[b]
+            if x and x == y:
+                yield b, a
+            elif g and h and (most := int((1 - similarity) * max(len(g), len(h)) + 1e-9)) >= max(len(g), len(h)) - (bags[a] & bags[b]).total() and edits(g, h) <= most:
+                yield b, a
+
+
 def brute_classes(docs, similarity=0.8):
     parent = {k: k for k in docs}
 
@@ -37,18 +70,50 @@ def brute_classes(docs, similarity=0.8):
             x = parent[x]
         return x
 
-    from telltale.llm.windows import flat, words
-    import pyarrow as pa
+    for b, a in brute_links(docs, similarity):
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    return {k: find(k) for k in docs}
 
-    hashed = {k: words(flat(pa.array([t or ""])), lower=True).hashes for k, t in docs.items()}
-    keys = sorted(docs)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            x, y = hashed[a], hashed[b]
-            if len(x) and len(y) and (np.array_equal(x, y) or (min(len(x), len(y)) >= 25 and N.distance(x, y, N.allowed(len(x), len(y), similarity)) is not None)):
-                p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    return {k: find(k) for k in keys}
+
+def test_recall_within_the_promised_similarity(spark):
+    rng = random.Random(11)
+    docs, k = {}, 0
+    for n in (5, 6, 8, 10, 15, 20, 30, 60, 120, 200, 400):
+        for rate in (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.2):
+            for _ in range(6):
+                base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                other = list(base)
+                for at in rng.sample(range(n), round(rate * n)):
+                    other[at] = rng.choice([f"w{rng.randrange(10**6)}", f"a{at} b{at}", ""])
+                cut = rng.randrange(0, 1 + n // 6) if rng.random() < 0.5 else 0
+                docs[k], docs[k + 1] = " ".join(base), " ".join(other[cut:])
+                k += 2
+    links = [(a, b) for a, b in brute_links(docs)]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r[0]: r[1] for r in N.near_duplicates(df).select("doc_id", "class_id").collect()}
+    for least, most in ((0, 20), (20, 60), (60, 1000)):
+        own = [(a, b) for a, b in links if least <= len(docs[a].split()) < most]
+        assert len(own) > 30 and sum(got[a] == got[b] for a, b in own) >= 0.99 * len(own)
+    assert {(a, b) for a in got for b in [got[a]] if a != b} <= {(b, a) for a, b in links}
+
+
+@pytest.mark.parametrize("bucket", [4, 8])
+def test_large_buckets_lose_nothing(spark, monkeypatch, bucket):
+    """Families of texts that share a passage but are no near-duplicates, with near copies among them."""
+    monkeypatch.setattr(N, "BUCKET", bucket)
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, k, passage = {}, 0, new(60)
+    for _ in range(40):
+        base = passage + new(40)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            own = list(base)
+            own[rng.randrange(100)] = new(1)[0]
+            docs[k], k = " ".join(own), k + 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r[0]: r[1] for r in N.near_duplicates(df).select("doc_id", "class_id").collect()}
+    assert got == brute_classes(docs) and 30 < len(set(got.values())) < len(docs)
 
 
 def test_classes_match_brute_force(spark):
@@ -68,10 +133,11 @@ def test_classes_match_brute_force(spark):
         docs[k] = passage + " " + " ".join(rng.choice(vocabulary) for _ in range(80))
         k += 1
     docs |= {k: None, k + 1: "", k + 2: " \n ", k + 3: "one", k + 4: "ONE\n", k + 5: docs[0], k + 6: docs[0].upper()}
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, class_id string")
+    df = spark.createDataFrame([(i, t, "x", i, "y") for i, t in docs.items()], "doc_id long, text string, class_id string, _k long, _row string")
     got = {r[0]: r[1] for r in N.near_duplicates(df).select("doc_id", "class_id").collect()}
     assert got == brute_classes(docs)
-    assert {r.doc_id for r in N.one_of_each(df).collect()} == set(got.values())
+    kept = N.one_of_each(df).collect()
+    assert {r.doc_id for r in kept} == set(got.values()) and all((r.text, r.class_id, r._k, r._row) == (docs[r.doc_id], "x", r.doc_id, "y") for r in kept)
 
 
 def test_star_of_inserts_matches_brute_force(spark):
@@ -81,7 +147,7 @@ def test_star_of_inserts_matches_brute_force(spark):
     for _ in range(3):
         base = new(200)
         for at in range(0, 200, 4):
-            docs[k] = " ".join(base[:at] + new(46) + base[at:])
+            docs[k] = " ".join(base[:at] + new(40) + base[at:])
             k += 1
         docs[k] = " ".join(base)
         k += 1
