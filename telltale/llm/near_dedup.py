@@ -1,15 +1,15 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
 A text's k-mers of five words are labelled with their occurrence. Each sketch takes the few labelled k-mers that are smallest
-under its own hash and keeps them in text order, so it feels moved text as well as changed text. A pair is a link if the
-edit distance of the two sequences of k-mers, found within a band, leaves a similarity of 0.8: at most one k-mer in five is
-changed, added or taken out. Such texts share two thirds of their k-mers or more, so they agree in each sketch with a
-probability of about 0.44; those that agree in three of 24 or more are candidates.
+under its own hash and keeps them in text order, so it feels moved text as well as changed text. Texts too short for that
+also draw sketches of two-word k-mers. A pair is a link if the edit distance of its words, found within a band, leaves a
+similarity of 0.85. Two texts that differ in 15 % of their words, spread evenly, still share some 29 % of their k-mers, and so
+agree in a sketch with a probability of 0.08; those that agree in two of 56 or more are candidates.
 
 Exact copies are one representative first. Texts that share a sketch are a bucket. Each member is compared with its bucket's
 leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
 classes are then compared within their buckets: small buckets in a task each, members of large ones by a second sketch they
-share, then a third, and what is large even then in tiles, until no candidate pair is left.
+share, and what is large even then in tiles, until no candidate pair is left.
 """
 
 from __future__ import annotations
@@ -27,43 +27,53 @@ from .passages import SLICE, asked, digest, texts_of
 from .scratch import partitions, written
 from .windows import BASE, between, flat, joined, lowered, mix, prefix, words
 
-SHINGLE, TAKEN, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
+SHINGLE, TAKEN, SKETCHES, SIMILARITY = 5, 2, 56, 0.85
+#: Texts of fewer words than this have further sketches, so many, of k-mers of so many words.
+SHORT, SHORT_SKETCHES, SHORT_SHINGLE = 50, 16, 2
 #: Sketches in which candidates agree.
-LEAST_AGREED = 3
+LEAST_AGREED = 2
 #: Members compared with a leader in one task's group.
 MEMBERS = 256
 #: Members of a bucket that are compared in one task; larger buckets are split.
 BUCKET = 1000
 
-_MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 0x5A5A)
+_ALL = SKETCHES + SHORT_SKETCHES
+_MULTIPLIERS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
+_SEEDS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0x5A5A)
 
 
-def sketches(hashes: np.ndarray) -> np.ndarray:
-    """Order MinHash sketches of a text's word hashes; texts of fewer words than a k-mer are one k-mer."""
-    n = max(1, len(hashes) - SHINGLE + 1)
+def _drawn(hashes: np.ndarray, size: int, which: slice) -> np.ndarray:
+    """The sketches ``which`` of a text's k-mers of ``size`` words; texts of fewer words are one k-mer."""
+    n = max(1, len(hashes) - size + 1)
     at = np.arange(n)
-    grams = between(prefix(hashes), at, np.minimum(at + SHINGLE, len(hashes)))
+    grams = between(prefix(hashes), at, np.minimum(at + size, len(hashes)))
     _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
     if len(counts) < n:
         order = np.argsort(inverse, kind="stable")
         nth = np.empty(n, np.uint64)
         nth[order] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         grams = mix(grams + nth * np.uint64(BASE))
-    ranks = (grams[None, :] ^ _SEEDS[:, None]) * _MULTIPLIERS[:, None]
+    seeds, multipliers = _SEEDS[which], _MULTIPLIERS[which]
+    ranks = (grams[None, :] ^ seeds[:, None]) * multipliers[:, None]
     ranks ^= ranks >> np.uint64(32)
-    rows, places = np.arange(SKETCHES), []
+    rows, places = np.arange(len(seeds)), []
     for _ in range(min(TAKEN, n)):
         best = ranks.argmin(axis=1)
         places.append(best)
         ranks[rows, best] = np.uint64(0xFFFFFFFFFFFFFFFF)
     chosen = grams[np.sort(np.array(places), axis=0)]
-    out = _SEEDS.copy()
+    out = seeds.copy()
     for part in chosen:
         out = mix(out * np.uint64(BASE) + part)
     return out
 
 
+def sketches(hashes: np.ndarray) -> np.ndarray:
+    """Order MinHash sketches of a text's word hashes."""
+    out = _drawn(hashes, SHINGLE, slice(0, SKETCHES))
+    return np.concatenate((out, _drawn(hashes, SHORT_SHINGLE, slice(SKETCHES, _ALL)))) if len(hashes) < SHORT else out
+
+
 SIGNATURE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
 
 
@@ -89,23 +99,15 @@ def signature(text: Column | str) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def shingles(texts: pa.Array) -> list[np.ndarray]:
-    """Numbers of each text's k-mers of words, alike for like k-mers of all the texts; none for fewer words than a k-mer has.
-
-    The words themselves are numbered, not their hashes.
-    """
+def numbered(texts: pa.Array) -> list[np.ndarray]:
+    """Each text's words as numbers, alike for like words of all the texts: the words themselves are numbered, not their hashes."""
     low = lowered(flat(texts))
     found = words(low)
     data, begins, _ = joined(low, found)
     offsets = np.append(begins, len(data)).astype(np.int32)
     each = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    ids = each.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    keys = ids
-    for k in range(1, SHINGLE):
-        if len(keys) < 2:
-            break
-        _, keys = np.unique(keys[:-1] * (len(ids) + 1) + ids[k:], return_inverse=True)
-    return [keys[a : max(a, b - SHINGLE + 1)] for a, b in zip(found.firsts[:-1], found.firsts[1:])]
+    ids = each.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return [ids[a:b] for a, b in zip(found.firsts[:-1], found.firsts[1:])]
 
 
 def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -170,22 +172,27 @@ def similar_enough(n: Column, m: Column, similarity: float) -> Column:
 
 def with_leaders(members: DataFrame, tag: str) -> DataFrame:
     """A written table of those ``members`` (``_bucket, _rep, _order, _bits, n_words`` and others) that share their bucket, with
-    its size ``_n`` and, of its first member, ``_leader``, ``_lead_bits`` and ``_lead_words``.
+    its size ``_n`` and the order of its first member, ``_lead``.
 
-    Buckets are counted in partial aggregates, and Spark can split a large one in the join.
+    Buckets are counted in partial aggregates, most members that are alone go by a filter of fixed size, and Spark can
+    split a large bucket in the join.
     """
-    first = F.struct("_order", "_rep", "_bits", "n_words")
-    leaders = members.groupBy("_bucket").agg(F.min(first).alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    leaders = written(leaders.select("_bucket", "_n", F.col("_m._rep").alias("_leader"), F.col("_m._bits").alias("_lead_bits"), F.col("_m.n_words").alias("_lead_words")), "leaders", tag)
-    shared = asked(members.withColumn("_key", F.col("_bucket")), leaders.select(F.col("_bucket").alias("_key"))).where("_maybe").drop("_key", "_maybe")
-    return written(shared.join(leaders, "_bucket"), "members", tag)
+    buckets = members.groupBy("_bucket").agg(F.min("_order").alias("_lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    buckets = written(buckets, "buckets", tag)
+    shared = asked(members.withColumn("_key", F.col("_bucket")), buckets.select(F.col("_bucket").alias("_key"))).where("_maybe").drop("_key", "_maybe")
+    return written(shared.join(buckets, "_bucket"), "members", tag)
+
+
+def agreed(bits: Column, other: Column) -> Column:
+    return F.aggregate(F.zip_with(bits, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
 
 
 def leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """``_leader, _member`` of candidates among the rows of ``with_leaders``; as many as rows at most."""
-    agreed = F.aggregate(F.zip_with("_bits", "_lead_bits", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    leaders = members.where("_order = _lead").select("_lead", F.col("_rep").alias("_leader"), F.col("_bits").alias("_lead_bits"), F.col("n_words").alias("_lead_words")).dropDuplicates(["_lead", "_leader"])
     close = similar_enough(F.col("n_words"), F.col("_lead_words"), similarity)
-    return members.where((F.col("_rep") != F.col("_leader")) & close & (agreed >= LEAST_AGREED)).select("_leader", F.col("_rep").alias("_member")).distinct()
+    pairs = members.where("_order <> _lead").select("_lead", "_rep", "_bits", "n_words").dropDuplicates(["_lead", "_rep"]).join(leaders, "_lead")
+    return pairs.where(close & (agreed(F.col("_bits"), F.col("_lead_bits")) >= LEAST_AGREED)).select("_leader", F.col("_rep").alias("_member"))
 
 
 def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
@@ -264,13 +271,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = part.column(3).cast(pa.string())
-                found = shingles(pa.concat_arrays([pa.array([own], pa.string()), texts]))
+                found = numbered(pa.concat_arrays([pa.array([own], pa.string()), texts]))
                 mine = found[0]
                 for i, (leader, role, member) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
                     theirs = found[i + 1]
                     if role == 0:
                         lead, mine, own = leader, theirs, texts[i].as_py() or ""
-                    elif leader == lead and len(mine) and len(theirs) and distance(mine, theirs, allowed(len(mine), len(theirs), similarity)) is not None:
+                    elif leader == lead and distance(mine, theirs, allowed(len(mine), len(theirs), similarity)) is not None:
                         left.append(leader)
                         right.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(0).type), pa.array(right, batch.schema.field(0).type)], ["_leader", "_member"])
@@ -314,8 +321,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     """The class of each row of ``df``: ``key``, ``class_id`` (the smallest key of the class) and ``n_words``.
 
     Words are split at ASCII white space and compared without regard to the case of ASCII letters. Texts with the same
-    words are one class, and so are texts linked by a chain of similar ones; texts of fewer than five words have no k-mer and
-    only equal ones are alike. Null, empty and blank texts are classes of
+    words are one class, and so are texts linked by a chain of similar ones; texts of up to six words are only like equal ones. Null, empty and blank texts are classes of
     their own; a row with a null key has the class of its copies, null without any. Repeated rows share their class. Texts of
     any length are taken whole. ``key`` should identify a text: of rows that share a key and have different texts, any one is
     compared. Other columns are ignored. An empty table gives no rows.
@@ -325,8 +331,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     rows = written(told, "signatures", tag)
     alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
     reps = written(alike, "representatives", tag)
-    low_bytes = F.transform("sketches", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint"))
-    full = reps.where(F.col("n_words") >= SHINGLE).select("_rep", F.xxhash64("_rep").alias("_order"), low_bytes.alias("_bits"), "n_words", F.posexplode("sketches").alias("_used", "_bucket"))
+    # a byte of each sketch; where a text has no sketch, one of no meaning, which agrees with another's once in 256 times
+    byte = lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(_ALL - 1)), lambda i: byte(F.coalesce(F.get("sketches", i), F.xxhash64("_rep", i))))
+    least = int(1 / (1 - similarity) + 1e-9) if similarity < 1 else 1 << 30  # words from which on a pair can differ
+    full = reps.where(F.col("n_words") >= least).select("_rep", F.xxhash64("_rep").alias("_order"), bits.alias("_bits"), "n_words", F.posexplode("sketches").alias("_used", "_bucket"))
     members = with_leaders(full, tag)
     pairs = written(leader_pairs(members, similarity), "pairs", tag)
     tested, classes = pairs, components(_links(df, pairs, key, text, similarity, tag), tag)
