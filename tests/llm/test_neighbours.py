@@ -14,7 +14,9 @@ def brute(ids, x, k=20, every=20):
 
 
 @pytest.mark.parametrize("kind", ["uniform", "copies", "clusters", "norms"])
-def test_recall_and_order(spark, kind):
+def test_recall_and_order(spark, monkeypatch, kind):
+    if kind == "copies":
+        monkeypatch.setattr(neighbours, "BLOCK", 500)  # several blocks, and a bucket larger than one
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 32))
     if kind == "copies":
