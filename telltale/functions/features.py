@@ -15,8 +15,10 @@ Cols = list[Column]
 INT = "int"
 
 
-def lit(pattern: str) -> Column:
-    return F.lit(pattern)
+def lit(pattern: Column | str) -> Column:
+    """A pattern: a string, or a column where it depends on the row. Such a column should seldom change from row to row, as
+    Spark compiles a pattern anew whenever it does."""
+    return pattern if isinstance(pattern, Column) else F.lit(pattern)
 
 
 def let(value: Column, use) -> Column:
@@ -24,11 +26,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def count(text: Column, pattern: str) -> Column:
+def count(text: Column, pattern: Column | str) -> Column:
     return F.regexp_count(text, lit(pattern))
 
 
-def found(text: Column, pattern: str, group: int = 0) -> Column:
+def found(text: Column, pattern: Column | str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, lit(pattern), F.lit(group))
 
 
@@ -130,6 +132,13 @@ def by_language(code: Column, choices: dict[str, Column], default: Column) -> Co
     return default if out is None else out.otherwise(default)
 
 
+def pattern_of(code: Column, known: dict[str, Pack], make) -> Column:
+    """``make(pack)`` of the row's own language, a pattern; one that finds nothing for other languages."""
+    if len(known) == 1:
+        return F.lit(make(next(iter(known.values()))))
+    return by_language(code, {c: F.lit(make(p)) for c, p in known.items()}, F.lit("(?!)"))
+
+
 # --- vocabulary -----------------------------------------------------------------------------------------------------
 
 
@@ -137,25 +146,34 @@ def pool(pack: Pack) -> list[tuple[str, list[str]]]:
     return [("buzzword", pack.buzzwords), ("phrase", pack.phrases), ("copula", pack.copula_avoidance), ("scope", pack.scope_inflation)]
 
 
-def hits(l: Column, pack: Pack) -> Column:
-    """Everything of the four lists, the longest where they overlap, in the order of the text."""
-    return found(l, R.needles([w for _, ws in pool(pack) for w in ws]))
+def pool_pattern(pack: Pack) -> str:
+    """Everything of the four lists, the longest where they overlap."""
+    return R.needles([w for _, ws in pool(pack) for w in ws])
 
 
 def key_of(hit: Column) -> Column:
     return F.regexp_replace(hit, r"(?U)\s+", " ")
 
 
-def of_kind(keys: Column, pack: Pack, kind: str) -> Column:
+def of_kind(pack: Pack, kind: str) -> list[str]:
+    """The needles that count as ``kind``: what several lists have is the first one's."""
     taken: set[str] = set()
     for name, listed in pool(pack):
         own = [w for w in listed if w not in taken]
         taken.update(own)
         if name == kind:
-            return F.filter(keys, lambda x: x.isin(*own)) if own else F.filter(keys, lambda x: F.lit(False))
+            return own
     raise KeyError(kind)
 
 
+def kind_pattern(pack: Pack, kind: str) -> str:
+    return f"^{R.needles(of_kind(pack, kind))}$"
+
+
+def matching(keys: Column, pattern: Column | str) -> Column:
+    return F.filter(keys, lambda x: count(x, pattern) > 0)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Each match with the line it starts on: the text is split around its matches and line ends are summed."""
     matches, gaps = found(text, pattern), F.split(text, pattern, -1)
@@ -175,24 +193,23 @@ def artifact_pattern(pack: Pack) -> str:
     return f"(?s){some}(?:.?{some})*"
 
 
-def crutches(l: Column, pack: Pack) -> Column:
-    return count(l, R.needles(pack.density_crutch)) if pack.density_crutch else F.lit(0)
+def crutch_pattern(pack: Pack) -> str:
+    return R.needles(pack.density_crutch)
 
 
-def connectives(t: Column, pack: Pack) -> Column:
-    if not pack.connectives:
-        return F.lit(0)
+def connective_pattern(pack: Pack) -> str:
     listed = "|".join(R.quoted(x) for x in pack.connectives)
-    return count(t, rf"(?Uidm)(?:^|(?<=[.!?])\s)[ \t]*(?:{listed})\b")
+    return rf"(?Uidm)(?:^|(?<=[.!?])\s)[ \t]*(?:{listed})\b" if listed else "(?!)"
 
 
-def function_words(t: Column, pack: Pack) -> Column:
-    own = F.size(F.filter(words(t), lambda w: F.lower(w).isin(*pack.stopwords)))
+def function_words(t: Column, stopwords: Column) -> Column:
+    own = F.size(F.filter(words(t), lambda w: F.array_contains(stopwords, F.lower(w))))
     return F.bround(own.cast("double") / word_count(t), 3)
 
 
 # --- surface --------------------------------------------------------------------------------------------------------
 
+#: What a heading or list item, a bold span and a bold label look like.
 STRUCTURAL = r"(?U)^\s*(?:#|(?:[-*+]|[0-9]{1,3}[.)])\s)"
 BOLD = r"\*\*[^*\n]{1,60}\*\*"
 LABEL = r"\*\*[^*\n]{1,45}?(?::\*\*|\*\*:|[.!?]\*\*)"
@@ -202,6 +219,14 @@ def occurrences(t: Column, char: str) -> Column:
     return F.length(t) - F.length(F.translate(t, char, ""))
 
 
+def where_any(t: Column, chars: str, value: Column) -> Column:
+    """``value`` where the text has one of ``chars`` at all, else 0: most texts are told apart by a plain search."""
+    test = F.contains(t, F.lit(chars[0]))
+    for c in chars[1:]:
+        test = test | F.contains(t, F.lit(c))
+    return F.when(test, value).otherwise(F.lit(0))
+
+
 def em_dashes(t: Column) -> Column:
     return occurrences(t, "—")
 
@@ -212,11 +237,12 @@ def em_dash_excess(dashes: Column, wc: Column, factor: Column) -> Column:
 
 
 def emoji(t: Column) -> Column:
-    return count(t, R.EMOJI)
+    return F.when(t.rlike(R.SYMBOLS), count(t, R.EMOJI)).otherwise(F.lit(0))
 
 
 def header_emoji(t: Column) -> Column:
-    return total(F.transform(F.filter(lines(t), lambda x: x.rlike(STRUCTURAL)), emoji))
+    marked = total(F.transform(F.filter(lines(t), lambda x: x.rlike(STRUCTURAL)), emoji))
+    return F.when(t.rlike(R.SYMBOLS), marked).otherwise(F.lit(0))
 
 
 def bold_inline(t: Column) -> Column:
@@ -224,7 +250,7 @@ def bold_inline(t: Column) -> Column:
         n = count(line, BOLD)
         return n - F.when((n > 0) & line.rlike(r"(?U)^\s*" + LABEL), 1).otherwise(0)
 
-    return total(F.transform(F.filter(lines(t), lambda x: ~x.rlike(STRUCTURAL)), of))
+    return F.when(F.contains(t, F.lit("**")), total(F.transform(F.filter(lines(t), lambda x: F.contains(x, F.lit("**")) & ~x.rlike(STRUCTURAL)), of))).otherwise(F.lit(0))
 
 
 def bold_inline_excess(n: Column, wc: Column) -> Column:
@@ -232,23 +258,23 @@ def bold_inline_excess(n: Column, wc: Column) -> Column:
 
 
 def bold_bullets(t: Column) -> Column:
-    return count(t, r"(?Udm)^[ \t]*(?:(?:[-*+]|[0-9]{1,3}[.)])\s+)?" + LABEL)
+    return F.when(F.contains(t, F.lit("**")), count(t, r"(?Udm)^[ \t]*(?:(?:[-*+]|[0-9]{1,3}[.)])\s+)?" + LABEL)).otherwise(F.lit(0))
 
 
 def bare_bullets(t: Column) -> Column:
-    return count(t, r"(?dm)^[ \t]*[•▪‣]")
+    return where_any(t, "•▪‣", count(t, r"(?dm)^[ \t]*[•▪‣]"))
 
 
 def generic_headings(t: Column) -> Column:
     titles = found(t, r"(?dm)^#{1,6}[ \t]+(.+?)[ \t]*$", 1)
     plain = F.transform(titles, lambda x: F.lower(F.regexp_replace(stripped(F.regexp_replace(x, "[*_`]+", "")), "[:.]+$", "")))
-    return F.size(F.filter(plain, lambda x: x.isin(*GENERIC_HEADINGS)))
+    return where_any(t, "#", F.size(F.filter(plain, lambda x: x.isin(*GENERIC_HEADINGS))))
 
 
 def heading_skips(t: Column) -> Column:
     levels = F.transform(found(t, r"(?Udm)^(#{1,6})[ \t]+\S", 1), lambda x: F.length(x))
     before = F.concat(F.array(F.lit(6)), levels)
-    return F.size(F.filter(F.arrays_zip(levels.alias("own"), F.slice(before, 1, F.size(levels)).alias("before")), lambda x: x["own"] > x["before"] + 1))
+    return where_any(t, "#", F.size(F.filter(F.arrays_zip(levels.alias("own"), F.slice(before, 1, F.size(levels)).alias("before")), lambda x: x["own"] > x["before"] + 1)))
 
 
 def quote_mix(t: Column) -> Column:
@@ -265,7 +291,9 @@ def mark_entropy(t: Column) -> Column:
         kinds = F.size(x["counts"])
         return F.when(x["n"] >= 30, F.when(kinds <= 1, F.lit(0.0)).otherwise(F.bround(bits / F.log2(kinds.cast("double")), 3)))
 
-    counts = F.filter(F.array(*[occurrences(t, m) for m in MARKS]), lambda n: n > 0)
+    # the text is read once; what is counted is only its marks
+    marks = F.regexp_replace(t, "[^" + R.quoted(MARKS) + "]+", "")
+    counts = let(marks, lambda m: F.filter(F.array(*[occurrences(m, x) for x in MARKS]), lambda n: n > 0))
     return let(let(counts, lambda c: F.struct(c.alias("counts"), total(c).alias("n"))), entropy)
 
 
@@ -310,7 +338,7 @@ def opener_top_share(t: Column) -> Column:
 
 
 def question_hooks(t: Column) -> Column:
-    return count(t, r"(?U)(?<=[.!?]) [ \t]*(?:[\p{L}\p{Nl}\p{No}][\w'\-]*[ \t]+){0,4}[\p{L}\p{Nl}\p{No}][\w'\-]*\?")
+    return where_any(t, "?", count(t, r"(?U)(?<=[.!?]) [ \t]*(?:[\p{L}\p{Nl}\p{No}][\w'\-]*[ \t]+){0,4}[\p{L}\p{Nl}\p{No}][\w'\-]*\?"))
 
 
 def windowed_ttr(t: Column, window: int = 200) -> Column:

@@ -10,6 +10,8 @@ TOKEN = r"(?:" + LETTER + r"|['\-])+"
 BARE = LETTER + "+"
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 EMOJI = r"[\x{1F1E6}-\x{1F1FF}]{2}|[\x{1F300}-\x{1FAFF}\x{2705}\x{274C}\x{2728}\x{2B50}\x{2B55}\x{2757}\x{26A1}\x{2764}\x{2B06}\x{1F004}]\x{FE0F}?|[\x{2190}-\x{2BFF}]\x{FE0F}"
+#: What every emoji begins with.
+SYMBOLS = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 _SPECIAL = re.compile(r"([\\^$.|?*+()\[\]{}\-])")
 
 

@@ -13,6 +13,7 @@ from telltale.functions import features as X
 from telltale.functions import regexes as R
 from telltale.functions.code_lexer import evidence
 from telltale.functions.lexicon import ARTIFACT_PHRASES, ARTIFACTS, Pack, configured, packs
+from telltale.functions.restated import echoes, redundant
 
 #: Chat residue in comments.
 RESIDUE = [
@@ -61,7 +62,7 @@ _KINDS = {
 }
 EVIDENCE = T.StructType([T.StructField(n, _KINDS[k]) for n, k in [
     ("code_language", str), ("family", str), ("lines", int), ("sloc", int), ("comment_lines", int), ("prose", str), ("prose_lines", "lines"), ("code", str),
-    ("strings", "texts"), ("fences", "lines"), ("comments", "placed"), ("narrated", "placed"), ("body_comments", int), ("redundant", "placed"), ("echoes", "placed"),
+    ("strings", "texts"), ("fences", "lines"), ("comments", "placed"), ("narrated", "placed"), ("body_comments", int), ("docstrings", "placed"),
     ("comment_sentence_share", float), ("docstring_coverage", float), ("banner_comments", int), ("line_length_cv", float), ("generic_identifier_share", float),
 ]])
 
@@ -87,17 +88,17 @@ def _listed(pack: Pack) -> list[tuple[str, list[str]]]:
     return [("buzzwords", [w for w in pack.buzzwords if w not in ORDINARY]), ("phrases", pack.phrases), ("comment_phrases", EXPLAINING)]
 
 
-def _keys(l: Column, pack: Pack) -> Column:
-    return F.transform(X.found(l, R.needles([w for _, ws in _listed(pack) for w in ws])), X.key_of)
+def _pool_pattern(pack: Pack) -> str:
+    return R.needles([w for _, ws in _listed(pack) for w in ws])
 
 
-def _of(keys: Column, pack: Pack, kind: str) -> Column:
+def _kind_pattern(pack: Pack, kind: str) -> str:
     taken: set[str] = set()
     for name, words in _listed(pack):
         own = [w for w in words if w not in taken]
         taken.update(own)
         if name == kind:
-            return F.filter(keys, lambda x: x.isin(*own))
+            return f"^{R.needles(own)}$"
     raise KeyError(kind)
 
 
@@ -108,18 +109,16 @@ def with_evidence(df: DataFrame, text: str = "text", extension: str = "ext", lan
     known = {code: configured(p, config) for code, p in packs().items()}
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\r\\n?|[\\x1c-\\x1f\\x{85}\\x{2028}\\x{2029}]", "\n")
     step = df.withColumn("_t", clean).withColumn("_e", lexed(F.col("_t"), F.col(extension)))
-    step = step.select("*", *[F.col(f"_e.{n}").alias(f"_{n}" if n in ("prose", "prose_lines", "code", "strings", "fences", "comments", "narrated", "redundant", "echoes", "body_comments", "family") else n) for n in EVIDENCE.names]).drop("_e")
+    step = step.select("*", *[F.col(f"_e.{n}").alias(f"_{n}" if n in ("prose", "prose_lines", "code", "strings", "fences", "comments", "narrated", "docstrings", "body_comments", "family") else n) for n in EVIDENCE.names]).drop("_e")
     p, t, code = F.col("_prose"), F.col("_t"), F.col("_code")
-    step = step.withColumns({"_l": X.lowered(p), "_told": _language(p, lang)})
+    step = step.withColumns({"_l": X.lowered(p), "_told": _language(p, lang), "_rows": F.split(code, "\n", -1)})
     name, l = F.col("_told.code"), F.col("_l")
-    none = F.array().cast("array<string>")
     in_strings = X.occurrences(F.array_join("_strings", "\n"), INVISIBLE)
     wordy = F.filter("_strings", lambda s: s.rlike("[A-Za-z]{3}"))
     plain = [X.count(x, R.quoted(a)) for a in ARTIFACTS for x in (F.lower(code), l)]
-    residue = R.needles(RESIDUE)
     step = step.withColumns({
         "language": name, "language_source": F.col("_told.source"), "words": X.count(p, R.WORD),
-        "_keys": X.by_language(name, {c: _keys(l, k) for c, k in known.items()}, none),
+        "_keys": F.transform(X.found(l, X.pattern_of(name, known, _pool_pattern)), X.key_of),
         "invisible_chars": X.occurrences(t, INVISIBLE), "_inv": F.greatest(F.lit(0), X.occurrences(t, INVISIBLE) - in_strings),
         "_residue": sum(plain[1:], plain[0]) + sum((X.count(l, R.needles([w])) for w in [*ARTIFACT_PHRASES, *RESIDUE]), F.lit(0)) + X.count(p, R.unicode(TRUNCATED)) + F.size("_fences"),
         "comment_patterns": F.filter(F.array(*[F.struct(F.lit(n).alias("name"), X.count(p, R.unicode(rx)).alias("n"), F.lit(free).alias("free"), F.lit(gated).alias("gated")) for n, rx, free, gated in CONSTRUCTIONS]), lambda x: x["n"] > 0),
@@ -127,13 +126,12 @@ def with_evidence(df: DataFrame, text: str = "text", extension: str = "ext", lan
         "emoji": X.emoji(p) + X.emoji(code) + X.total(F.transform(wordy, X.emoji)),
         "error_boilerplate": F.transform(X.located(t, R.unicode(ERRORS)), lambda h: h["line"]), "success_boilerplate": F.transform(X.located(t, R.unicode(SUCCESSES)), lambda h: h["line"]),
         "swallowed_errors": F.transform(X.located(t, R.unicode(SWALLOWED)), lambda h: h["line"]),
-        "redundant_comments": F.col("_redundant"), "docstring_name_echoes": F.col("_echoes"), "narration_comments": F.slice("_narrated", 1, 8), "narration_comment_count": F.size("_narrated"),
+        "redundant_comments": redundant(F.col("_comments"), F.col("_rows")), "docstring_name_echoes": F.when(F.col("_family") == "hash", echoes(F.col("_docstrings"), F.col("_rows"))).otherwise(F.array().cast(_PLACED)), "narration_comments": F.slice("_narrated", 1, 8), "narration_comment_count": F.size("_narrated"),
         "comment_share": F.bround(F.col("comment_lines") / F.greatest(F.col("sloc") + F.col("comment_lines"), F.lit(1)), 2),
     })
-    del residue
     kinds = ("buzzwords", "phrases", "comment_phrases")
     step = step.withColumns({
-        **{k: X.by_language(name, {c: _tally(_of(F.col("_keys"), x, k)) for c, x in known.items()}, F.array().cast("array<struct<key:string,n:int>>")) for k in kinds},
+        **{k: _tally(X.matching(F.col("_keys"), X.pattern_of(name, known, lambda p, k=k: _kind_pattern(p, k)))) for k in kinds},
         "ai_artifacts": F.col("_residue") + F.when(F.col("_inv") > 0, F.col("invisible_chars")).otherwise(0),
     })
     c, size = F.col, F.size

@@ -13,16 +13,19 @@ CODE_FLOORS = {"auc": 0.95, "detection_10": 0.80, "false_positive_10": 0.10, "fa
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve from counts of each distinct score; ties count a half. No pair is ever built.
 
-    Scores are counted first, then summed over ranges of them, so that no task sorts all rows.
+    ``df`` is read once: texts are counted by score first, which leaves a row for each distinct score, and rows without a
+    score or a label are told apart only then, so that no filter is pushed below the score and computes it again. Losses
+    below a score are summed over ranges of scores, then within a range. The ranges, 64 to a point, are few enough for one task.
     """
-    counts = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("n"))
-    # ranges: totals below each of them, then running sums inside
-    ranged = counts.withColumn("r", F.floor(F.col("s") * 64))
-    below = ranged.groupBy("r").agg(F.sum("n").alias("rn")).select("r", (F.coalesce(F.sum("rn").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = ranged.withColumn("own", inside).join(below, "r")
-    won = F.sum(F.col("p") * (F.col("before") + F.col("own") + F.col("n") / 2.0))
-    return joined.agg(F.bround(won / F.try_divide(F.lit(1.0), F.try_divide(F.lit(1.0), F.sum("p") * F.sum("n"))), 6).alias("auc"))
+    s, label = F.col(score).cast("double").alias("s"), F.col(positive).cast("long").alias("y")
+    told = df.groupBy(s, label).agg(F.count(F.lit(1)).alias("k")).where("s IS NOT NULL AND y IS NOT NULL")
+    counts = told.groupBy("s").agg(F.sum(F.col("k") * F.col("y")).alias("p"), F.sum(F.col("k") * (1 - F.col("y"))).alias("n"), F.floor(F.first("s") * 64).alias("r"))
+    inside = F.sum("n").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    won = F.sum(F.col("p") * (F.coalesce("own", F.lit(0)) + F.col("n") / 2.0))
+    ranges = counts.withColumn("own", inside).groupBy("r").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), won.alias("won"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = ranges.withColumn("below", below).agg(F.sum(F.col("won") + F.col("p") * F.col("below")).alias("won"), (F.sum("p") * F.sum("n")).alias("pairs"))
+    return total.select(F.bround(F.try_divide(F.col("won"), F.col("pairs").cast("double")), 6).alias("auc"))
 
 
 def summary(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -32,7 +35,7 @@ def summary(df: DataFrame, score: str, positive: str) -> DataFrame:
     rate = lambda which, t: F.bround(F.avg(F.when(which, (s >= t).cast("int"))), 6)
     median = lambda which: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {score}) FILTER (WHERE {positive} = {which})")
     out = df.agg(F.count_if(yes).alias("n_positive"), F.count_if(no).alias("n_negative"), F.bround(F.avg(F.when(yes, s)), 6).alias("mean_positive"), F.bround(F.avg(F.when(no, s)), 6).alias("mean_negative"), median(1).alias("median_positive"), median(0).alias("median_negative"), F.max(F.when(no, s)).alias("max_negative"), rate(yes, 10).alias("detection_10"), rate(yes, 25).alias("detection_25"), rate(no, 10).alias("false_positive_10"), rate(no, 25).alias("false_positive_25"))
-    return out.crossJoin(auc(df, score, positive))  # one row with one row
+    return out.crossJoin(auc(df, score, positive))  # one row with one row; write or cache ``df`` first if its score is costly
 
 
 def failures(summarised: DataFrame, floors: dict[str, float]) -> DataFrame:

@@ -49,30 +49,36 @@ def with_features(df: DataFrame, text: str = "text", lang: str | None = None, co
         known = {lang: known[lang]} if lang in known else _language(F.col(text), lang)
     base = df.withColumns({"_t": X.normalised(F.col(text)), "_told": _language(F.col(text), lang)}).withColumn("_l", X.lowered(F.col("_t")))
     t, l, code = F.col("_t"), F.col("_l"), F.col("_told.code")
+    if len(known) > 1 and not df.isStreaming:
+        # patterns depend on the language, and are compiled when they change: rows of one come together, within their partition
+        base = base.sortWithinPartitions("_told.code")
 
     def pick(f, default=F.lit(0)) -> Column:
         return X.by_language(code, {c: f(p) for c, p in known.items()}, default)
 
-    none = F.array().cast("array<string>")
+    def pattern(f) -> Column:
+        return X.pattern_of(code, known, f)
+
+    listed = lambda words: F.split(F.lit(" ".join(words)), " ")
     step = base.withColumns({
         "words": X.word_count(t), "language": code, "language_source": F.col("_told.source"),
-        "_keys": F.transform(pick(lambda p: X.hits(l, p), none), X.key_of),
+        "_keys": F.transform(X.found(l, pattern(X.pool_pattern)), X.key_of),
         "patterns": pick(lambda p: _patterns(t, p), F.array().cast("array<struct<name:string,n:int,weight:int,free:int,hint:string>>")),
-        "ai_artifacts": pick(lambda p: X.count(l, X.artifact_pattern(p))),
+        "ai_artifacts": X.count(l, pattern(X.artifact_pattern)),
         "em_dashes": X.em_dashes(t), "_factor": pick(lambda p: F.lit(p.em_dash_factor), F.lit(1.0)),
         "emoji": X.emoji(t), "header_emoji": X.header_emoji(t), "bold_label_bullets": X.bold_bullets(t),
         "bold_inline": X.bold_inline(t), "quote_mix": X.quote_mix(t),
         "_lengths": X.lengths(X.sentences(t)), "question_hooks": X.question_hooks(t),
-        "connective_openers": pick(lambda p: X.connectives(t, p)),
+        "connective_openers": X.count(t, pattern(X.connective_pattern)),
         "paragraph_uniformity_cv": X.variation(F.filter(X.lengths(X.paragraphs(t)), lambda n: n > 0)),
         "opener_top_share": X.opener_top_share(t), "generic_headings": X.generic_headings(t), "bare_bullets": X.bare_bullets(t),
         "punct_entropy": X.mark_entropy(t), "heading_level_skips": X.heading_skips(t), "_opener": X.paragraph_openers(t),
-        "windowed_ttr": X.windowed_ttr(t), "function_word_ratio": pick(lambda p: X.function_words(t, p), F.lit(0.0)),
-        "density_crutch": pick(lambda p: X.crutches(l, p)),
+        "windowed_ttr": X.windowed_ttr(t), "function_word_ratio": X.function_words(t, pick(lambda p: listed(p.stopwords), listed([]))),
+        "density_crutch": X.count(l, pattern(X.crutch_pattern)),
     })
     wc = F.col("words")
     step = step.withColumns({
-        **{name: pick(lambda p, kind=kind: _tally(X.of_kind(F.col("_keys"), p, kind)), F.array().cast("array<struct<key:string,n:int>>")) for name, kind in (("buzzwords", "buzzword"), ("phrases", "phrase"), ("copula_avoidance", "copula"), ("scope_inflation", "scope"))},
+        **{name: _tally(X.matching(F.col("_keys"), pattern(lambda p, kind=kind: X.kind_pattern(p, kind)))) for name, kind in (("buzzwords", "buzzword"), ("phrases", "phrase"), ("copula_avoidance", "copula"), ("scope_inflation", "scope"))},
         "em_dash_excess": X.em_dash_excess(F.col("em_dashes"), wc, F.col("_factor")), "bold_inline_excess": X.bold_inline_excess(F.col("bold_inline"), wc),
         "sentence_uniformity_cv": X.variation(F.col("_lengths")), "staccato_runs": X.staccato_runs(F.col("_lengths")),
         "question_hook_excess": F.greatest(F.lit(0), F.col("question_hooks") - 1),

@@ -111,7 +111,13 @@ def _french(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_features(tells(spark, sf_dir), lang="fr")
 
 
-add("verdict_by_source", lambda spark, sf_dir: _french(spark, sf_dir).rollup("source", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("score_per_1k").alias("highest")), f"{_FR} SELECT source, verdict, count(*) AS n, max(score_per_1k) AS highest FROM v GROUP BY ROLLUP (source, verdict)")
+def verdict_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are counted by source and verdict first, so the roll-up's copies of its rows stand above that, not above the score."""
+    counted = _french(spark, sf_dir).groupBy("source", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("score_per_1k").alias("highest"))
+    return counted.rollup("source", "verdict").agg(F.sum("n").alias("n"), F.max("highest").alias("highest"))
+
+
+add("verdict_by_source", verdict_by_source, f"{_FR} SELECT source, verdict, count(*) AS n, max(score_per_1k) AS highest FROM v GROUP BY ROLLUP (source, verdict)")
 add("exit_status", lambda spark, sf_dir: findings.exit_status(_french(spark, sf_dir)), f"{_FR} SELECT max((score_per_1k >= 10)::INT) AS exit_status FROM v")
 add("verdict_lines", lambda spark, sf_dir: findings.verdict_line(_french(spark, sf_dir), "source"), f"{_FR} SELECT source || ': words: ' || words || '   AI-tell score: ' || score_per_1k || '/1k   -> ' || verdict AS value FROM v")
 add("topk_docs", lambda spark, sf_dir: _french(spark, sf_dir).select("doc_id", "score_per_1k").orderBy(F.desc("score_per_1k"), "doc_id").limit(25), f"{_FR} SELECT doc_id, score_per_1k FROM v ORDER BY score_per_1k DESC, doc_id LIMIT 25")

@@ -36,12 +36,30 @@ def test_docstrings_and_body_comments():
     parts = L.lex(text, "hash")
     assert parts.docstrings == [(1, "Top."), (3, "Get the user name.")]
     assert [x for _, x in parts.strings] == ["text", "a", "no"] and parts.body_comments == [(4, "Create it")]
-    assert L.echoes(parts) == [(3, "Get the user name.")]
 
 
-def test_redundant_and_sniffing():
-    parts = L.lex("# increment the user counter\nuser_counter += 1\n# TODO: user counter value\nuser_counter = 2\n", "hash")
-    assert L.redundant(parts) == [(1, "increment the user counter")]
+#: Files, what they restate in comments, and in docstrings.
+RESTATED = [
+    ("# increment the user counter\nuser_counter += 1\n# TODO: user counter value\nuser_counter = 2\n", [(1, "increment the user counter")], []),
+    ("x = 1\n\n# the total price\n\n\ntotalPrice = 3\n", [(3, "the total price")], []),
+    ("# total price\ntotalPrice = 3\n", [], []),
+    ("# sum up the total price\n\n\ntotalPrice = sum(x)\n", [(1, "sum up the total price")], []),
+    ("# sum up the total price\n\n\n\ntotalPrice = sum(x)\n", [], []),
+    ("# configuration of parsers\nconf, parser = 1, 2\n", [(1, "configuration of parsers")], []),
+    ("# map of idx values\nid = 1\n# total = price of item\ntotal_price_item = 1\n# step 2 total price\ntotal_price = 1\n# total price now;\ntotal_price = 1\n", [], []),
+    ("a = 1\nb = 2  # user name here\nuser_name = 3\nhere = 4\n", [(2, "user name here")] , []),
+    ('"""Top."""\ndef get_user_name(x):\n    """Get the user name."""\ndef f(x):\n\n    """F of user."""\ndef load(\n  a):\n    """Load."""\n', [], [(3, "Get the user name.")]),
+]
+
+
+def test_restated(spark):
+    df = spark.createDataFrame([(i, t, ".py") for i, (t, _, _) in enumerate(RESTATED)], "id long, text string, ext string")
+    for r in score_code(df).collect():
+        assert [tuple(x) for x in r.redundant_comments] == RESTATED[r.id][1], r.id
+        assert [tuple(x) for x in r.docstring_name_echoes] == RESTATED[r.id][2], r.id
+
+
+def test_sniffing():
     assert L.sniff("#!/usr/bin/env bash\n// x")[0] == "shell" and L.sniff("// a\nx")[0] == "c" and L.sniff("-- a\n-- b")[0] == "dash" and L.sniff("x")[0] == "hash"
 
 
