@@ -18,15 +18,16 @@ from pyspark.sql import types as T
 
 from .chunks import tidied
 
-#: Languages of a family; one that is not listed is a family of its own.
+#: Languages of a family; those that are not listed form families of ``UNLISTED`` in the order of their names.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"],
     "romance": ["ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"],
     "slavic": ["be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
     "uralic": ["et", "fi", "hu"],
 }
-#: Bounds of what is fitted on: labelled rows of each language, and languages (the most frequent ones).
-ROWS_PER_LANGUAGE, LANGUAGES = 400, 100
+UNLISTED = 12
+#: Bounds of what is fitted on: labelled rows of each language, and of all languages together.
+ROWS_PER_LANGUAGE, ROWS = 400, 40_000
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 #: Bytes of a text handled at a time.
 SLICE = 1 << 20
@@ -103,6 +104,9 @@ class Vote:
 class Model:
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, families: dict[str, list[str]]):
         of = {language: family for family, members in families.items() for language in members}
+        unlisted = sorted({x for x in labels if x not in of})
+        if len(unlisted) > UNLISTED:
+            of |= {x: f"unlisted {i // UNLISTED}" for i, x in enumerate(unlisted)}
         family = np.array([of.get(x, x) for x in labels])
         self.families = Vote(sorted(set(family)), rows, family)
         self.within = {f: Vote(sorted(set(labels[own])), [rows[i] for i in own], labels[own]) for f in self.families.classes for own in [np.flatnonzero(family == f)]}
@@ -123,16 +127,20 @@ def held_out(key: str) -> Column:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", families: dict[str, list[str]] | None = None) -> Model | None:
     """Fits on labelled rows that are not held out: of each language, those of the smallest key hashes.
 
-    At most ``ROWS_PER_LANGUAGE`` rows of ``LANGUAGES`` languages reach the driver, as counts of n-grams. None if no row has
-    a label, a key and a text with a letter.
+    At most ``ROWS_PER_LANGUAGE`` rows of each language, and about ``ROWS`` in all, reach the driver, as counts of n-grams; every language
+    that has a label has a part in them. None if no row has a label, a key and a text with a letter.
     """
     usable = df.select(F.col(key).alias("k"), F.col(label).alias("y"), F.col(text).alias("t")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & F.col("t").isNotNull() & ~held_out("k"))
-    most = usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES)
+    seen = usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(ROWS).collect()
+    if not seen:
+        return None
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // len(seen)))
+    most = df.sparkSession.createDataFrame([(r["y"], r["n"]) for r in seen], T.StructType([usable.schema["y"], T.StructField("n", T.LongType())]))
     # a hash below a bound keeps a few times the rows wanted, whatever their number, so that no task ranks a whole language
     drawn = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(11)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    slim = usable.select("k", "y").join(F.broadcast(most), "y").where(drawn * F.col("n") <= 4 * ROWS_PER_LANGUAGE + 200)
+    slim = usable.select("k", "y").join(F.broadcast(most), "y").where(drawn * F.col("n") <= 4 * each + 200)
     order = Window.partitionBy("y").orderBy(drawn, "k")
-    chosen = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("k", "y").distinct()
+    chosen = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k", "y").distinct()
 
     @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
     @tidied
@@ -146,7 +154,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], ["at", "v"])
 
     texts = usable.join(F.broadcast(chosen), ["k", "y"]).where(F.col("t").rlike(r"\p{L}"))  # bounded by the two constants
-    found = texts.limit(ROWS_PER_LANGUAGE * LANGUAGES).select("k", "y", sparse(F.col("t")).alias("x")).collect()
+    found = texts.limit(2 * ROWS).select("k", "y", sparse(F.col("t")).alias("x")).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["y"], str(r["k"])))

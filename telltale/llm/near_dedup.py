@@ -8,8 +8,9 @@ agree in a sketch with a probability of 0.08; those that agree in two of 56 or m
 
 Exact copies are one representative first. Texts that share a sketch are a bucket. Each member is compared with its bucket's
 leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
-classes are then compared within their buckets: small buckets in a task each, members of large ones by a second sketch they
-share, and what is large even then in tiles, until no candidate pair is left.
+classes are then compared within their buckets: small buckets in a task each, larger ones in tiles, and very large ones by a
+second sketch that their members share, until no candidate pair is left. Of each text the words are counted by 128 numbers; two texts
+whose counts are too far apart can't be similar, so that texts that only share a passage are told apart without their words.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ SHORT, SHORT_SKETCHES, SHORT_SHINGLE = 50, 16, 2
 LEAST_AGREED = 2
 #: Members compared with a leader in one task's group.
 MEMBERS = 256
-#: Members of a bucket that are compared in one task; larger buckets are split.
-BUCKET = 1000
+#: Members of a bucket that are compared in one task; larger buckets are dealt out in tiles, and such over ``TILED`` are split first.
+BUCKET, TILED = 1000, 20_000
+#: Numbers that a text's words are counted by.
+BAG = 128
 
 _ALL = SKETCHES + SHORT_SKETCHES
 _MULTIPLIERS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
@@ -74,17 +77,24 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate((out, _drawn(hashes, SHORT_SHINGLE, slice(SKETCHES, _ALL)))) if len(hashes) < SHORT else out
 
 
-SIGNATURE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+SIGNATURE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("bag", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+
+
+def bag_of(hashes: np.ndarray) -> bytes:
+    """Counts of a text's words by hash; all at their greatest, which matches anything, where one could overflow."""
+    if len(hashes) > 0xFFFF:
+        return np.full(BAG, 0xFFFF, "<u2").tobytes()
+    return np.bincount((hashes % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype("<u2").tobytes()
 
 
 def signature(text: Column | str) -> Column:
-    """Number of words, a 128-bit digest of all words and the sketches; null for texts without words."""
+    """Number of words, a 128-bit digest of all words, their counts and the sketches; null for texts without words."""
 
     @F.arrow_udf(SIGNATURE)
     @tidied
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            counts, contents, drawn = [], [], []
+            counts, contents, bags, drawn = [], [], [], []
             for part in slices(batch, SLICE):
                 texts = lowered(flat(part))
                 found = words(texts)
@@ -93,8 +103,9 @@ def signature(text: Column | str) -> Column:
                 for lo, hi in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
                     counts.append(hi - lo)
                     contents.append(digest(raw[begins[lo] : ends[hi - 1]]) if hi > lo else None)
+                    bags.append(bag_of(found.hashes[lo:hi]) if hi > lo else None)
                     drawn.append(sketches(found.hashes[lo:hi]).view(np.int64) if hi > lo else None)
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(contents, pa.binary()), pa.array(drawn, pa.list_(pa.int64()))], ["n_words", "content", "sketches"])
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(contents, pa.binary()), pa.array(bags, pa.binary()), pa.array(drawn, pa.list_(pa.int64()))], ["n_words", "content", "bag", "sketches"])
 
     return run(F.col(text) if isinstance(text, str) else text)
 
@@ -197,7 +208,7 @@ def leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
 
 def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
     """``_leader, _member`` of all candidates of different classes in a bucket, from rows ``_bucket, _rep, _bits, n_words,
-    _class``; a task holds a bucket, so pass small ones."""
+    _class, bag``; a task holds a bucket, so pass small ones. Only pairs whose words may be similar come out."""
     kind = members.schema["_rep"].dataType
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +219,16 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
             classes = np.array([number.setdefault(x[3], len(number)) for x in held])
             lengths = np.array([x[2] for x in held])
             bits = np.array([x[1] for x in held], np.int8)
+            bags = np.frombuffer(b"".join(x[4] for x in held), "<u2").reshape(len(held), BAG)
             left, right = [], []
             for i in range(len(held) - 1):
                 at = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
                 most = np.floor((1 - similarity) * np.maximum(lengths[at], lengths[i]) + 1e-9)
                 at = at[np.abs(lengths[at] - lengths[i]) <= most]
                 at = at[(bits[at] == bits[i]).sum(axis=1) >= LEAST_AGREED]
+                longer = np.maximum(lengths[at], lengths[i])
+                common = np.minimum(bags[at], bags[i]).sum(axis=1, dtype=np.int64)
+                at = at[longer - common <= np.floor((1 - similarity) * longer + 1e-9)]
                 left.extend([held[i][0]] * len(at))
                 right.extend(held[j][0] for j in at.tolist())
             return pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
@@ -232,7 +247,7 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
 
     spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_rep")
     schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
-    told = spread.select("_bucket", "_rep", "_bits", "n_words", "_class").mapInArrow(tidied(pair), schema)
+    told = spread.select("_bucket", "_rep", "_bits", "n_words", "_class", "bag").mapInArrow(tidied(pair), schema)
     return told.select(F.least("_leader", "_member").alias("_leader"), F.greatest("_leader", "_member").alias("_member")).distinct()
 
 
@@ -245,7 +260,7 @@ def split(members: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def tiles(members: DataFrame) -> DataFrame:
-    """Members of large buckets once for each pair of tiles they are in, so that every two members meet in a bucket of two tiles."""
+    """Members of buckets once for each pair of tiles they are in, so that every two members meet in a bucket of two tiles."""
     count = F.ceil(F.col("_n") / (BUCKET / 2)).cast("int")
     own = members.withColumn("_tiles", count).withColumn("_tile", F.pmod(F.col("_order"), F.col("_tiles")).cast("int"))
     met = own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
@@ -317,6 +332,13 @@ def _links(df: DataFrame, pairs: DataFrame, key: str, text: str, similarity: flo
     return written(verified(pairs, texts.dropDuplicates(["_rep"]), similarity), "links", tag)
 
 
+def pairs_in(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """``pairs_across`` of buckets of any size, with the members' counts of words."""
+    small = members.where(F.col("_n") <= BUCKET)
+    whole = small.unionByName(tiles(members.where(F.col("_n") > BUCKET)).select(*small.columns))
+    return pairs_across(whole.join(reps.select("_rep", "bag"), "_rep"), similarity)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tag: str = "query") -> DataFrame:
     """The class of each row of ``df``: ``key``, ``class_id`` (the smallest key of the class) and ``n_words``.
 
@@ -327,9 +349,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     compared. Other columns are ignored. An empty table gives no rows.
     """
     slim = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    told = slim.withColumn("_s", signature("_text")).select("_key", "_s.n_words", "_s.content", "_s.sketches")
+    told = slim.withColumn("_s", signature("_text")).select("_key", "_s.n_words", "_s.content", "_s.bag", "_s.sketches")
     rows = written(told, "signatures", tag)
-    alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
+    alike = rows.where("content IS NOT NULL AND _key IS NOT NULL").groupBy("content").agg(F.min("_key").alias("_rep"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag"))
     reps = written(alike, "representatives", tag)
     # a byte of each sketch; where a text has no sketch, one of no meaning, which agrees with another's once in 256 times
     byte = lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")
@@ -357,17 +379,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         several = named.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("_bucket")
         return written(named.join(several, "_bucket", "left_semi"), "mixed", tag)
 
-    for sketches_used in range(1, LEAST_AGREED + 1):
-        left = mixed(members)
-        compared(pairs_across(left.where(F.col("_n") <= BUCKET), similarity))
-        large = left.where(F.col("_n") > BUCKET)
-        if large.isEmpty():
-            break
-        if sketches_used == LEAST_AGREED:
-            compared(pairs_across(tiles(large), similarity))
-            break
+    left = mixed(members)
+    compared(pairs_in(left.where(F.col("_n") <= TILED), reps, similarity))
+    large = left.where(F.col("_n") > TILED)
+    if not large.isEmpty():
         members = with_leaders(split(large, reps), tag)
         compared(leader_pairs(members, similarity))
+        compared(pairs_in(mixed(members), reps, similarity))
     of_rep = reps.select("content", "_rep").join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").select("content", F.coalesce("_class", "_rep").alias("_class"))
     told = rows.select("_key", "n_words", "content").join(of_rep, "content", "left")
     return told.select(F.col("_key").alias(key), F.coalesce("_class", "_key").alias("class_id"), "n_words")

@@ -101,6 +101,15 @@ def test_languages_held_out(spark):
     assert row[0] >= 0.98 and row[1] > 150
 
 
+def test_every_labelled_language_can_be_told(spark):
+    rng = random.Random(5)
+    stems = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for i in range(30)}
+    rows = [(i, " ".join(rng.choice(ws) for _ in range(12)), y) for i, (y, ws) in enumerate([x for x in stems.items() for _ in range(12)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(df)).where(language_id.held_out("doc_id")).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got) and len({r.lang_pred for r in got}) > 20
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, t, y) for i, (t, y) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("xx yy zz", "tlh"), (None, "en"), ("²³ Ⅷ", "fr"), ("the dog", None)] * 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "_told": F.lit(5), "_row": F.lit(6)})

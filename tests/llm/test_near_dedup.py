@@ -102,10 +102,11 @@ def test_recall_within_the_promised_similarity(spark):
     print(recall)
 
 
-@pytest.mark.parametrize("bucket", [4])
-def test_large_buckets_lose_nothing(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("tiled", [4, 8])
+def test_large_buckets_lose_nothing(spark, monkeypatch, tiled):
     """Families of texts that share a passage but are no near-duplicates, with near copies among them."""
-    monkeypatch.setattr(N, "BUCKET", bucket)
+    monkeypatch.setattr(N, "BUCKET", 4)
+    monkeypatch.setattr(N, "TILED", tiled if tiled > 4 else 10**6)
     rng = random.Random(12)
     new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     docs, k, passage = {}, 0, new(60)
