@@ -213,6 +213,8 @@ def function_words(t: Column, stopwords: Column) -> Column:
 STRUCTURAL = r"(?U)^\s*(?:#|(?:[-*+]|[0-9]{1,3}[.)])\s)"
 BOLD = r"\*\*[^*\n]{1,60}\*\*"
 LABEL = r"\*\*[^*\n]{1,45}?(?::\*\*|\*\*:|[.!?]\*\*)"
+BOLD_BULLET = r"(?Udm)^[ \t]*(?:(?:[-*+]|[0-9]{1,3}[.)])\s+)?" + LABEL
+BARE_BULLET = r"(?dm)^[ \t]*[•▪‣]"
 
 
 def occurrences(t: Column, char: str) -> Column:
@@ -258,11 +260,11 @@ def bold_inline_excess(n: Column, wc: Column) -> Column:
 
 
 def bold_bullets(t: Column) -> Column:
-    return F.when(F.contains(t, F.lit("**")), count(t, r"(?Udm)^[ \t]*(?:(?:[-*+]|[0-9]{1,3}[.)])\s+)?" + LABEL)).otherwise(F.lit(0))
+    return F.when(F.contains(t, F.lit("**")), count(t, BOLD_BULLET)).otherwise(F.lit(0))
 
 
 def bare_bullets(t: Column) -> Column:
-    return where_any(t, "•▪‣", count(t, r"(?dm)^[ \t]*[•▪‣]"))
+    return where_any(t, "•▪‣", count(t, BARE_BULLET))
 
 
 def generic_headings(t: Column) -> Column:

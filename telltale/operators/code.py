@@ -166,3 +166,100 @@ def score_code(df: DataFrame, text: str = "text", extension: str = "ext", lang:
     """The rows of ``df`` with the fields of their code records."""
     keep = [x for x in df.columns if x not in FIELDS]
     return with_evidence(df, text, extension, lang, config).select(*keep, *FIELDS)
+
+
+# --- findings, diagnostics, report ----------------------------------------------------------------------------------
+
+_FINDING = "struct<category:string,key:string,line:int,severity:string>"
+#: What is said about each category, and in which order a report has them.
+SAID = {
+    "artifact": "chat residue", "buzzword": "buzzword in a comment", "phrase": "filler in a comment", "explainer": "explainer's voice in a comment",
+    "construction": "construction in comments", "typography": "typography of chats in a comment", "error": "stock error message",
+    "success": "stock success message", "swallowed": "handler that prints an error and goes on", "redundant": "comment that restates the code",
+    "echo": "docstring that restates the name", "narration": "comment that narrates the code",
+}
+
+
+def code_findings(df: DataFrame, key: str, text: str = "text", extension: str = "ext", lang: str | None = None, config: dict | None = None) -> DataFrame:
+    """One row for each occurrence: ``key, category, key_text, line, severity``; no shuffle.
+
+    Residue is an error. Constructions that need other evidence, echoes, and narration that isn't scored inform only.
+    """
+    known = {c: configured(p, config) for c, p in packs().items()}
+    if lang and lang != "auto":
+        known = {lang: known[lang]}
+    e = with_evidence(df.select(F.col(key).alias("_id"), F.col(text).alias("_source"), F.col(extension).alias("_ext")), "_source", "_ext", lang, config)
+    c = F.col
+
+    def rows(hits: Column, category: str, key_text=lambda h: h, severity: Column | str = "WARNING") -> Column:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        return F.transform(hits, lambda h: F.struct(F.lit(category).alias("category"), key_text(h["hit"]).alias("key"), F.greatest(h["line"], F.lit(1)).alias("line"), level.alias("severity")).cast(_FINDING))
+
+    def said(pattern: Column | str, where: str = "_prose") -> Column:
+        """Matches in what comments say, on the lines of the file."""
+        return F.transform(X.located(c(where), pattern), lambda h: F.struct(h["hit"].alias("hit"), F.coalesce(F.get("_prose_lines", h["line"] - 1), F.lit(1)).alias("line")))
+
+    def placed(column: str, shown: str) -> Column:
+        return F.transform(c(column), lambda r: F.struct(r[shown].alias("hit"), r["line"].alias("line")))
+
+    def numbered(column: str) -> Column:
+        return F.transform(c(column), lambda n: F.struct(F.lit("").alias("hit"), n.alias("line")))
+
+    def listed(kind: str) -> Column:
+        return F.filter(said(X.pattern_of(c("language"), known, _pool_pattern), "_l"), lambda h: X.count(X.key_of(h["hit"]), X.pattern_of(c("language"), known, lambda p: _kind_pattern(p, kind))) > 0)
+
+    literal = "|".join(R.quoted(a) for a in ARTIFACTS)
+    residue = [said("(?s)" + literal, "_l"), X.located(F.lower("_code"), literal), said(R.needles([*ARTIFACT_PHRASES, *RESIDUE]), "_l"), said(R.unicode(TRUNCATED)), F.transform("_fences", lambda n: F.struct(F.lit("```").alias("hit"), n.alias("line")))]
+    hidden = F.when(c("_inv") > 0, X.located(c("_t"), "[" + INVISIBLE + "]")).otherwise(F.array().cast("array<struct<hit:string,line:int>>"))
+    gated = F.when(c("corroborated"), F.lit("WARNING")).otherwise(F.lit("INFO"))
+    parts = [rows(x, "artifact", lambda h: X.key_of(F.lower(h)), "ERROR") for x in residue] + [rows(hidden, "artifact", lambda h: F.concat(F.lit("invisible character U+"), F.lpad(F.hex(F.ascii(h)), 4, "0")), "ERROR")]
+    parts += [rows(listed(kind), name, X.key_of) for kind, name in (("buzzwords", "buzzword"), ("phrases", "phrase"), ("comment_phrases", "explainer"))]
+    parts += [rows(said(R.unicode(rx)), "construction", lambda h, n=n: F.lit(n), gated if needs else "WARNING") for n, rx, _, needs in CONSTRUCTIONS]
+    parts += [rows(said("[" + chars + "]"), "typography", lambda h, n=n: F.lit(n)) for n, chars, _ in TYPOGRAPHY]
+    parts += [rows(numbered("error_boilerplate"), "error"), rows(F.when(F.size("success_boilerplate") >= 2, numbered("success_boilerplate")).otherwise(F.array().cast("array<struct<hit:string,line:int>>")), "success", severity="INFO"), rows(numbered("swallowed_errors"), "swallowed")]
+    parts += [rows(placed("redundant_comments", "text"), "redundant"), rows(placed("docstring_name_echoes", "text"), "echo", severity="INFO")]
+    found = e.select("_id", F.explode(F.concat(*parts)).alias("f"))
+    return found.select(F.col("_id").alias(key), "f.category", F.col("f.key").alias("key_text"), "f.line", "f.severity")
+
+
+def _message(category: Column, key_text: Column) -> Column:
+    label = F.coalesce(*[F.when(category == k, F.lit(v)) for k, v in SAID.items()])
+    return F.when(key_text == "", label).otherwise(F.concat_ws(": ", label, key_text))
+
+
+def diagnostics(rows: DataFrame, path: str) -> DataFrame:
+    """A line of JSON for each finding that is worth a reviewer's look, as review tools read them: column ``value``."""
+    body = F.struct(_message(F.col("category"), F.col("key_text")).alias("message"), F.struct(F.col(path).cast("string").alias("path"), F.struct(F.struct(F.col("line")).alias("start")).alias("range")).alias("location"), "severity")
+    return rows.where("category <> 'success'").select(F.to_json(body).alias("value"))
+
+
+def verdict_line(scored: DataFrame, carried: list[Column | str] | None = None) -> DataFrame:
+    line = F.format_string("lines: %d (%d code, %d comment)   AI-tell score: %s/100 lines   -> %s", "lines", "sloc", "comment_lines", F.col("score_per_100").cast("string"), "verdict")
+    return scored.select(*(carried or []), line.alias("value"))
+
+
+def report(scored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A readable report of each file, as lines of one string, given ``with_evidence`` and ``code_findings``: ``key, report``.
+
+    Findings come by category, then what is measured and never scored.
+    """
+    order = F.coalesce(*[F.when(F.col("category") == k, F.lit(i)) for i, k in enumerate(SAID)])
+    counted = rows.groupBy(key, "category", "key_text").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("line")).alias("at"))
+    shown = F.array_join(F.transform(F.slice("at", 1, 5), lambda x: x.cast("string")), ", ")
+    each = counted.select(key, order.alias("o"), (-F.col("n")).alias("m"), F.format_string("  %2dx  %s (lines %s)", "n", _message(F.col("category"), F.col("key_text")), shown).alias("line"))
+    found = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m", "line"))), lambda x: x["line"]).alias("_lines"))
+    when = lambda test, *parts: F.when(test, F.concat(F.lit("  - "), *[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit(" (not scored)")))
+    c, percent = F.col, lambda name: F.floor(F.col(name) * 100).cast("string")
+    notes = F.array_compact(F.array(
+        F.when(c("emoji") > 0, F.concat(F.lit("  - "), c("emoji").cast("string"), F.lit(" emoji in comments or strings"))),
+        F.when(c("narration_scored"), F.concat(F.lit("  - "), c("narration_comment_count").cast("string"), F.lit(" comments narrate the code"))),
+        when(c("comment_sentence_share") >= 0.8, percent("comment_sentence_share"), "% of the comments are whole sentences"),
+        when(c("docstring_coverage") >= 1.0, "every function has a docstring"),
+        when((c("comment_share") >= 0.4) & (c("sloc") >= 20), "comments on ", percent("comment_share"), "% of the lines"),
+        when(c("banner_comments") >= 3, c("banner_comments").cast("string"), " banners"),
+        when(c("line_length_cv") < 0.35, "lines of very even length (", c("line_length_cv").cast("string"), ")"),
+        when(c("generic_identifier_share") >= 0.12, percent("generic_identifier_share"), "% of the names could be anything"),
+    ))
+    told = verdict_line(scored, [F.col(key).alias("_key"), F.concat(F.lit("language: "), "code_language").alias("_language"), notes.alias("_notes")]).join(found.withColumnRenamed(key, "_key"), "_key", "left")
+    body = F.concat(F.coalesce("_lines", F.array().cast("array<string>")), F.col("_notes"))
+    return told.select(F.col("_key").alias(key), F.concat_ws("\n", "value", "_language", F.when(F.size(body) == 0, "Nothing flagged.").otherwise(F.array_join(body, "\n"))).alias("report"))

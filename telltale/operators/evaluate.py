@@ -42,3 +42,29 @@ def failures(summarised: DataFrame, floors: dict[str, float]) -> DataFrame:
     """Adds ``floor_failures``, the names of what misses its floor."""
     tests = [F.when(F.col(k) < v if not k.startswith("false") else F.col(k) > v, F.lit(k)) for k, v in floors.items()]
     return summarised.withColumn("floor_failures", F.array_compact(F.array(*tests)))
+
+
+def score_table(df: DataFrame, name: str, score: str, positive: str, size: str, language: str) -> DataFrame:
+    """Samples as lines of a table, positive ones first, the highest scores first: ``position, value``."""
+    row = F.format_string("  %6.1f  %-36s (%d, %s)", score, name, size, language)
+    place = F.row_number().over(Window.partitionBy(positive).orderBy(F.desc(score), name))
+    return df.select(F.when(F.col(positive) == 1, "positive").otherwise("negative").alias("label"), place.alias("position"), row.alias("value"))
+
+
+def summary_lines(summarised: DataFrame) -> DataFrame:
+    """The summary of ``failures`` as lines of one string: ``value``."""
+    c, rate = F.col, lambda n: F.format_string("%5.1f%%", F.col(n) * 100)
+    lines = F.array(
+        F.format_string("AUC: %.4f", "auc"),
+        F.format_string("positive: mean %.1f  median %.1f", "mean_positive", c("median_positive").cast("double")),
+        F.format_string("negative: mean %.1f  highest %.1f", "mean_negative", c("max_negative").cast("double")),
+        F.concat(F.lit("detection at 10: "), rate("detection_10"), F.lit("  at 25: "), rate("detection_25")),
+        F.concat(F.lit("false positives at 10: "), rate("false_positive_10"), F.lit("  at 25: "), rate("false_positive_25")),
+    )
+    broken = F.transform("floor_failures", lambda x: F.concat(F.lit("floor missed: "), x))
+    return summarised.select(F.array_join(F.concat(lines, broken), "\n").alias("value"))
+
+
+def check_status(summarised: DataFrame) -> DataFrame:
+    """One row: 1 if any summary of ``failures`` misses a floor, else 0."""
+    return summarised.agg(F.max((F.size("floor_failures") > 0).cast("int")).alias("exit_status"))

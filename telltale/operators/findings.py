@@ -73,9 +73,10 @@ def parse_diagnostics(lines: DataFrame) -> DataFrame:
     return told.select("d.location.path", F.col("d.location.range.start.line").alias("line"), letter.alias("type"), F.col("d.message").alias("text"))
 
 
-def verdict_line(scored: DataFrame, path: str | None = None) -> DataFrame:
+def verdict_line(scored: DataFrame, path: str | None = None, carried: list[Column | str] | None = None) -> DataFrame:
+    """One line for each text, ``value``, after the columns ``carried``."""
     line = F.format_string("words: %d   AI-tell score: %s/1k   -> %s", "words", F.col("score_per_1k").cast("string"), "verdict")
-    return scored.select(F.concat(F.concat(F.col(path), F.lit(": ")), line).alias("value") if path else line.alias("value"))
+    return scored.select(*(carried or []), F.concat(F.concat(F.col(path), F.lit(": ")), line).alias("value") if path else line.alias("value"))
 
 
 def report(scored: DataFrame, rows: DataFrame, key: str) -> DataFrame:

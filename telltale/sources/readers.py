@@ -36,6 +36,22 @@ def read_texts(spark: SparkSession, paths: str | list[str], markdown: bool = Fal
     return kept.select("path", F.when(blank, without_code(text)).otherwise(text).alias("text"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"))
 
 
+def matching(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path or a glob names, in order; none if there are none. Any store that Spark reads will do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return sorted(f.getPath().toString() for f in found or [] if f.isFile())
+
+
+def read_labelled(spark: SparkSession, folders: dict[str, str], markdown: bool = False) -> DataFrame:
+    """``path, text, ext, label`` of the files in each folder of ``{label: folder}``, such as samples of people and of machines."""
+    told = [read_texts(spark, f"{folder.rstrip('/')}/*", markdown).withColumn("label", F.lit(label)) for label, folder in folders.items()]
+    out = told[0]
+    for more in told[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def from_text(spark: SparkSession, text: str) -> DataFrame:
     """One text that isn't in a file."""
     return spark.createDataFrame([("-", text, "")], "path string, text string, ext string")
