@@ -34,12 +34,16 @@ def _marks(hits: Column, category: str | Column, key) -> Column:
     return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (rank if isinstance(rank, Column) else rank(h)).alias("rank"), F.length(h["hit"]).alias("length"), key(h["hit"]).alias("key")).cast(_MARK))
 
 
+def _matches(pattern: str):
+    return lambda h: X.count(X.key_of(h["hit"]), pattern) > 0
+
+
 def _of_pack(t: Column, l: Column, pack: Pack) -> Column:
     parts = [_marks(placed(l, X.artifact_pattern(pack)), "artifact", X.key_of)]
     pool = placed(l, X.pool_pattern(pack))
-    for kind, name in (("phrase", "phrase"), ("buzzword", "buzzword"), ("copula", "copula"), ("scope", "scope")):
-        own = F.filter(pool, lambda h, kind=kind: X.count(X.key_of(h["hit"]), X.kind_pattern(pack, kind)) > 0)
-        parts.append(_marks(own, name, X.key_of))
+    for kind in ("phrase", "buzzword", "copula", "scope"):
+        own = X.kind_pattern(pack, kind)
+        parts.append(_marks(F.filter(pool, _matches(own)), kind, X.key_of))
     for p in pack.patterns:
         parts.append(_marks(placed(t, R.unicode(p.regex)), "construction" if p.weight else "hedge", lambda _, n=p.name: F.lit(n)))
     return F.concat(*parts)

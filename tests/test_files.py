@@ -19,40 +19,38 @@ def folder(tmp_path_factory):
 
 def test_mixed_files(spark, folder):
     given = readers.read_texts(spark, f"{folder}/*")
-    rows = {r.path[-4:]: r for r in files.score_files(given).collect()}
-    assert {k: r["mode"] for k, r in rows.items()} == {"a.py": "code", "b.md": "prose", ".txt": "prose"} if "b.md" in rows else True
-    by = {r.path.rsplit("/", 1)[1]: r for r in rows.values()}
+    by = {r.path.rsplit("/", 1)[1]: r for r in files.score_files(given, lang="en").collect()}
     assert (by["a.py"]["mode"], by["b.md"]["mode"], by["c.txt"]["score"]) == ("code", "prose", 0.0)
     assert by["b.md"].score == 750.0 and json.loads(by["b.md"].record)["buzzwords"] == [{"key": "delve into", "n": 1}]
     assert by["a.py"].score >= 25 and len(json.loads(by["a.py"].record)) == len(code.FIELDS) + 1
-    assert {r["mode"] for r in files.score_files(given, mode="prose").collect()} == {"prose"}
-    assert files.score_files(given.limit(0)).count() == 0
+    assert {r["mode"] for r in given.select(files.mode_of(F.col("ext"), "prose").alias("mode")).collect()} == {"prose"}
+    assert files.score_files(given.limit(0), lang="en").count() == 0
     with pytest.raises(ValueError):
         files.score_files(given, mode="other")
 
 
 def test_diagnostics_of_mixed_files(spark, folder):
     given = readers.read_texts(spark, f"{folder}/*")
-    told = [json.loads(r.value) for r in files.file_diagnostics(given).collect()]
+    told = [json.loads(r.value) for r in files.file_diagnostics(given, lang="en").collect()]
     seen = {(d["location"]["path"].rsplit("/", 1)[1], d["location"]["range"]["start"]["line"], d["severity"], d["message"]) for d in told}
     assert ("b.md", 1, "WARNING", "buzzword: delve into") in seen and ("a.py", 1, "ERROR", "chat residue: as an ai language model") in seen
     assert ("a.py", 2, "WARNING", "typography of chats in a comment: em dash") in seen and ("a.py", 3, "WARNING", "comment that restates the code: user counter value") in seen
-    assert findings.parse_diagnostics(files.file_diagnostics(given)).count() == len(told)
+    assert findings.parse_diagnostics(files.file_diagnostics(given, lang="en")).count() == len(told)
 
 
 def test_command(spark, folder, capsys):
-    assert main([f"{folder}/c.txt", "--no-config"], spark) == 0
+    assert main([f"{folder}/c.txt", "--no-config", "--lang", "en"], spark) == 0
     assert "Nothing flagged." in capsys.readouterr().out
-    assert main([f"{folder}/*", "--quiet", "--no-config"], spark) == 1
+    assert main([f"{folder}/*", "--quiet", "--no-config", "--lang", "en"], spark) == 1
     lines = capsys.readouterr().out.strip().split("\n")
     assert len(lines) == 3 and "/100 lines" in lines[0] and "/1k" in lines[1]
-    assert main([f"{folder}/c.txt", "--json", "--no-config"], spark) == 0
+    assert main([f"{folder}/c.txt", "--json", "--no-config", "--lang", "en"], spark) == 0
     assert json.loads(capsys.readouterr().out)["words"] == 5
-    assert main([f"{folder}/*", "--json", "--no-config", "--threshold", "1e9"], spark) == 0
+    assert main([f"{folder}/*", "--json", "--no-config", "--lang", "en", "--threshold", "1e9"], spark) == 0
     assert [r["mode"] for r in json.loads(capsys.readouterr().out)] == ["code", "prose", "prose"]
-    assert main([f"{folder}/*.none", "--no-config"], spark) == 2 and main([f"{folder}/none", "--no-config"], spark) == 2
+    assert main([f"{folder}/*.none", "--no-config", "--lang", "en"], spark) == 2 and main([f"{folder}/none", "--no-config", "--lang", "en"], spark) == 2
     assert main([f"{folder}/c.txt", "--config", f"{folder}/none"], spark) == 2
-    assert main([f"{folder}/a.py", "--no-config"], spark) == 1
+    assert main([f"{folder}/a.py", "--no-config", "--lang", "en"], spark) == 1
     out = capsys.readouterr().out
     assert "chat residue: as an ai language model (lines 1)" in out and "language: Python" in out
 
@@ -77,7 +75,7 @@ def test_evaluation_of_folders(spark, folder, tmp_path):
     people.mkdir()
     (people / "d.txt").write_text("we met at noon and had tea", encoding="utf-8")
     told = readers.read_labelled(spark, {"machine": str(folder), "person": str(people)}).where("ext = '.txt' OR ext = '.md'")
-    scored = files.score_files(told).join(told.select("path", (F.col("label") == "machine").cast("int").alias("y")), "path").withColumn("n", F.lit(3))
+    scored = files.score_files(told, lang="en").join(told.select("path", (F.col("label") == "machine").cast("int").alias("y")), "path").withColumn("n", F.lit(3))
     summary = evaluate.failures(evaluate.summary(scored, "score", "y"), evaluate.PROSE_FLOORS)
     assert "AUC: 0.7500" in evaluate.summary_lines(summary).first().value and evaluate.check_status(summary).first()[0] == 1
     lines = {(r.label, r.position): r.value for r in evaluate.score_table(scored, F.lit("x"), "score", "y", "n", "mode").collect()}
