@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions import features as X
 from telltale.functions.lexicon import configured, packs
-from telltale.operators import code, evaluate, findings, prose
+from telltale.operators import code, evaluate, files, findings, highlight, prose
 from telltale.sources import readers
 from telltale.streaming import stream
 
@@ -53,9 +53,9 @@ feature("copula_gate", ["copula_avoidance_scored"])
 feature("artifact_hits", ["ai_artifacts"])
 for _name in ("em_dash_excess", "emoji", "header_emoji", "bold_inline", "bold_label_bullets", "bare_bullets", "generic_headings", "heading_level_skips", "quote_mix", "punct_entropy", "staccato_runs", "paragraph_opener_repeat", "opener_top_share", "question_hooks", "connective_openers", "connective_excess"):
     feature(_name, [_name])
-for _code in ("fr", "de", "es", "ru"):
+for _code in (c for c in packs() if c != "en"):  # English has a back reference, which the other dialect lacks
     feature(f"prose_score_{_code.replace('-', '_')}", ["words", "score_per_1k", "verdict"], _code)
-    SQL[f"prose_score_{_code}"] = f"{O.features(packs()[_code])} SELECT doc_id, words, score_per_1k, {O.VERDICT} AS verdict FROM (SELECT doc_id, words, {O.SCORE} AS score_per_1k FROM f)"
+    SQL[f"prose_score_{_code.replace('-', '_')}"] = f"{O.features(packs()[_code])} SELECT doc_id, words, score_per_1k, {O.VERDICT} AS verdict FROM (SELECT doc_id, words, {O.SCORE} AS score_per_1k FROM f)"
 feature("density_crutch_ru", ["density_crutch", "density_crutch_excess"], "ru")
 
 for _p in packs()["en"].patterns:
@@ -151,7 +151,19 @@ def config_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("config_union", config_union, f"SELECT DISTINCT word FROM (SELECT unnest([{', '.join(O.s(w) for w in packs()['en'].buzzwords)}]) AS word UNION ALL SELECT lower(unnest(['the', 'gizmo', 'Gizmo']))) WHERE word NOT IN ('delve', 'robust')")
-add("configured_hits", lambda spark, sf_dir: prose.with_features(readers.table(spark, sf_dir, "documents"), lang="en", config=_CONFIG).select("doc_id", _n("buzzwords").alias("n_buzz"), _n("phrases").alias("n_phrase")), None)
+_OWN = configured(packs()["en"], _CONFIG)
+_OWN_PATTERNS = [x for x in _OWN.patterns if x not in packs()["en"].patterns]
+
+
+def configured_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = prose.with_features(readers.table(spark, sf_dir, "documents"), lang="en", config=_CONFIG)
+    own = F.filter("patterns", lambda p: p["name"].isin(*[x.name for x in _OWN_PATTERNS]))
+    return scored.select("doc_id", _n("buzzwords").alias("n_buzz"), _n("phrases").alias("n_phrase"), X.total(F.transform(own, lambda p: p["n"])).cast("long").alias("n_own_patterns"))
+
+
+add("configured_hits", configured_hits, f"""WITH n AS (SELECT doc_id, replace(regexp_replace(coalesce(text, ''), '\\r\\n?|[\\x1c-\\x1f\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(65279), ' ') AS t FROM documents),
+low AS (SELECT doc_id, t, replace(lower(t), '’', '''') AS l FROM n), a AS (SELECT doc_id, t, {O.keys(_OWN)} AS ks FROM low)
+SELECT doc_id, {O.of_kind('ks', _OWN, 'buzzword')} AS n_buzz, {O.of_kind('ks', _OWN, 'phrase')} AS n_phrase, {' + '.join(O.pattern(x) for x in _OWN_PATTERNS)} AS n_own_patterns FROM a""")
 
 
 def conversation_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +186,24 @@ add(
     f"""{_FR}, x AS (SELECT score_per_1k AS s, quality AS q FROM v JOIN labels USING (doc_id)) SELECT count(*) FILTER (WHERE q = 1) AS n_positive, count(*) FILTER (WHERE q = 0) AS n_negative, round_even(avg(s) FILTER (WHERE q = 1), 6) AS mean_positive, round_even(avg(s) FILTER (WHERE q = 0), 6) AS mean_negative, max(s) FILTER (WHERE q = 0) AS max_negative,
 round_even(avg((s >= 10)::INT) FILTER (WHERE q = 1), 6) AS detection_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 1), 6) AS detection_25, round_even(avg((s >= 10)::INT) FILTER (WHERE q = 0), 6) AS false_positive_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 0), 6) AS false_positive_25 FROM x""",
 )
-add("eval_failures", lambda spark, sf_dir: evaluate.failures(evaluate.summary(_labelled(spark, sf_dir), "score_per_1k", "quality"), evaluate.PROSE_FLOORS))
+
+
+def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which floors the scores miss."""
+    told = evaluate.failures(evaluate.summary(_labelled(spark, sf_dir), "score_per_1k", "quality"), evaluate.PROSE_FLOORS)
+    return told.select("n_positive", "n_negative", "auc", F.array_join("floor_failures", ",").alias("missed"))
+
+
+add(
+    "eval_failures",
+    eval_failures,
+    f"""{_FR}, x AS (SELECT score_per_1k AS s, quality AS q FROM v JOIN labels USING (doc_id)), r AS (SELECT count(*) FILTER (WHERE q = 1) AS n_positive, count(*) FILTER (WHERE q = 0) AS n_negative,
+round_even(avg((s >= 10)::INT) FILTER (WHERE q = 1), 6) AS d, round_even(avg((s >= 10)::INT) FILTER (WHERE q = 0), 6) AS f10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 0), 6) AS f25 FROM x),
+u AS (SELECT round_even(avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM x p, x n WHERE p.q = 1 AND n.q = 0)
+SELECT n_positive, n_negative, auc, concat_ws(',', CASE WHEN auc < {evaluate.PROSE_FLOORS['auc']} THEN 'auc' END, CASE WHEN d < {evaluate.PROSE_FLOORS['detection_10']} THEN 'detection_10' END,
+CASE WHEN f10 > {evaluate.PROSE_FLOORS['false_positive_10']} THEN 'false_positive_10' END, CASE WHEN f25 > {evaluate.PROSE_FLOORS['false_positive_25']} THEN 'false_positive_25' END) AS missed FROM r, u""",
+)
+
 
 
 # --- code ----------------------------------------------------------------------------------------------------------
@@ -214,3 +243,23 @@ add("code_redundant", lambda spark, sf_dir: _evidence(spark, sf_dir).select("pag
 # --- streams -------------------------------------------------------------------------------------------------------
 
 add("event_window_verdicts", stream.window_verdicts)
+
+
+# --- files and marks -----------------------------------------------------------------------------------------------
+
+
+def marked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = highlight.with_marks(tells(spark, sf_dir), lang="fr").select("doc_id", F.explode("marks").alias("m"))
+    return marks.groupBy("m.category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m.end") - F.col("m.start")).alias("chars"))
+
+
+def file_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and web pages in one table, each scored as what it is."""
+    texts = readers.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id", F.lit(".txt")).alias("path"), "text")
+    pages = readers.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    mixed = texts.unionByName(pages).withColumn("ext", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return files.score_files(mixed, lang="en").groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("record").isNull() | F.col("score").isNull()).alias("unscored"))
+
+
+add("marked_spans", marked_spans)
+add("file_modes", file_modes, "SELECT 'prose' AS mode, count(*) AS n, 0 AS unscored FROM benchmark UNION ALL SELECT 'code', count(*), 0 FROM pages")
