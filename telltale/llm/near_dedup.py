@@ -37,6 +37,8 @@ LEAST_AGREED = 2
 MEMBERS = 256
 #: Members of a bucket that are compared in one task; larger buckets are dealt out in tiles, and such over ``TILED`` are split first.
 BUCKET, TILED = 1000, 20_000
+#: Ranks of k-mers that are held at a time.
+RANKS = 1 << 18
 #: Numbers that a text's words are counted by.
 BAG = 128
 
@@ -56,11 +58,21 @@ def _drawn(hashes: np.ndarray, size: int, which: slice) -> np.ndarray:
         nth = np.empty(n, np.uint64)
         nth[order] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         grams = mix(grams + nth * np.uint64(BASE))
-    seeds, multipliers = _SEEDS[which], _MULTIPLIERS[which]
+    return np.concatenate([_least(grams, _SEEDS[lo:hi], _MULTIPLIERS[lo:hi]) for lo, hi in _blocks(which, n)])
+
+
+def _blocks(which: slice, n: int) -> Iterator[tuple[int, int]]:
+    """Parts of the sketches ``which``, so small that the ranks of ``n`` k-mers in all of them are few."""
+    step = max(1, RANKS // n)
+    for lo in range(which.start, which.stop, step):
+        yield lo, min(lo + step, which.stop)
+
+
+def _least(grams: np.ndarray, seeds: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     ranks = (grams[None, :] ^ seeds[:, None]) * multipliers[:, None]
     ranks ^= ranks >> np.uint64(32)
     rows, places = np.arange(len(seeds)), []
-    for _ in range(min(TAKEN, n)):
+    for _ in range(min(TAKEN, len(grams))):
         best = ranks.argmin(axis=1)
         places.append(best)
         ranks[rows, best] = np.uint64(0xFFFFFFFFFFFFFFFF)

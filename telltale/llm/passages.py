@@ -118,7 +118,7 @@ def texts_of(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("_maybe").select("_key", "_text").join(keys, "_key")
 
 
-REMOVED = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+REMOVED = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,9 +134,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
     """A struct for each text and its array of spans: what is removed, and what is left.
 
-    ``kept_sha256`` is of the bytes left or, of words, of the words left with one space between them. The bytes themselves come only
-    with ``keep``; of a text cut by words they are its own, white space included, without each removed word and what follows it
-    up to the next one.
+    ``kept_sha256`` is of the bytes left or, of words, of the words left with one space between them. The text left comes only
+    with ``keep``: without characters that are removed in part and, cut by words, with its own white space but for what follows a
+    removed word.
     """
 
     def of(text: str | None, own: list[dict] | None) -> tuple:
@@ -154,7 +154,7 @@ def remove(text: Column, spans: Column, by_word: bool, keep: bool) -> Column:
         if keep or left is None:
             kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(raw)]))
             left = kept if left is None else left
-        return sum(b - a for a, b in spans), len(spans), kept if keep else None, hashlib.sha256(left).hexdigest()
+        return sum(b - a for a, b in spans), len(spans), kept.decode("utf-8", "ignore") if keep else None, hashlib.sha256(left).hexdigest()
 
     @F.arrow_udf(REMOVED)
     @tidied
@@ -192,22 +192,16 @@ def results(df: DataFrame, table: DataFrame, spans: DataFrame, key: str, text: s
 def cleaned(df: DataFrame, spans: DataFrame, key: str, text: str, by_word: bool, tag: str) -> DataFrame:
     """The rows of ``df`` without the spans (``_key, lo, hi``) in their texts, in the columns of ``df``, whatever their names.
 
-    Only rows that may have a span are shuffled. Of a character whose bytes are partly removed nothing stays.
+    Only rows that may have a span are shuffled.
     """
     per_text = written(spans.groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")), "spans", tag)
     rows = asked(df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias("_row")), per_text.select("_key"))
 
-    @F.arrow_udf(T.StringType())
-    @tidied
-    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
-
     def columns(own: Column) -> list[Column]:
         return [own.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns]
 
     touched = rows.where("_maybe").join(per_text, "_key", "left")
-    kept = decoded(remove(F.col("_row")[text], F.col("_spans"), by_word, True)["kept"])
+    kept = remove(F.col("_row")[text], F.col("_spans"), by_word, True)["kept"]
     changed = touched.where("_spans IS NOT NULL").select(*columns(kept))
     same = touched.where("_spans IS NULL").select(*columns(F.col("_row")[text]))
     return rows.where("NOT _maybe").select(*columns(F.col("_row")[text])).unionByName(same).unionByName(changed)

@@ -1,5 +1,4 @@
 import base64
-import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -137,7 +136,3 @@ def test_token_files(spark, docs, empty, monkeypatch):
     none = scratch.new_path(spark, "none")
     token_files.write(empty, none, WORD, 1)
     assert token_files.read(spark, none).count() == 0
-
-
-def test_digest_of_ids():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
