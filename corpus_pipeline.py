@@ -74,7 +74,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are an end token alone; longer ones than a sequence are cut. Rows that repeat an id, or have none, are packed each
     for itself. An empty table gives no rows.
     """
-    return packing.pack(_begin(spark, docs), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, entries=60_000, tag=_TAG)
+    return packing.pack(_begin(spark, docs), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, entries=30_000, tag=_TAG)
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language), ("near-duplicates", near_duplicates), ("suffix-array dedup", repeated_substrings), ("best-fit packing", packed)]
