@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import __spark_entry__ as entry
 import duckdb
 import pytest
@@ -11,6 +16,15 @@ def test_registry_needs_no_session():
     assert len(queries) >= 70 and set(sql) <= set(queries)
 
 
+def test_registry_without_the_folders_for_training_data(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    place = tmp_path / "copy"
+    shutil.copytree(root, place, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; print(sorted(q for q in e.queries() if q == 'pipeline' or q[:2] == 'op' and q[2].isdigit()), len(e.oracle_sql()) > 60)"
+    told = subprocess.run([sys.executable, "-c", code], cwd=place, env={**os.environ, "PYTHONPATH": str(place)}, capture_output=True, text=True, check=True)
+    assert told.stdout.split("\n")[0] == "[] True"
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
