@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import passages as P
 from .chunks import tidied
-from .scratch import exists, new_path, partitions, remove, subfolders, written
+from .scratch import exists, new_path, partitions, release, remove, subfolders, written
 from .windows import flat, joined, words
 
 WINDOW, GRAM = 50, 10
@@ -280,11 +280,13 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", batches:
     bounds = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", steps, 0.01))) if steps else []
     k = F.col(key)
     index, tables, spans = FingerprintIndex(spark, new_path(spark, "index", tag)), [], []
-    for low, high in zip([None, *bounds], [*bounds, None]):
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        own = f"{tag}, batch {i}"  # what a batch keeps aside goes when its spans are written
         above = F.coalesce(k > low, F.lit(False)) if low is not None else F.lit(True)
         below = F.coalesce(k <= high, F.lit(low is None)) if high is not None else F.lit(True)
-        table = P.scanned(df.where(above & below), key, text, WINDOW, GRAM, True, tag, fingerprints=True)
-        tables.append(table)
-        spans.append(index.add(table, df.where(below), key, text, tag))
+        table = P.scanned(df.where(above & below), key, text, WINDOW, GRAM, True, own, fingerprints=True)
+        tables.append(written(table.select("_key", "n", "sha256"), "texts", tag))
+        spans.append(written(index.add(table, df.where(below), key, text, own), "spans", tag))
+        release(spark, own)
     index.close()
     return P.results(df, reduce(DataFrame.unionByName, tables), reduce(DataFrame.unionByName, spans), key, text, True, tag)
