@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint_index, language_id, near_dedup, neighbours, packing, quality, suffix_dedup, token_counts, token_files
+from . import alignment, bpe_codec, fingerprint_index, importance, language_id, near_dedup, neighbours, ordered_packing, packing, quality, suffix_dedup, token_counts, token_files
 from .scratch import new_path
 
 
@@ -70,5 +70,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprint_index, op6_bpe_codec, op7_language_id, op8_nearest_neighbours, op9_token_files, op10_near_dedup)}
-SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return told.select("doc_id", *alignment.COUNTS, F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprint_index, op6_bpe_codec, op7_language_id, op8_nearest_neighbours, op9_token_files, op10_near_dedup, op11_importance_resampling, op12_ordered_packing, op13_tokenizer_alignment)}
+SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op11_importance_resampling": importance.SQL}

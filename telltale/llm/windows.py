@@ -86,9 +86,10 @@ def lowered(texts: Flat) -> Flat:
     return Flat(_ASCII_LOWER[texts.data], texts.offsets)
 
 
-def words(texts: Flat) -> Words:
+def words(texts: Flat, letters: np.ndarray | None = None) -> Words:
+    """Runs of bytes that aren't white space, or of those that ``letters`` marks."""
     data = texts.data
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if letters is None else letters[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     bounds = texts.offsets[:-1][texts.offsets[:-1] < len(data)]
