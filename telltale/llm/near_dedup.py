@@ -8,9 +8,10 @@ agree in a sketch with a probability of 0.08; those that agree in two of 56 or m
 
 Exact copies are one representative first. Texts that share a sketch are a bucket. Each member is compared with its bucket's
 leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
-classes are then compared within their buckets: small buckets in a task each, larger ones in tiles, and very large ones by a
-second sketch that their members share, until no candidate pair is left. Of each text the words are counted by 128 numbers; two texts
-whose counts are too far apart can't be similar, so that texts that only share a passage are told apart without their words.
+classes are then compared within their buckets. Members of large buckets, which often have no more than a passage in common, meet only if
+they share one of their rarest words, as all similar texts do (``rare_words``), so the work grows with the rare words of these texts and not
+with the square of the bucket. Of each text the words are counted by 128 numbers; two texts whose counts are too far apart can't
+be similar and are told apart without their words.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ SHORT, SHORT_SKETCHES, SHORT_SHINGLE = 50, 16, 2
 LEAST_AGREED = 2
 #: Members compared with a leader in one task's group.
 MEMBERS = 256
-#: Members of a bucket that are compared in one task; larger buckets are dealt out in tiles, and such over ``TILED`` are split first.
-BUCKET, TILED = 1000, 20_000
+#: Members of a bucket that are compared in one task; those of larger buckets meet by their rare words instead, and in tiles where
+#: even a rare word has more.
+BUCKET = 1000
+#: Counters of words by hash, which say which of a text's words are rare.
+COUNTERS = 1 << 18
 #: Ranks of k-mers that are held at a time.
 RANKS = 1 << 18
 #: Numbers that a text's words are counted by.
@@ -47,17 +51,23 @@ _MULTIPLIERS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0xA5A5) | np.uint64(
 _SEEDS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0x5A5A)
 
 
+def with_occurrence(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of each one and how often it has come before; those that come first stay as they are."""
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    if len(counts) == len(hashes):
+        return hashes
+    order = np.argsort(inverse, kind="stable")
+    nth = np.empty(len(hashes), np.uint64)
+    nth[order] = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.where(nth > 0, mix(hashes + nth * np.uint64(BASE)), hashes)
+
+
 def _drawn(hashes: np.ndarray, size: int, which: slice) -> np.ndarray:
     """The sketches ``which`` of a text's k-mers of ``size`` words; texts of fewer words are one k-mer."""
     n = max(1, len(hashes) - size + 1)
     at = np.arange(n)
     grams = between(prefix(hashes), at, np.minimum(at + size, len(hashes)))
-    _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    if len(counts) < n:
-        order = np.argsort(inverse, kind="stable")
-        nth = np.empty(n, np.uint64)
-        nth[order] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-        grams = mix(grams + nth * np.uint64(BASE))
+    grams = with_occurrence(grams)
     return np.concatenate([_least(grams, _SEEDS[lo:hi], _MULTIPLIERS[lo:hi]) for lo, hi in _blocks(which, n)])
 
 
@@ -263,12 +273,51 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
     return told.select(F.least("_leader", "_member").alias("_leader"), F.greatest("_leader", "_member").alias("_member")).distinct()
 
 
-def split(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of large buckets in buckets of one more sketch each; ``_used`` is the last sketch of a bucket, so that each set of
-    sketches is one bucket."""
-    own = members.select("_bucket", "_used", "_rep", "_order", "_bits", "n_words").join(reps.select("_rep", "sketches"), "_rep")
-    more = own.select("*", F.posexplode("sketches").alias("_at", "_sketch")).where("_at > _used")
-    return more.select(F.xxhash64("_bucket", "_at", "_sketch").alias("_bucket"), F.col("_at").alias("_used"), "_rep", "_order", "_bits", "n_words")
+def word_ranks(texts: Column, df: DataFrame) -> np.ndarray:
+    """How often words occur in the texts of ``df``, by hash, in ``COUNTERS`` counters that are summed in the cluster."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0), SLICE):
+                total += np.bincount((words(lowered(flat(part))).hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    summed = df.select(texts).mapInArrow(tidied(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+
+
+def first_words(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The words of one text that come first by rank and hash."""
+    labelled = with_occurrence(hashes)
+    order = np.lexsort((labelled, ranks[(hashes % np.uint64(len(ranks))).astype(np.int64)]))
+    return labelled[order[: allowed(len(hashes), len(hashes), similarity) + 1]]
+
+
+def rare_words(text: Column, ranks: np.ndarray, similarity: float) -> Column:
+    """Hashes of each text's rarest words, each with its occurrence, so many that two similar texts have one in common.
+
+    Texts at most ``d`` edits apart share all but ``d`` words of the longer one. Whatever the order that all words are put in, the first
+    ``d + 1`` words of both then have one in common; rare ones first makes them few.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @tidied
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out, ends = [np.zeros(0, np.int64)], [0]
+            for part in slices(batch, SLICE):
+                found = words(lowered(flat(part)))
+                for lo, hi in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
+                    own = first_words(found.hashes[lo:hi], ranks, similarity)
+                    out.append(own.view(np.int64))
+                    ends.append(ends[-1] + len(own))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+
+    return run(text)
 
 
 def tiles(members: DataFrame) -> DataFrame:
@@ -344,11 +393,24 @@ def _links(df: DataFrame, pairs: DataFrame, key: str, text: str, similarity: flo
     return written(verified(pairs, texts.dropDuplicates(["_rep"]), similarity), "links", tag)
 
 
-def pairs_in(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """``pairs_across`` of buckets of any size, with the members' counts of words."""
+def pairs_in(members: DataFrame, similarity: float) -> DataFrame:
+    """``pairs_across`` of buckets of any size."""
     small = members.where(F.col("_n") <= BUCKET)
-    whole = small.unionByName(tiles(members.where(F.col("_n") > BUCKET)).select(*small.columns))
-    return pairs_across(whole.join(reps.select("_rep", "bag"), "_rep"), similarity)
+    return pairs_across(small.unionByName(tiles(members.where(F.col("_n") > BUCKET)).select(*small.columns)), similarity)
+
+
+def by_rare_words(held: DataFrame, texts: DataFrame, similarity: float, tag: str) -> DataFrame:
+    """A written table of ``held`` (``_rep, _class`` and others) in buckets of texts that have a rare word in common, of those
+    buckets that several classes are in.
+
+    Of words that one text or one class alone has nothing but their hash is shuffled.
+    """
+    ranks = word_ranks(F.col("_text"), texts)
+    own = texts.select("_rep", F.explode(rare_words(F.col("_text"), ranks, similarity)).alias("_bucket"))
+    own = written(own.join(held.select("_rep", "_class"), "_rep"), "words", tag)
+    several = own.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("_bucket", "_n")
+    shared = written(own.drop("_class").join(several, "_bucket"), "shared", tag)
+    return written(shared.join(held, "_rep"), "members", tag)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tag: str = "query") -> DataFrame:
@@ -369,7 +431,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     byte = lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")
     bits = F.transform(F.sequence(F.lit(0), F.lit(_ALL - 1)), lambda i: byte(F.coalesce(F.get("sketches", i), F.xxhash64("_rep", i))))
     least = int(1 / (1 - similarity) + 1e-9) if similarity < 1 else 1 << 30  # words from which on a pair can differ
-    full = reps.where(F.col("n_words") >= least).select("_rep", F.xxhash64("_rep").alias("_order"), bits.alias("_bits"), "n_words", F.posexplode("sketches").alias("_used", "_bucket"))
+    full = reps.where(F.col("n_words") >= least).select("_rep", F.xxhash64("_rep").alias("_order"), bits.alias("_bits"), "n_words", F.explode("sketches").alias("_bucket"))
     members = with_leaders(full, tag)
     pairs = written(leader_pairs(members, similarity), "pairs", tag)
     tested, classes = pairs, components(_links(df, pairs, key, text, similarity, tag), tag)
@@ -391,13 +453,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         several = named.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("_bucket")
         return written(named.join(several, "_bucket", "left_semi"), "mixed", tag)
 
+    bags = reps.select("_rep", "bag")
     left = mixed(members)
-    compared(pairs_in(left.where(F.col("_n") <= TILED), reps, similarity))
-    large = left.where(F.col("_n") > TILED)
+    compared(pairs_in(left.where(F.col("_n") <= BUCKET).join(bags, "_rep"), similarity))
+    large = left.where(F.col("_n") > BUCKET).drop("_class")
     if not large.isEmpty():
-        members = with_leaders(split(large, reps), tag)
-        compared(leader_pairs(members, similarity))
-        compared(pairs_in(mixed(members), reps, similarity))
+        held = mixed(large).select("_rep", "_order", "_bits", "n_words", "_class").dropDuplicates(["_rep"])
+        held = written(held.join(bags, "_rep"), "held", tag)
+        texts = written(texts_of(df, held.select(F.col("_rep").alias("_key")), key, text).withColumnRenamed("_key", "_rep").dropDuplicates(["_rep"]), "texts", tag)
+        compared(pairs_in(by_rare_words(held, texts, similarity, tag), similarity))
     of_rep = reps.select("content", "_rep").join(classes.withColumnRenamed("_node", "_rep"), "_rep", "left").select("content", F.coalesce("_class", "_rep").alias("_class"))
     told = rows.select("_key", "n_words", "content").join(of_rep, "content", "left")
     return told.select(F.col("_key").alias(key), F.coalesce("_class", "_key").alias("class_id"), "n_words")

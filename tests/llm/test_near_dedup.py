@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from telltale.llm import near_dedup as N
@@ -102,11 +103,12 @@ def test_recall_within_the_promised_similarity(spark):
     print(recall)
 
 
-@pytest.mark.parametrize("tiled", [4, 8])
-def test_large_buckets_lose_nothing(spark, monkeypatch, tiled):
-    """Families of texts that share a passage but are no near-duplicates, with near copies among them."""
+@pytest.mark.parametrize("counters", [4, 1 << 18])
+def test_large_buckets_lose_nothing(spark, monkeypatch, counters):
+    """Families of texts that share a passage but are no near-duplicates, with near copies among them; with few counters
+    nearly all words look alike, so that many texts have one of the first in common and buckets of them are dealt out in tiles."""
     monkeypatch.setattr(N, "BUCKET", 4)
-    monkeypatch.setattr(N, "TILED", tiled if tiled > 4 else 10**6)
+    monkeypatch.setattr(N, "COUNTERS", counters)
     rng = random.Random(12)
     new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     docs, k, passage = {}, 0, new(60)
@@ -121,6 +123,21 @@ def test_large_buckets_lose_nothing(spark, monkeypatch, tiled):
     assert got == brute_classes(docs) and 30 < len(set(got.values())) < len(docs)
 
 
+def test_rare_words_meet():
+    """Whatever the counters say, texts within the edits have one of their first words in common."""
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(7, 60)
+        a = [f"w{rng.randrange(30)}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), int(0.15 * n)):
+            b[at] = rng.choice(["", f"w{rng.randrange(30)}", f"{b[at]} x"])
+        x, y = words_of(" ".join(a)), words_of(" ".join(b))
+        if edits(x, y) <= N.allowed(len(x), len(y), 0.85):
+            ranks = np.array([rng.randrange(5) for _ in range(N.COUNTERS)], np.uint32)
+            assert set(N.first_words(N.words(N.flat(pa.array([" ".join(x)]))).hashes, ranks, 0.85)) & set(N.first_words(N.words(N.flat(pa.array([" ".join(y)]))).hashes, ranks, 0.85))
+
+
 def test_classes_match_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
