@@ -39,8 +39,8 @@ MEMBERS = 256
 #: Members of a bucket that are compared in one task; those of larger buckets meet by their rare words instead, and in tiles where
 #: even a rare word has more.
 BUCKET = 1000
-#: Counters of words by hash, which say which of a text's words are rare.
-COUNTERS = 1 << 18
+#: Counters of texts by the hash of a word, which say which of a text's words are rare.
+COUNTERS = 1 << 21
 #: Ranks of k-mers that are held at a time.
 RANKS = 1 << 18
 #: Numbers that a text's words are counted by.
@@ -274,13 +274,15 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def word_ranks(texts: Column, df: DataFrame) -> np.ndarray:
-    """How often words occur in the texts of ``df``, by hash, in ``COUNTERS`` counters that are summed in the cluster."""
+    """How many texts of ``df`` have a word, with its occurrence and by hash, in ``COUNTERS`` counters that are summed in the cluster."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
-                total += np.bincount((words(lowered(flat(part))).hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                found = words(lowered(flat(part)))
+                for lo, hi in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
+                    np.add.at(total, counters_of(with_occurrence(found.hashes[lo:hi]), COUNTERS), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -290,10 +292,14 @@ def word_ranks(texts: Column, df: DataFrame) -> np.ndarray:
     return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
+def counters_of(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes % np.uint64(counters)).astype(np.int64)
+
+
 def first_words(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """The words of one text that come first by rank and hash."""
+    """The words of one text, each with its occurrence, that come first by rank and hash."""
     labelled = with_occurrence(hashes)
-    order = np.lexsort((labelled, ranks[(hashes % np.uint64(len(ranks))).astype(np.int64)]))
+    order = np.lexsort((labelled, ranks[counters_of(labelled, len(ranks))]))
     return labelled[order[: allowed(len(hashes), len(hashes), similarity) + 1]]
 
 
@@ -301,7 +307,8 @@ def rare_words(text: Column, ranks: np.ndarray, similarity: float) -> Column:
     """Hashes of each text's rarest words, each with its occurrence, so many that two similar texts have one in common.
 
     Texts at most ``d`` edits apart share all but ``d`` words of the longer one. Whatever the order that all words are put in, the first
-    ``d + 1`` words of both then have one in common; rare ones first makes them few.
+    ``d + 1`` words of both then have one in common; rare ones first makes them few. Those that one text alone has by their
+    counter can't be it.
     """
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -313,6 +320,7 @@ def rare_words(text: Column, ranks: np.ndarray, similarity: float) -> Column:
                 found = words(lowered(flat(part)))
                 for lo, hi in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
                     own = first_words(found.hashes[lo:hi], ranks, similarity)
+                    own = own[ranks[counters_of(own, len(ranks))] > 1]
                     out.append(own.view(np.int64))
                     ends.append(ends[-1] + len(own))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
@@ -403,11 +411,11 @@ def by_rare_words(held: DataFrame, texts: DataFrame, similarity: float, tag: str
     """A written table of ``held`` (``_rep, _class`` and others) in buckets of texts that have a rare word in common, of those
     buckets that several classes are in.
 
-    Of words that one text or one class alone has nothing but their hash is shuffled.
+    Of words that one class alone has nothing but their hash is shuffled.
     """
     ranks = word_ranks(F.col("_text"), texts)
-    own = texts.select("_rep", F.explode(rare_words(F.col("_text"), ranks, similarity)).alias("_bucket"))
-    own = written(own.join(held.select("_rep", "_class"), "_rep"), "words", tag)
+    named = texts.join(held.select("_rep", "_class"), "_rep")
+    own = written(named.select("_rep", "_class", F.explode(rare_words(F.col("_text"), ranks, similarity)).alias("_bucket")), "words", tag)
     several = own.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("_bucket", "_n")
     shared = written(own.drop("_class").join(several, "_bucket"), "shared", tag)
     return written(shared.join(held, "_rep"), "members", tag)
