@@ -26,6 +26,29 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Elements that ``running`` carries at a time.
+BLOCK = 256
+
+
+def running(xs: Column, start: Column, step, kind: str) -> Column:
+    """What ``step(state, x)``, a pair of the next state and a value of type ``kind``, gives for each element, in order.
+
+    Appending copies an array, so values are gathered in blocks, and full blocks end to end: the work grows little faster than
+    the array.
+    """
+
+    def grown(a: Column, x: Column) -> Column:
+        state, value = step(a["state"], x)
+        one, full = F.array(value.cast(kind)), F.size(a["block"]) >= BLOCK
+        block = F.when(full, one).otherwise(F.concat(a["block"], one))
+        done = F.when(full, F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"])
+        return F.struct(state.alias("state"), block.alias("block"), done.alias("done"))
+
+    none = F.array().cast(f"array<{kind}>")
+    begun = F.struct(start.alias("state"), none.alias("block"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.aggregate(xs, begun, grown, lambda a: F.concat(F.flatten(a["done"]), a["block"]))
+
+
 def count(text: Column, pattern: Column | str) -> Column:
     return F.regexp_count(text, lit(pattern))
 
@@ -174,17 +197,21 @@ def matching(keys: Column, pattern: Column | str) -> Column:
     return F.filter(keys, lambda x: count(x, pattern) > 0)
 
 
-def located(text: Column, pattern: str) -> Column:
+def between(text: Column, pattern: Column | str) -> Column:
+    """Each match (``hit``) and the text between it and the one before (``gap``)."""
+    hits, gaps = found(text, pattern), F.split(text, pattern, -1)
+    return let(hits, lambda h: F.arrays_zip(h.alias("hit"), F.slice(gaps, 1, F.size(h)).alias("gap")))
+
+
+def located(text: Column, pattern: Column | str) -> Column:
     """Each match with the line it starts on: the text is split around its matches and line ends are summed."""
-    matches, gaps = found(text, pattern), F.split(text, pattern, -1)
-    start = F.struct(F.lit(1).cast(INT).alias("line"), F.array().cast("array<struct<hit:string,line:int>>").alias("out"))
 
-    def step(a: Column, m: Column) -> Column:
-        line = a["line"] + F.regexp_count(m["gaps"], lit("\n"))
-        return F.struct((line + F.regexp_count(m["matches"], lit("\n"))).cast(INT).alias("line"), F.concat(a["out"], F.array(F.struct(m["matches"].alias("hit"), line.cast(INT).alias("line")))).alias("out"))
+    counted = F.transform(between(text, pattern), lambda m: F.struct(m["hit"].alias("hit"), occurrences(m["gap"], "\n").alias("before"), occurrences(m["hit"], "\n").alias("inside")))
+
+    def step(line: Column, m: Column) -> tuple[Column, Column]:
+        return line + m["before"] + m["inside"], F.struct(m["hit"].alias("hit"), (line + m["before"]).alias("line"))
 
-    pairs = F.arrays_zip(matches.alias("matches"), F.slice(gaps, 1, F.size(matches)).alias("gaps"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    return running(counted, F.lit(1).cast(INT), step, "struct<hit:string,line:int>")
 
 
 def artifact_pattern(pack: Pack) -> str:

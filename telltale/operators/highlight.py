@@ -19,14 +19,12 @@ _MARKS = f"array<{_MARK}>"
 
 def placed(text: Column, pattern: Column | str) -> Column:
     """Each match with the character it starts at, counted from 0: the text is split around its matches and lengths are summed."""
-    matches, gaps = X.found(text, pattern), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int>>").alias("out"))
 
-    def step(a: Column, m: Column) -> Column:
-        at = a["at"] + F.length(m["gaps"])
-        return F.struct((at + F.length(m["matches"])).alias("at"), F.concat(a["out"], F.array(F.struct(m["matches"].alias("hit"), at.alias("start")))).alias("out"))
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        own = at + F.length(m["gap"])
+        return own + F.length(m["hit"]), F.struct(m["hit"].alias("hit"), own.alias("start"))
 
-    return F.aggregate(F.arrays_zip(matches.alias("matches"), F.slice(gaps, 1, F.size(matches)).alias("gaps")), start, step, lambda a: a["out"])
+    return X.running(X.between(text, pattern), F.lit(0), step, "struct<hit:string,start:int>")
 
 
 def _marks(hits: Column, category: str | Column, key) -> Column:
@@ -52,16 +50,15 @@ def _of_pack(t: Column, l: Column, pack: Pack) -> Column:
 def resolved(marks: Column) -> Column:
     """Marks in the order of the text; of one that another covers in part only the rest stays, of one wholly covered nothing."""
     ordered = F.array_sort(F.transform(marks, lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), (-m["length"]).alias("shorter"), m["key"].alias("key"))))
-    kind = "array<struct<start:int,end:int,category:string,key:string>>"
-    state = F.struct(F.lit(0).alias("past"), F.array().cast(kind).alias("out"))
     names = F.array(*[F.lit(x) for x in PRECEDENCE])
 
-    def step(a: Column, m: Column) -> Column:
-        start, end = F.greatest(m["start"], a["past"]), m["start"] - m["shorter"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.get(names, m["rank"]).alias("category"), m["key"].alias("key")))
-        return F.struct(F.greatest(a["past"], end).alias("past"), F.when(start < end, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+    def step(past: Column, m: Column) -> tuple[Column, Column]:
+        end = m["start"] - m["shorter"]
+        own = F.struct(F.greatest(m["start"], past).alias("start"), end.alias("end"), F.get(names, m["rank"]).alias("category"), m["key"].alias("key"))
+        return F.greatest(past, end), own
 
-    return F.aggregate(ordered, state, step, lambda a: a["out"])
+    told = X.running(ordered, F.lit(0), step, "struct<start:int,end:int,category:string,key:string>")
+    return F.filter(told, lambda m: m["start"] < m["end"])
 
 
 def with_marks(df: DataFrame, text: str = "text", lang: str | None = None, config: dict | None = None) -> DataFrame:

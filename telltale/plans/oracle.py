@@ -167,3 +167,80 @@ cov AS (SELECT sam.doc_id, pack.code, ord, coalesce(hits, 0) AS hits, coalesce(h
 rnk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cover DESC, ord) AS r FROM cov),
 best AS (SELECT p.doc_id, p.code FROM rnk p JOIN rnk q ON p.doc_id = q.doc_id AND p.r = 1 AND q.r = 2 WHERE p.hits >= 4 AND p.cover >= 0.07 AND p.cover >= q.cover * 1.25),
 det AS (SELECT sam.doc_id, truth, source, coalesce(code, 'en') AS language, CASE WHEN code IS NULL THEN 'fallback' ELSE 'detected' END AS language_source FROM sam LEFT JOIN best USING (doc_id))"""
+
+
+KINDS = ("buzzword", "phrase", "copula", "scope")
+
+
+def listed(pack: Pack) -> list[tuple[str, str]]:
+    """Kind and needle, each needle under the first list that has it."""
+    found: dict[str, str] = {}
+    for kind, words in pool(pack):
+        for word in words:
+            found.setdefault(word, kind)
+    return [(kind, word) for kind in KINDS for word, own in found.items() if own == kind]
+
+
+def spelled(word: str) -> str:
+    """A needle as a pattern, any white space for a space."""
+    return re.sub(" ", lambda _: SPACES + "+", R.quoted(word))
+
+
+def lexicon_hits(pack: Pack) -> str:
+    """Each place of a text that a needle's first letter is at, and the needle there between word boundaries."""
+    rows = ", ".join(f"({i}, {s(w)}, {s(spelled(w))})" for i, (_, w) in enumerate(listed(pack)))
+    return f"""WITH {tells()}, needle(needle_id, word, rx) AS (VALUES {rows}),
+flat AS (SELECT doc_id, l, regexp_replace(l, {s(SPACES + '+')}, ' ', 'g') AS x FROM low),
+near AS (SELECT doc_id, string_split(l, '') AS c, needle_id, word, rx FROM flat JOIN needle ON contains(x, word)),
+spot AS (SELECT doc_id, c, needle_id, rx, unnest(list_filter(range(1, len(c) + 1), lambda i: c[i] = word[1] AND (i = 1 OR regexp_matches(c[i - 1], {s(NOT_WORD)})))) AS i FROM near),
+hit AS (SELECT *, regexp_extract(array_to_string(c[i : i + 200], ''), '^(' || rx || {s(f')(?:{NOT_WORD}|$)')}, 1) AS found FROM spot)
+SELECT doc_id, needle_id, i - 1 AS start, i - 1 + length(found) AS "end", 1 + len(list_filter(c[1 : i - 1], lambda x: x = chr(10))) AS line FROM hit WHERE found <> ''"""
+
+
+def swept_pools() -> str:
+    """What each pack's own alternation finds, with the kind of each needle."""
+    kinds = ", ".join(f"({s(c)}, {s(kind)}, {s(w)})" for c, p in packs().items() for kind, w in listed(p))
+    found = " UNION ALL ".join(f"SELECT {s(c)} AS pack, unnest({keys(p)}) AS key_text FROM low" for c, p in packs().items())
+    return f"WITH {tells()}, kinds(pack, kind, key_text) AS (VALUES {kinds}), found AS ({found}) SELECT pack, kind, key_text, count(*) AS n FROM found JOIN kinds USING (pack, key_text) GROUP BY ALL"
+
+
+def config_union(pack: Pack, config: dict) -> str:
+    own = ", ".join(f"({s(w)})" for w in [*(w for kind, w in listed(pack) if kind == "buzzword"), *config["extra_words"]])
+    gone = ", ".join(f"({s(w)})" for w in config["ignore_words"])
+    spelling = rf"regexp_replace(regexp_replace(word, '([^\p{{L}}\p{{N}}_ ])', '[\1][\1]', 'g'), ' ', {s(SPACES.replace(chr(92), chr(92) * 2) + '+')}, 'g')"
+    return f"""WITH {tells()}, words AS (SELECT DISTINCT lower(word) AS word FROM (SELECT col0 AS word FROM (VALUES {own}) UNION ALL SELECT event_type FROM events)
+  WHERE lower(word) NOT IN (SELECT lower(col0) FROM (VALUES {gone}) UNION ALL SELECT lower(role) FROM conversations WHERE role IS NOT NULL)),
+flat AS (SELECT doc_id, regexp_replace(l, {s(SPACES + '+')}, ' ', 'g') AS x, {DOUBLED} AS d FROM low),
+hit AS (SELECT word, len(regexp_extract_all(d, {s(NOT_WORD)} || {spelling} || {s(NOT_WORD)})) AS k FROM flat JOIN words ON contains(x, word))
+SELECT word, coalesce(sum(k), 0)::BIGINT AS n FROM words LEFT JOIN hit USING (word) GROUP BY word"""
+
+
+def _lines(text: str, hits: str, gaps: str, doubled: bool) -> str:
+    """The line of hit ``i``: line ends before it, of which a doubled text has two, the first character of the hit among what is before."""
+    before = f"array_to_string({gaps}[1:i], '') || array_to_string({hits}[1:i-1], '')" + (f" || {hits}[i][1]" if doubled else "")
+    return f"1 + (length({before}) - length(replace({before}, chr(10), ''))) // {2 if doubled else 1}"
+
+
+def findings(pack: Pack, kind: str) -> str:
+    """Findings of a pack without lookbehind, as ``findings.finding_table``, as diagnostics, or as diagnostics parsed."""
+    rx = needles([w for _, ws in pool(pack) for w in ws])
+    phrase = "|".join(re.sub(" ", lambda _: SPACES + "+", R.quoted(w)) for w in sorted([*ARTIFACT_PHRASES, *pack.artifact_phrases], key=lambda w: -len(w)))
+    some = "(?:" + "|".join(R.quoted(x) for x in sorted(ARTIFACTS, key=len, reverse=True)) + rf"|\b(?:{phrase})\b)"
+    sources = [("pool", DOUBLED, rx, "", 3), ("artifact", "l", f"(?s){some}(?:.?{some})*", "", 10), *[("pattern", "t", spaced(p.regex), p.name, p.weight) for p in pack.patterns]]
+    parts = []
+    for category, text, pattern, name, weight in sources:
+        key = s(name) if name else f"regexp_replace(h, {s(SPACES + '+')}, ' ', 'g')"
+        if category == "pool":
+            key = f"regexp_replace(regexp_replace(h[2:-2], {s(SPACES + '+')}, ' ', 'g'), '([^\\p{{L}}\\p{{N}}_ ])([^\\p{{L}}\\p{{N}}_ ])', '\\1', 'g')"
+        parts.append(f"""SELECT doc_id, {s(category)} AS source, {key} AS key_text, line, {weight} AS weight FROM (SELECT doc_id, hs[i] AS h, {_lines('x', 'hs', 'gs', category == 'pool')} AS line FROM (
+SELECT doc_id, hs, gs, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(x, {s(pattern)}) AS hs, string_split_regex(x, {s(pattern)}) AS gs FROM (SELECT doc_id, {text} AS x FROM low))))""")
+    kinds = ", ".join(f"({s(k)}, {s(w)})" for k, w in listed(pack))
+    rows = f"""{features(pack)}, kinds(category, key_text) AS (VALUES {kinds}), found AS ({' UNION ALL '.join(parts)}),
+told AS (SELECT doc_id, coalesce(k.category, source) AS category, key_text, line, CASE WHEN k.category = 'scope' THEN 2 ELSE weight END AS weight FROM found LEFT JOIN kinds k USING (key_text))"""
+    if kind == "finding_lines":
+        return f"{rows} SELECT doc_id, category, key_text, count(*) AS n, list_sort(list(line))[1:200] AS lines FROM told GROUP BY doc_id, category, key_text"
+    level = "CASE WHEN category = 'artifact' THEN 'ERROR' WHEN category = 'pattern' AND weight = 0 THEN 'INFO' WHEN category = 'copula' AND NOT copula_avoidance_scored THEN 'INFO' ELSE 'WARNING' END"
+    out = f"{rows}, out AS (SELECT told.*, category || ': ' || key_text AS message, {level} AS severity FROM told JOIN f USING (doc_id))"
+    if kind == "rdjson_lines":
+        return f"""{out} SELECT '{{"message":' || to_json(message) || ',"location":{{"path":"' || doc_id || '","range":{{"start":{{"line":' || line || '}}}}}},"severity":"' || severity || '"}}' AS value FROM out"""
+    return f"{out} SELECT doc_id::VARCHAR AS path, line, CASE severity WHEN 'ERROR' THEN 'E' WHEN 'INFO' THEN 'I' ELSE 'W' END AS type, message AS text FROM out"

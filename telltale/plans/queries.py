@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions import features as X
 from telltale.functions.lexicon import configured, packs
-from telltale.operators import code, evaluate, files, findings, highlight, prose
+from telltale.operators import code, evaluate, files, findings, highlight, needles, prose, spans
 from telltale.sources import readers
 from telltale.streaming import stream
 
@@ -131,6 +131,8 @@ add("finding_lines", lambda spark, sf_dir: findings.finding_table(_found(spark,
 add("rdjson_lines", lambda spark, sf_dir: findings.diagnostics(_found(spark, sf_dir), "doc_id"))
 add("parsed_diagnostics", lambda spark, sf_dir: findings.parse_diagnostics(findings.diagnostics(_found(spark, sf_dir), "doc_id")))
 add("reports", lambda spark, sf_dir: findings.report(prose.with_features(tells(spark, sf_dir), lang="en"), _found(spark, sf_dir), "doc_id"))
+for _name, _query in (("finding_lines", lambda rows: findings.finding_table(rows, "doc_id")), ("rdjson_lines", lambda rows: findings.diagnostics(rows, "doc_id")), ("parsed_diagnostics", lambda rows: findings.parse_diagnostics(findings.diagnostics(rows, "doc_id")))):
+    add(f"{_name}_fr", lambda spark, sf_dir, q=_query: q(findings.findings(tells(spark, sf_dir), "doc_id", lang="fr")), O.findings(packs()["fr"], _name))
 add("finding_counts", lambda spark, sf_dir: _found(spark, sf_dir).where("category IN ('buzzword', 'phrase', 'copula', 'scope')").groupBy("category", "key_text").agg(F.count(F.lit(1)).alias("n")), f"{O.features(packs()['en'])}, u AS (SELECT unnest(ks) AS key_text FROM f), k(category, key_text) AS (VALUES {', '.join(f'({O.s(kind)}, {O.s(w)})' for kind, ws in O.pool(packs()['en']) for w in ws)}) SELECT category, key_text, count(*) AS n FROM u JOIN (SELECT key_text, min(category) AS category FROM k GROUP BY key_text) USING (key_text) GROUP BY ALL")
 
 _GLOBS = ["*/about*", "*.html", "http://*1*"]
@@ -145,12 +147,55 @@ add("ignore_anti_join", ignore_anti_join, "SELECT page_id, url FROM pages WHERE
 _CONFIG = {"ignore_words": ["DELVE", "robust"], "extra_words": ["the", "gizmo", "Gizmo"], "ignore_phrases": [], "extra_phrases": ["of the"], "extra_patterns": [{"regex": r"\bthe\b", "weight": 2}]}
 
 
+def lexicon(spark: SparkSession, codes: list[str] | None = None) -> DataFrame:
+    """The four lists of packs as a table ``needle_id, pack, kind, needle``, each needle under the first list that has it."""
+    rows = [(p.code, kind, w) for p in packs().values() if codes is None or p.code in codes for kind in O.KINDS for w in X.of_kind(p, kind)]
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "needle_id int, pack string, kind string, needle string")
+
+
+def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every needle of the English lists, overlapping ones included."""
+    found = needles.needle_hits(tells(spark, sf_dir), lexicon(spark, ["en"]).select("needle_id", "needle"))
+    return found.select("doc_id", "needle_id", "start", "end", "line")
+
+
+add("lexicon_hits", lexicon_hits, O.lexicon_hits(packs()["en"]))
+
+
+def swept_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all packs at once: hits of each pack are swept as its alternation would find them, and counted."""
+    listed = lexicon(spark)
+    found = needles.needle_hits(tells(spark, sf_dir), listed.select("needle_id", "needle")).join(F.broadcast(listed), "needle_id")
+    return spans.swept(found, ["doc_id", "pack"]).groupBy("pack", "kind", F.col("needle").alias("key_text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+add("swept_pools", swept_pools, O.swept_pools())
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon that grows with its table: all words of eight letters and more in the benchmark, in all documents."""
+    words = readers.table(spark, sf_dir, "benchmark").select(F.explode(X.found(F.lower("text"), r"(?U)[\p{L}\p{N}_]{8,}")).alias("needle")).distinct()
+    found = needles.needle_hits(readers.table(spark, sf_dir, "documents"), words, needle_id="needle")
+    return found.groupBy(F.col("needle").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+add("benchmark_words", benchmark_words, r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{8,}')) AS word FROM benchmark),
+d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM d JOIN w USING (word) GROUP BY word""")
+
+
 def config_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in configured(packs()["en"], _CONFIG).buzzwords], "word string")
-    return words
+    """A project's words as tables: the English buzzwords and all event types, without what a role of a conversation is called, and how
+    often documents have each."""
+    own = lexicon(spark, ["en"]).where("kind = 'buzzword'")
+    types = readers.table(spark, sf_dir, "events").select(F.initcap("event_type").alias("needle")).union(spark.createDataFrame([(x,) for x in _CONFIG["extra_words"]], "needle string"))
+    ignored = readers.table(spark, sf_dir, "conversations").select(F.upper("role").alias("needle")).union(spark.createDataFrame([(x,) for x in _CONFIG["ignore_words"]], "needle string"))
+    words = needles.configured(own, ignored, types)
+    found = needles.needle_hits(tells(spark, sf_dir), words, needle_id="needle").groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(found, "needle", "left").select(F.col("needle").alias("word"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-add("config_union", config_union, f"SELECT DISTINCT word FROM (SELECT unnest([{', '.join(O.s(w) for w in packs()['en'].buzzwords)}]) AS word UNION ALL SELECT lower(unnest(['the', 'gizmo', 'Gizmo']))) WHERE word NOT IN ('delve', 'robust')")
+add("config_union", config_union, O.config_union(packs()["en"], _CONFIG))
 _OWN = configured(packs()["en"], _CONFIG)
 _OWN_PATTERNS = [x for x in _OWN.patterns if x not in packs()["en"].patterns]
 
