@@ -5,6 +5,11 @@ All functions take columns. ``t`` is a normalised text (``normalised``), ``l`` i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,27 +31,32 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-#: Elements that ``running`` carries at a time.
-BLOCK = 256
+#: Elements or blocks that ``running`` gathers at a time, and levels of blocks.
+BLOCK, LEVELS = 48, 2
 
 
 def running(xs: Column, start: Column, step, kind: str) -> Column:
     """What ``step(state, x)``, a pair of the next state and a value of type ``kind``, gives for each element, in order.
 
-    Appending copies an array, so values are gathered in blocks, and full blocks end to end: the work grows little faster than
-    the array.
+    An aggregate copies its state at each element, what it has gathered included. So values are gathered in blocks, blocks in blocks
+    of blocks, and those end to end: the work grows little faster than the array.
     """
+    none = F.array().cast(f"array<{kind}>")
 
     def grown(a: Column, x: Column) -> Column:
         state, value = step(a["state"], x)
-        one, full = F.array(value.cast(kind)), F.size(a["block"]) >= BLOCK
-        block = F.when(full, one).otherwise(F.concat(a["block"], one))
-        done = F.when(full, F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"])
-        return F.struct(state.alias("state"), block.alias("block"), done.alias("done"))
+        return F.struct(state.alias("state"), F.concat(a["out"], F.array(value.cast(kind))).alias("out"))
 
-    none = F.array().cast(f"array<{kind}>")
-    begun = F.struct(start.alias("state"), none.alias("block"), F.array().cast(f"array<array<{kind}>>").alias("done"))
-    return F.aggregate(xs, begun, grown, lambda a: F.concat(F.flatten(a["done"]), a["block"]))
+    def gathered(state: Column, part: Column, level: int) -> Column:
+        begun = F.struct(state.alias("state"), none.alias("out"))
+        if not level:
+            return F.aggregate(part, begun, grown)
+        size = BLOCK**level
+        last = F.greatest(F.ceil(F.size(part) / size).cast(INT) - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(part, i * size + 1, F.lit(size)))
+        return F.aggregate(blocks, begun, lambda a, x: let(gathered(a["state"], x, level - 1), lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], r["out"]).alias("out"))))
+
+    return let(xs, lambda v: F.when(v.isNotNull(), gathered(start, v, LEVELS)["out"]))
 
 
 def count(text: Column, pattern: Column | str) -> Column:
@@ -116,20 +126,42 @@ def variation(xs: Column, least: int = 5) -> Column:
 SAMPLE = 4000
 
 
+def stopword_hits(tokens: Column, columns: list[list[str]]) -> Column:
+    """How many of an array of tokens are in each of some lists of words: each token is looked up once, in a table of words whose rows
+    say which lists have them, and the rows are summed."""
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = list(dict.fromkeys(w for words in columns for w in words))
+        table, has = pa.array(known, pa.string()), np.array([[w in words for words in map(set, columns)] for w in known], np.int32).reshape(len(known), len(columns))
+        for batch in batches:
+            sums = []
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                at = pc.index_in(part.flatten(), table)
+                hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))))
+                so_far = np.concatenate((np.zeros((1, len(columns)), np.int32), np.cumsum(has[pc.drop_null(at).to_numpy()], axis=0, dtype=np.int32)))
+                bounds = np.concatenate(([0], np.cumsum(hit)))[ends]
+                sums.append(so_far[bounds[1:]] - so_far[bounds[:-1]])
+            flat = np.concatenate(sums) if sums else np.zeros((0, len(columns)), np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(columns), pa.int32()), pa.array(flat.reshape(-1)))
+
+    return run(tokens)
+
+
 def coverages(text: Column) -> Column:
     """For each pack, in order: share of stop words and a bonus for marks, and the hits."""
 
     def ranked(x: Column) -> Column:
-        sample, tokens = x["sample"], x["tokens"]
-        n = F.size(tokens).cast("double")
-        rows = []
-        for i, (code, pack) in enumerate(packs().items()):
-            hits = F.size(F.filter(tokens, lambda w: w.isin(*pack.stopwords)))
-            rows.append(let(hits, lambda h: F.struct(_cover(h, n, sample, pack.marks).alias("coverage"), F.lit(-i).alias("rank"), h.alias("hits"), F.lit(code).alias("code"))))
+        sample, hits = x["sample"], x["hits"]
+        n = x["n"].cast("double")
+        rows = [F.struct(_cover(hits[i], n, sample, pack.marks).alias("coverage"), F.lit(-i).alias("rank"), hits[i].alias("hits"), F.lit(code).alias("code")) for i, (code, pack) in enumerate(packs().items())]
         return F.when(n > 0, F.reverse(F.array_sort(F.array(*rows))))
 
     sample = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE))
-    return let(let(sample, lambda s: F.struct(s.alias("sample"), found(s, R.BARE).alias("tokens"))), ranked)
+    tokens = found(sample, R.BARE)
+    return let(F.struct(sample.alias("sample"), F.size(tokens).alias("n"), stopword_hits(tokens, [p.stopwords for p in packs().values()]).alias("hits")), ranked)
 
 
 def _cover(hits: Column, n: Column, sample: Column, marks: str) -> Column:

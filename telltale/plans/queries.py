@@ -201,7 +201,7 @@ _OWN_PATTERNS = [x for x in _OWN.patterns if x not in packs()["en"].patterns]
 
 
 def configured_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = prose.with_features(readers.table(spark, sf_dir, "documents"), lang="en", config=_CONFIG)
+    scored = prose.with_features(readers.spread(readers.table(spark, sf_dir, "documents").select("doc_id", "text")), lang="en", config=_CONFIG)
     own = F.filter("patterns", lambda p: p["name"].isin(*[x.name for x in _OWN_PATTERNS]))
     return scored.select("doc_id", _n("buzzwords").alias("n_buzz"), _n("phrases").alias("n_phrase"), X.total(F.transform(own, lambda p: p["n"])).cast("long").alias("n_own_patterns"))
 
@@ -224,15 +224,25 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("label_auc", lambda spark, sf_dir: evaluate.auc(_labelled(spark, sf_dir), "score_per_1k", "quality"), f"{_FR}, x AS (SELECT score_per_1k AS s, quality AS q FROM v JOIN labels USING (doc_id)) SELECT round_even(avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM x p, x n WHERE p.q = 1 AND n.q = 0")
-_RATES = ["n_positive", "n_negative", "mean_positive", "mean_negative", "max_negative", "detection_10", "detection_25", "false_positive_10", "false_positive_25"]
+_RATES = ["n_positive", "n_negative", "mean_positive", "mean_negative", "median_positive", "median_negative", "max_negative", "detection_10", "detection_25", "false_positive_10", "false_positive_25"]
 add(
     "eval_rates",
     lambda spark, sf_dir: evaluate.summary(_labelled(spark, sf_dir), "score_per_1k", "quality").select(*_RATES),
-    f"""{_FR}, x AS (SELECT score_per_1k AS s, quality AS q FROM v JOIN labels USING (doc_id)) SELECT count(*) FILTER (WHERE q = 1) AS n_positive, count(*) FILTER (WHERE q = 0) AS n_negative, round_even(avg(s) FILTER (WHERE q = 1), 6) AS mean_positive, round_even(avg(s) FILTER (WHERE q = 0), 6) AS mean_negative, max(s) FILTER (WHERE q = 0) AS max_negative,
+    f"""{_FR}, x AS (SELECT score_per_1k AS s, quality AS q FROM v JOIN labels USING (doc_id)) SELECT count(*) FILTER (WHERE q = 1) AS n_positive, count(*) FILTER (WHERE q = 0) AS n_negative, round_even(avg(s) FILTER (WHERE q = 1), 6) AS mean_positive, round_even(avg(s) FILTER (WHERE q = 0), 6) AS mean_negative,
+list_sort(list(s) FILTER (WHERE q = 1))[count(*) FILTER (WHERE q = 1) // 2 + 1] AS median_positive, list_sort(list(s) FILTER (WHERE q = 0))[count(*) FILTER (WHERE q = 0) // 2 + 1] AS median_negative, max(s) FILTER (WHERE q = 0) AS max_negative,
 round_even(avg((s >= 10)::INT) FILTER (WHERE q = 1), 6) AS detection_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 1), 6) AS detection_25, round_even(avg((s >= 10)::INT) FILTER (WHERE q = 0), 6) AS false_positive_10, round_even(avg((s >= 25)::INT) FILTER (WHERE q = 0), 6) AS false_positive_25 FROM x""",
 )
 
 
+def eval_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from counts of runs, a run for each source, that are added up."""
+    labelled = _french(spark, sf_dir).select("doc_id", "source", "score_per_1k").join(readers.table(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.summary_of(evaluate.merged(evaluate.score_counts(labelled, "score_per_1k", "toxic", "source"))).select(*_RATES)
+
+
+add("eval_merged", eval_merged, SQL["eval_rates"].replace("quality AS q", "toxic AS q"))
+
+
 def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which floors the scores miss."""
     told = evaluate.failures(evaluate.summary(_labelled(spark, sf_dir), "score_per_1k", "quality"), evaluate.PROSE_FLOORS)
@@ -257,7 +267,7 @@ CASE WHEN f10 > {evaluate.PROSE_FLOORS['false_positive_10']} THEN 'false_positiv
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as source files, each with a line or two of planted code below it."""
     planted = F.element_at(F.array(*[F.lit(x) for x in _CODE]), (F.pmod("page_id", F.lit(len(_CODE))) + 1).cast("int"))
-    return readers.table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), planted).alias("text"), F.lit(".html").alias("ext"))
+    return readers.spread(readers.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), planted).alias("text"), F.lit(".html").alias("ext"))
 
 
 _CODE = [

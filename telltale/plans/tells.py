@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.sources.readers import table
+from telltale.sources.readers import spread, table
 
 _PARAGRAPH = "We met at noon and spoke about the plan for the week.\n\n"
 #: (before the document's text?, snippet)
@@ -48,7 +48,7 @@ SNIPPETS = [
 def tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, truth, source, tell_id, text``: all documents, each with its snippet."""
     rows = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate(SNIPPETS)], "tell_id long, before boolean, body string")
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     joined = docs.join(F.broadcast(rows), F.pmod("doc_id", F.lit(len(SNIPPETS))) == F.col("tell_id"))
     body = F.coalesce("text", F.lit(""))
     return joined.select("doc_id", F.col("lang").alias("truth"), "source", "tell_id", F.when(F.col("before"), F.concat("body", body)).otherwise(F.concat(body, "body")).alias("text"))

@@ -19,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_groups(df: DataFrame, most: int) -> int:
+    """Row groups in the Parquet files that ``df`` reads; with ``most`` files and more their number, so few footers are read."""
+    files = df.inputFiles()
+    if len(files) >= most:
+        return len(files)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    total = 0
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        total += footer.getRowGroups().size()
+        footer.close()
+    return total
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a Parquet table dealt out to all cores where it has fewer row groups than cores, as a row group is read by one
+    task; other tables as they are. Select what is needed first, as these rows are shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if row_groups(df, cores) < cores else df
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 bytes as text: bad bytes become U+FFFD, a leading byte order mark goes."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\x{FEFF}", "")
