@@ -218,21 +218,21 @@ def segmented(df: DataFrame, byte_path: str, piece_path: str, key: str, text: st
 
     Documents with a segment that its tokens don't give back, if there are any, lose all their segments.
     """
-    table = _kept(blocks(df, byte_path, piece_path, key, text), "blocks", tag)
+    table = written(blocks(df, byte_path, piece_path, key, text), "blocks", tag)
     documents, own = table.where("kind = 1").select("block", "kind", "key", "codes"), table.where("kind = 0").select("block", "kind", "code", "segment", "n")
     counts = own.groupBy("segment").agg(F.sum("n").alias("n"))
     told = counts.select("segment", "n", tokens_of(F.col("segment"), byte_path, piece_path).alias("_t"))
-    distinct = _kept(told.select(F.monotonically_increasing_id().alias("seg"), "segment", "n", "_t.*"), "segments", tag)
+    distinct = written(told.select(F.monotonically_increasing_id().alias("seg"), "segment", "n", "_t.*"), "segments", tag)
     bad = distinct.where("a IS NULL").select("segment")
     if not bad.isEmpty():
         of_block = own.join(bad, "segment").groupBy("block").agg(F.collect_list("code").alias("_bad"))
         whole = F.coalesce(~F.arrays_overlap("codes", "_bad"), F.lit(True))
-        marked = _kept(documents.join(of_block, "block", "left").select("block", "kind", "key", F.when(whole, F.col("codes")).alias("codes"), F.when(~whole, F.col("codes")).alias("_lost")), "documents", tag)
+        marked = written(documents.join(of_block, "block", "left").select("block", "kind", "key", F.when(whole, F.col("codes")).alias("codes"), F.when(~whole, F.col("codes")).alias("_lost")), "documents", tag)
         documents = marked.drop("_lost")
         lost = marked.select("block", F.explode("_lost").alias("code")).groupBy("block", "code").agg(F.count(F.lit(1)).alias("_m"))
         less = lost.join(own, ["block", "code"]).groupBy("segment").agg(F.sum("_m").alias("_m"))
         distinct = distinct.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("_m", F.lit(0))).drop("_m").where("n > 0")
-        distinct = _kept(distinct, "segments", tag)
+        distinct = written(distinct, "segments", tag)
     return Segments(documents, own.drop("n"), distinct)
 
 
@@ -330,17 +330,11 @@ def assembled(found: Segments, results: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(tidied(run), schema)
 
 
-def _kept(df: DataFrame, name: str, tag: str) -> DataFrame:
-    """A written table; what was shuffled for it goes with the job that wrote it."""
-    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        return written(df, name, tag)
-
-
 def _aligned(found: Segments, tag: str) -> DataFrame:
     """A written table of the distinct segments, ``segment, n`` and what ``aligned`` finds. Both sides of its join are in place by
     segment already, so they are joined there: no setting but that for this one write allows it."""
     with settings(found.distinct.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        return _kept(aligned(links(found.distinct)).join(found.distinct.select("seg", "segment", "n"), "seg"), "aligned", tag)
+        return written(aligned(links(found.distinct)).join(found.distinct.select("seg", "segment", "n"), "seg"), "aligned", tag)
 
 
 def pair_counts(df: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text", tag: str = "query") -> DataFrame:
@@ -364,7 +358,7 @@ def align(df: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", t
     found = segmented(df, byte_path, piece_path, key, text, tag)
     own = f"{tag}-{uuid.uuid4().hex}"
     table = _aligned(found, own)
-    pairs = _kept(counted(table), "pairs", own)
-    results = _kept(measured(table, pairs), "results", tag)
+    pairs = written(counted(table), "pairs", own)
+    results = written(measured(table, pairs), "results", tag)
     release(df.sparkSession, own)
     return assembled(found, results, key)

@@ -411,14 +411,12 @@ def by_rare_words(held: DataFrame, texts: DataFrame, similarity: float, tag: str
     """A written table of ``held`` (``_rep, _class`` and others) in buckets of texts that have a rare word in common, of those
     buckets that several classes are in.
 
-    Of words that one class alone has nothing but their hash is shuffled.
+    Words that one class alone has go with their counts, before any pair is looked at.
     """
     ranks = word_ranks(F.col("_text"), texts)
-    named = texts.join(held.select("_rep", "_class"), "_rep")
-    own = written(named.select("_rep", "_class", F.explode(rare_words(F.col("_text"), ranks, similarity)).alias("_bucket")), "words", tag)
+    own = written(texts.join(held, "_rep").withColumn("_bucket", F.explode(rare_words(F.col("_text"), ranks, similarity))).drop("_text"), "words", tag)
     several = own.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("_bucket", "_n")
-    shared = written(own.drop("_class").join(several, "_bucket"), "shared", tag)
-    return written(shared.join(held, "_rep"), "members", tag)
+    return written(own.join(several, "_bucket"), "members", tag)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tag: str = "query") -> DataFrame:

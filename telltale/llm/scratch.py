@@ -41,17 +41,6 @@ def new_path(spark: SparkSession, name: str, tag: str = "query") -> str:
     return path
 
 
-def written(df: DataFrame, name: str, tag: str = "query") -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back.
-
-    The files outlive executors, so a lost executor costs the tasks it was running and nothing before them.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Settings of the session that hold for what runs within, ``__`` standing for a dot in their names."""
@@ -66,6 +55,19 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def written(df: DataFrame, name: str, tag: str = "query") -> DataFrame:
+    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back.
+
+    The files outlive executors, so a lost executor costs the tasks it was running and nothing before them. What was shuffled for the
+    table goes as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name, tag)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop = _filesystem(spark, path)
     return fs.exists(hadoop)
