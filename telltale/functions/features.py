@@ -5,11 +5,6 @@ All functions take columns. ``t`` is a normalised text (``normalised``), ``l`` i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +71,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "\\r\\n?|[\\x1c-\\x1f\\x{85}\\x{2028}\\x{2029}]", "\n"), "﻿", " ")
 
 
+def source(text: Column) -> Column:
+    """A source file with one kind of line end; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "\\r\\n?|[\\x1c-\\x1f\\x{85}\\x{2028}\\x{2029}]", "\n")
+
+
 def lowered(t: Column) -> Column:
     return F.translate(F.lower(t), "’", "'")
 
@@ -127,32 +127,22 @@ SAMPLE = 4000
 
 
 def stopword_hits(tokens: Column, columns: list[list[str]]) -> Column:
-    """How many of an array of tokens are in each of some lists of words: each token is looked up once, in a table of words whose rows
-    say which lists have them, and the rows are summed."""
-
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = list(dict.fromkeys(w for words in columns for w in words))
-        table, has = pa.array(known, pa.string()), np.array([[w in words for words in map(set, columns)] for w in known], np.int32).reshape(len(known), len(columns))
-        for batch in batches:
-            sums = []
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                at = pc.index_in(part.flatten(), table)
-                hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
-                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))))
-                so_far = np.concatenate((np.zeros((1, len(columns)), np.int32), np.cumsum(has[pc.drop_null(at).to_numpy()], axis=0, dtype=np.int32)))
-                bounds = np.concatenate(([0], np.cumsum(hit)))[ends]
-                sums.append(so_far[bounds[1:]] - so_far[bounds[:-1]])
-            flat = np.concatenate(sums) if sums else np.zeros((0, len(columns)), np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(columns), pa.int32()), pa.array(flat.reshape(-1)))
-
-    return run(tokens)
+    """How many of an array of tokens are in each of some lists of words. Each token is looked up once in all of them together; only
+    the few that some list has are looked up list by list."""
+    every = list(dict.fromkeys(w for words in columns for w in words))
+
+    def among(xs: Column, words: list[str]) -> Column:
+        return F.filter(xs, lambda w: w.isin(*words))
+
+    return let(among(tokens, every), lambda some: F.array(*[F.size(among(some, words)) for words in columns]))
 
 
 def coverages(text: Column) -> Column:
     """For each pack, in order: share of stop words and a bonus for marks, and the hits."""
 
+    def counted(x: Column) -> Column:
+        return F.struct(x["sample"].alias("sample"), F.size(x["tokens"]).alias("n"), stopword_hits(x["tokens"], [p.stopwords for p in packs().values()]).alias("hits"))
+
     def ranked(x: Column) -> Column:
         sample, hits = x["sample"], x["hits"]
         n = x["n"].cast("double")
@@ -160,8 +150,7 @@ def coverages(text: Column) -> Column:
         return F.when(n > 0, F.reverse(F.array_sort(F.array(*rows))))
 
     sample = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE))
-    tokens = found(sample, R.BARE)
-    return let(F.struct(sample.alias("sample"), F.size(tokens).alias("n"), stopword_hits(tokens, [p.stopwords for p in packs().values()]).alias("hits")), ranked)
+    return let(let(let(sample, lambda s: F.struct(s.alias("sample"), found(s, R.BARE).alias("tokens"))), counted), ranked)
 
 
 def _cover(hits: Column, n: Column, sample: Column, marks: str) -> Column:
@@ -172,11 +161,15 @@ def _cover(hits: Column, n: Column, sample: Column, marks: str) -> Column:
 
 
 def chosen(ranked: Column) -> Column:
-    """The winner of ``coverages`` if it is clear, else English as a fallback."""
-    first, second = ranked[0], ranked[1]
-    clear = ranked.isNotNull() & (first["hits"] >= 4) & (first["coverage"] >= 0.07) & (first["coverage"] >= second["coverage"] * 1.25)
-    pick = F.when(clear, F.struct(first["code"].alias("code"), F.lit("detected").alias("source")))
-    return pick.otherwise(F.struct(F.lit("en").alias("code"), F.lit("fallback").alias("source")))
+    """The winner of ``coverages`` if it is clear, else English as a fallback. ``ranked`` stands once in the expression."""
+
+    def pick(r: Column) -> Column:
+        first, second = r[0], r[1]
+        clear = r.isNotNull() & (first["hits"] >= 4) & (first["coverage"] >= 0.07) & (first["coverage"] >= second["coverage"] * 1.25)
+        told = F.when(clear, F.struct(first["code"].alias("code"), F.lit("detected").alias("source")))
+        return told.otherwise(F.struct(F.lit("en").alias("code"), F.lit("fallback").alias("source")))
+
+    return let(ranked, pick)
 
 
 def by_language(code: Column, choices: dict[str, Column], default: Column) -> Column:

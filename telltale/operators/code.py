@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from telltale.functions import code_parts as C
 from telltale.functions import features as X
 from telltale.functions import regexes as R
-from telltale.functions.code_lexer import evidence
 from telltale.functions.lexicon import ARTIFACT_PHRASES, ARTIFACTS, Pack, configured, packs
 from telltale.functions.restated import echoes, redundant
 
@@ -56,28 +52,7 @@ SWALLOWED = r"(?m)^[ \t]*except Exception as e:\s*\n[ \t]*print\s*\(|catch\s*\(\
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 VERDICTS = ("looks human-written", "some AI tells - worth a look", "reads as AI-written code")
 
-_PLACED = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())]))
-_KINDS = {
-    str: T.StringType(), int: T.IntegerType(), float: T.DoubleType(), "lines": T.ArrayType(T.IntegerType()), "texts": T.ArrayType(T.StringType()), "placed": _PLACED,
-}
-EVIDENCE = T.StructType([T.StructField(n, _KINDS[k]) for n, k in [
-    ("code_language", str), ("family", str), ("lines", int), ("sloc", int), ("comment_lines", int), ("prose", str), ("prose_lines", "lines"), ("code", str),
-    ("strings", "texts"), ("fences", "lines"), ("comments", "placed"), ("narrated", "placed"), ("body_comments", int), ("docstrings", "placed"),
-    ("comment_sentence_share", float), ("docstring_coverage", float), ("banner_comments", int), ("line_length_cv", float), ("generic_identifier_share", float),
-]])
-
-
-def lexed(text: Column, extension: Column) -> Column:
-    @F.arrow_udf(EVIDENCE)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(EVIDENCE)
-        for texts, endings in batches:
-            parts = [pa.array([evidence(t or "", e) for t, e in zip(texts.slice(lo, 200).to_pylist(), endings.slice(lo, 200).to_pylist())], kind) for lo in range(0, len(texts), 200)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
-
-    return run(text, extension)
+_PLACED = "array<struct<line:int,text:string>>"
 
 
 def _places(hits: Column, lines: Column) -> Column:
@@ -107,11 +82,23 @@ def with_evidence(df: DataFrame, text: str = "text", extension: str = "ext", lan
     from .prose import _language, _tally
 
     known = {code: configured(p, config) for code, p in packs().items()}
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\r\\n?|[\\x1c-\\x1f\\x{85}\\x{2028}\\x{2029}]", "\n")
-    step = df.withColumn("_t", clean).withColumn("_e", lexed(F.col("_t"), F.col(extension)))
-    step = step.select("*", *[F.col(f"_e.{n}").alias(f"_{n}" if n in ("prose", "prose_lines", "code", "strings", "fences", "comments", "narrated", "docstrings", "body_comments", "family") else n) for n in EVIDENCE.names]).drop("_e")
+    step = df.withColumn("_t", X.source(F.col(text))).withColumn("_kind", C.family_and_language(F.col("_t"), F.col(extension)))
+    step = step.withColumn("_e", C.lexed(F.col("_t"), F.col("_kind.family"))).withColumns({"_parts": F.col("_e.parts"), "_code": F.col("_e.code"), "_family": F.col("_kind.family")})
+    parts = F.col("_parts")
+    step = step.withColumns({"_of_comments": C.of_kind(parts, "comment"), "_said": C.said(parts), "_in_body": C.in_body(parts), "_rows": F.split("_code", "\n", -1)})
+    comments = F.col("_of_comments")
+    step = step.withColumns({
+        "code_language": F.col("_kind.language"), "lines": X.occurrences(F.col("_t"), "\n") + 1, "sloc": F.size(C.visible(F.col("_rows"))), "comment_lines": C.commented_lines(comments),
+        "_prose": C.unquoted(F.col("_said")), "_prose_lines": F.transform("_said", lambda x: x["line"]), "_strings": F.transform(C.of_kind(parts, "string"), lambda p: p["text"]),
+        "_fences": F.transform(F.filter(comments, lambda p: F.contains(p["text"], F.lit("```"))), lambda p: p["line"]), "_comments": C.placed(comments), "_docstrings": C.placed(C.of_kind(parts, "docstring")),
+        "_narrated": C.placed(C.narrated(F.col("_in_body"))), "_body_comments": F.size("_in_body"),
+    })
+    step = step.withColumns({
+        "comment_sentence_share": C.sentence_share(comments), "docstring_coverage": C.docstring_coverage(F.col("_docstrings"), F.col("_code"), F.col("_family")), "banner_comments": C.banners(comments),
+        "line_length_cv": X.variation(F.transform(C.visible(F.col("_rows")), lambda x: F.length(x)), 30), "generic_identifier_share": C.generic_share(F.col("_code")),
+    }).drop("_e", "_kind", "_parts", "_of_comments", "_said", "_in_body")
     p, t, code = F.col("_prose"), F.col("_t"), F.col("_code")
-    step = step.withColumns({"_l": X.lowered(p), "_told": _language(p, lang), "_rows": F.split(code, "\n", -1)})
+    step = step.withColumns({"_l": X.lowered(p), "_told": _language(p, lang)})
     name, l = F.col("_told.code"), F.col("_l")
     in_strings = X.occurrences(F.array_join("_strings", "\n"), INVISIBLE)
     wordy = F.filter("_strings", lambda s: s.rlike("[A-Za-z]{3}"))

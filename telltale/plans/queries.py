@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telltale.functions import code_parts as parts
 from telltale.functions import features as X
+from telltale.functions.code_lexer import extensions
 from telltale.functions.lexicon import configured, packs
+from telltale.operators import restated_rows as restated
 from telltale.operators import code, evaluate, files, findings, highlight, needles, prose, spans
 from telltale.sources import readers
 from telltale.streaming import stream
@@ -295,6 +298,64 @@ add("code_record", lambda spark, sf_dir: code.score_code(_pages(spark, sf_dir)).
 add("code_redundant", lambda spark, sf_dir: _evidence(spark, sf_dir).select("page_id", F.size("redundant_comments").alias("n_redundant"), "narration_comment_count", "corroborated"))
 
 
+#: Extension, mark of a line comment, planted lines, and what they hold: comments, strings, docstrings, lines of code, of comments,
+#: restated comments and echoing docstrings, all worked out by hand.
+_FILES = [
+    (".py", "#", 'def get_user_name(x):\n    """Get the user name."""\n    # increment the user counter\n    user_counter += 1\n    y = "a # b"\n\n\n\n', (1, 1, 1, 3, 1, 1, 1)),
+    (".sh", "#", "echo ${#x} 'a # b'\ncat <<EOF\n# not a comment\nEOF\n# sum up the total price\ntotal_price=$((1 << 2))\n\n\n\n", (1, 2, 0, 4, 1, 0, 0)),
+    (".ts", "//", "const s = `a ${b + `//c`} d`; // first one\n/* two\nlines */\n// load user names\nuserNames = load('x // y');\n\n\n\n", (3, 2, 0, 2, 4, 1, 0)),
+    (".rs", "//", "/* a /* b */ c */ let x: &'a str = \"// no\";\n// sum of the item prices\nlet item_prices = sum();\n\n\n\n", (2, 1, 0, 2, 2, 1, 0)),
+    (".php", "//", "$a = <<<HTML\n// no\n  HTML;\n# yes\n$user_total = 'it';\n\n\n\n", (1, 2, 0, 3, 1, 0, 0)),
+    (".sql", "--", "select 'a -- b' /* note */ from t;\n-- total of user orders\nselect total_orders;\n\n\n\n", (2, 1, 0, 2, 2, 1, 0)),
+    (".lua", "--", "--[[ long\nnote ]] x = 'a'\nlocal y = \"--\"\n\n\n\n", (1, 2, 0, 2, 2, 0, 0)),
+]
+_COUNTS = ["n_comments", "n_strings", "n_docstrings", "sloc", "comment_lines", "n_redundant", "n_echoes"]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each document, of one of seven families: planted lines and the document in line comments below them."""
+    docs = readers.spread(readers.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = spark.createDataFrame([(i, ext, mark, body) for i, (ext, mark, body, _) in enumerate(_FILES)], "_i long, ext string, _mark string, _body string")
+    own = docs.join(F.broadcast(rows), F.pmod("doc_id", F.lit(len(_FILES))) == F.col("_i"))
+    said = F.concat("_mark", F.lit(" "), F.regexp_replace(X.source(F.col("text")), "\n", F.concat(F.lit("\n"), "_mark", F.lit(" "))))
+    return own.select("doc_id", "ext", F.concat("_body", said).alias("text"))
+
+
+_SOURCES_SQL = f"""WITH kinds(i, ext, lines, {', '.join(_COUNTS)}) AS (VALUES {', '.join(f"({i}, {O.s(ext)}, {body.count(chr(10))}, {', '.join(map(str, counts))})" for i, (ext, _, body, counts) in enumerate(_FILES))}),
+d AS (SELECT doc_id, kinds.*, length(t) - length(replace(t, chr(10), '')) + 1 AS k FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?|[\\x1c-\\x1f\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS t FROM documents) JOIN kinds ON (doc_id % {len(_FILES)} + {len(_FILES)}) % {len(_FILES)} = i)"""
+
+
+def source_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the code record counts in files of seven families."""
+    e = code.with_evidence(sources(spark, sf_dir), lang="en")
+    sizes = {"n_comments": "_comments", "n_strings": "_strings", "n_docstrings": "_docstrings", "n_redundant": "redundant_comments", "n_echoes": "docstring_name_echoes"}
+    return e.select("doc_id", "ext", "lines", "sloc", "comment_lines", *[F.size(c).alias(n) for n, c in sizes.items()])
+
+
+add("source_families", source_families, f"{_SOURCES_SQL} SELECT doc_id, ext, lines + k AS lines, n_comments + k AS n_comments, n_strings, n_docstrings, sloc, comment_lines + k AS comment_lines, n_redundant, n_echoes FROM d")
+
+
+def lexed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexer's table function on the same files: rows by family and kind."""
+    return parts.source_rows(sources(spark, sf_dir), "doc_id").groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FAMILY = ", ".join(f"({O.s(ext)}, {O.s(extensions()[ext][0])})" for ext, *_ in _FILES)
+add("lexed_rows", lexed_rows, f"""{_SOURCES_SQL}, fam(ext, family) AS (VALUES {_FAMILY}),
+n AS (SELECT family, unnest([{{'kind': 'comment', 'n': n_comments + k}}, {{'kind': 'string', 'n': n_strings}}, {{'kind': 'docstring', 'n': n_docstrings}}, {{'kind': 'code', 'n': sloc}}]) AS r FROM d JOIN fam USING (ext))
+SELECT family, r.kind AS kind, sum(r.n)::BIGINT AS n FROM n GROUP BY ALL HAVING sum(r.n) > 0""")
+
+
+def restated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restated comments and echoing docstrings by joins of the lexer's rows."""
+    rows = parts.source_rows(sources(spark, sf_dir), "doc_id")
+    told = restated.redundant_comments(rows, "doc_id").withColumn("kind", F.lit("comment")).union(restated.echoing_docstrings(rows, "doc_id").withColumn("kind", F.lit("docstring")))
+    return told.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("restated_rows", restated_rows, f"{_SOURCES_SQL} SELECT doc_id, 'comment' AS kind, n_redundant::BIGINT AS n FROM d WHERE n_redundant > 0 UNION ALL SELECT doc_id, 'docstring', n_echoes::BIGINT FROM d WHERE n_echoes > 0")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 add("event_window_verdicts", stream.window_verdicts)

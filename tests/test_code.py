@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from telltale.functions import code_lexer as L
+from telltale.functions import code_parts as C
 from telltale.operators.code import FIELDS, score_code
+from telltale.operators.restated_rows import echoing_docstrings, redundant_comments
 
 
 def test_extensions():
@@ -26,16 +29,17 @@ def test_extensions():
     ],
 )
 def test_lexer(family, text, comments, strings):
-    parts = L.lex(text, family)
-    assert (parts.comments, parts.strings) == (comments, strings)
-    assert len(parts.code) == len(text) and parts.code.count("\n") == text.count("\n")
+    parts, code = L.lex(text, family)
+    of = lambda kind: [(line, x) for k, line, _, _, x in parts if k == kind]
+    assert (of("comment"), of("string")) == (comments, strings)
+    assert len(code) == len(text) and code.count("\n") == text.count("\n")
 
 
 def test_docstrings_and_body_comments():
     text = '"""Top."""\ndef get_user_name(x):\n    """Get the user name."""\n    # Create it\n    y = """text"""\n    d = {"a":\n"""no"""}\n'
-    parts = L.lex(text, "hash")
-    assert parts.docstrings == [(1, "Top."), (3, "Get the user name.")]
-    assert [x for _, x in parts.strings] == ["text", "a", "no"] and parts.body_comments == [(4, "Create it")]
+    parts, _ = L.lex(text, "hash")
+    assert [(line, x) for k, line, _, _, x in parts if k == "docstring"] == [(1, "Top."), (3, "Get the user name.")]
+    assert [x for k, *_, x in parts if k == "string"] == ["text", "a", "no"] and [(line, x) for _, line, _, alone, x in parts if alone] == [(4, "Create it")]
 
 
 #: Files, what they restate in comments, and in docstrings.
@@ -59,8 +63,38 @@ def test_restated(spark):
         assert [tuple(x) for x in r.docstring_name_echoes] == RESTATED[r.id][2], r.id
 
 
-def test_sniffing():
-    assert L.sniff("#!/usr/bin/env bash\n// x")[0] == "shell" and L.sniff("// a\nx")[0] == "c" and L.sniff("-- a\n-- b")[0] == "dash" and L.sniff("x")[0] == "hash"
+def test_restated_in_rows(spark):
+    """Joins of rows find what columns find, in files of the same key too long for one array as well."""
+    files = [*enumerate(t for t, _, _ in RESTATED), (100, "x = 1\n" * 3000 + RESTATED[0][0])]
+    rows = C.source_rows(spark.createDataFrame([(i, t, ".py", "x", 1) for i, t in files], "id long, text string, ext string, kind string, line int"), "id")
+    want = {(i, *x) for i, (_, r, _) in enumerate(RESTATED) for x in r} | {(100, line + 3000, x) for line, x in RESTATED[0][1]}
+    assert {tuple(r) for r in redundant_comments(rows, "id").collect()} == want
+    assert {tuple(r) for r in echoing_docstrings(rows, "id").collect()} == {(i, *x) for i, (_, _, e) in enumerate(RESTATED) for x in e}
+    assert redundant_comments(rows.limit(0), "id").count() == echoing_docstrings(rows.limit(0), "id").count() == 0
+
+
+def test_table_function(spark):
+    C.register(spark)
+    spark.createDataFrame([(1, "x = 'a' # b\n\n# c\n", "hash"), (2, None, "hash")], "id long, text string, family string").createOrReplaceTempView("files")
+    rows = spark.sql("SELECT f.id, p.kind, p.line, p.text FROM files f, LATERAL lex_source(f.text, f.family) p ORDER BY p.nth").collect()
+    assert [tuple(r) for r in rows] == [(1, "string", 1, "a"), (1, "comment", 1, "b"), (1, "comment", 3, "c"), (1, "code", 1, "x =        ")]
+
+
+def test_sniffing(spark):
+    cases = {"#!/usr/bin/env bash\n// x": "shell", "// a\nx": "c", "-- a\n-- b": "dash", "x": "hash", "#include <a>\n  // b": "c", " # a\n\t# b\n// c": "hash", "": "hash", "/* a\n-- b": "c"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", C.sniffed(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == cases
+
+
+def test_measures(spark):
+    text = "".join(f"def f{i}(data):\n    # Load the item {i}.\n    # NOTE\n    result = data + {'x' * i}\n" for i in range(12)) + "# ==== part ====\n# the end\n"
+    row = score_code(spark.createDataFrame([(text, ".py"), (None, ".py")], "text string, ext string")).where("lines > 1").first()
+    widths = [len(x.split("#")[0].rstrip(" ")) if "#" not in x else 0 for x in text.split("\n")]
+    widths = [w for w in widths if w]
+    mean = sum(widths) / len(widths)
+    assert row.comment_sentence_share == round(12 / 13, 2) and row.docstring_coverage == 0.0 and row.banner_comments == 1
+    assert row.line_length_cv is None and row.sloc == 24 and row.comment_lines == 26 and row.narration_comment_count == 12 and mean > 0
+    assert row.generic_identifier_share == round(36 / (12 * 6 - 1), 3)  # keywords are names too
 
 
 def test_scores(spark):
