@@ -10,8 +10,8 @@ Exact copies are one representative first. Texts that share a sketch are a bucke
 leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
 classes are then compared within their buckets. Members of large buckets, which often have no more than a passage in common, meet only if
 they share one of their rarest words, as all similar texts do (``rare_words``), so the work grows with the rare words of these texts and not
-with the square of the bucket. Of each text the words are counted by 128 numbers; two texts whose counts are too far apart can't
-be similar and are told apart without their words.
+with the square of the bucket. Of each text the words are counted by 1,024 numbers; two texts whose counts are too far apart can't
+be similar and are told apart without their words. What is left is aligned in tiles, so that a text moves once for many pairs.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ SHINGLE, TAKEN, SKETCHES, SIMILARITY = 5, 2, 56, 0.85
 SHORT, SHORT_SKETCHES, SHORT_SHINGLE = 50, 16, 2
 #: Sketches in which candidates agree.
 LEAST_AGREED = 2
-#: Members compared with a leader in one task's group.
-MEMBERS = 256
+#: Texts of a block, and their bytes; pairs are aligned in tiles of two blocks.
+TILE, TILE_BYTES = 500, 2_000_000
 #: Members of a bucket that are compared in one task; those of larger buckets meet by their rare words instead, and in tiles where
 #: even a rare word has more.
 BUCKET = 1000
@@ -44,7 +44,7 @@ COUNTERS = 1 << 21
 #: Ranks of k-mers that are held at a time.
 RANKS = 1 << 18
 #: Numbers that a text's words are counted by.
-BAG = 128
+BAG = 1024
 
 _ALL = SKETCHES + SHORT_SKETCHES
 _MULTIPLIERS = mix(np.arange(1, _ALL + 1, dtype=np.uint64), 0xA5A5) | np.uint64(1)
@@ -104,9 +104,14 @@ SIGNATURE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(
 
 def bag_of(hashes: np.ndarray) -> bytes:
     """Counts of a text's words by hash; all at their greatest, which matches anything, where one could overflow."""
-    if len(hashes) > 0xFFFF:
-        return np.full(BAG, 0xFFFF, "<u2").tobytes()
-    return np.bincount((hashes % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype("<u2").tobytes()
+    counts = np.bincount((hashes % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+    return (counts if counts.max() < 0xFFFF else np.full(BAG, 0xFFFF)).astype("<u2").tobytes()
+
+
+def may_be_similar(bag: np.ndarray, others: np.ndarray, longer: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts can be similar by their bags: an edit takes away one word at most."""
+    common = np.minimum(others, bag).sum(axis=1, dtype=np.int64)
+    return longer - common <= np.floor((1 - similarity) * longer + 1e-9)
 
 
 def signature(text: Column | str) -> Column:
@@ -248,9 +253,7 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
                 most = np.floor((1 - similarity) * np.maximum(lengths[at], lengths[i]) + 1e-9)
                 at = at[np.abs(lengths[at] - lengths[i]) <= most]
                 at = at[(bits[at] == bits[i]).sum(axis=1) >= LEAST_AGREED]
-                longer = np.maximum(lengths[at], lengths[i])
-                common = np.minimum(bags[at], bags[i]).sum(axis=1, dtype=np.int64)
-                at = at[longer - common <= np.floor((1 - similarity) * longer + 1e-9)]
+                at = at[may_be_similar(bags[i], bags[at], np.maximum(lengths[at], lengths[i]), similarity)]
                 left.extend([held[i][0]] * len(at))
                 right.extend(held[j][0] for j in at.tolist())
             return pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow)], ["_leader", "_member"])
@@ -337,37 +340,42 @@ def tiles(members: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts are similar enough. ``texts`` has ``_rep, _text`` of all that occur in ``pairs``.
+    """The pairs whose texts are similar enough. ``texts``, a written table, has ``_rep, _text`` of all that occur in ``pairs``.
 
-    Only the members' texts move with the pairs; a leader's text is sent once for each ``MEMBERS`` members.
+    Texts are dealt out in blocks by hash, and pairs in tiles of two blocks. A text moves once to each tile that it has a pair in, however
+    many pairs that are; a task holds a tile's texts as numbers, and a tile has ``TILE`` squared pairs at most.
     """
     kind = texts.schema["_rep"].dataType
-    counts = pairs.groupBy("_leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_salts"))
-    salted = pairs.join(counts, "_leader").withColumn("_salt", F.pmod(F.xxhash64("_member"), F.col("_salts")).cast("int"))
-    theirs = salted.join(texts, F.col("_member") == F.col("_rep")).select("_leader", "_salt", F.lit(1).alias("_role"), "_member", "_text")
-    own = counts.join(texts, F.col("_leader") == F.col("_rep")).select("_leader", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_role"), F.col("_leader").alias("_member"), "_text")
-    rows = own.unionByName(theirs).repartition(partitions(pairs.sparkSession), "_leader", "_salt").sortWithinPartitions("_leader", "_salt", "_role")
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    blocks = F.lit(max(1, -(-n // TILE), -(-size // TILE_BYTES)))
+    tiled = pairs.select("_leader", "_member", F.pmod(F.xxhash64("_leader"), blocks).alias("_a"), F.pmod(F.xxhash64("_member"), blocks).alias("_b"))
+    wanted = tiled.select("_a", "_b", F.col("_leader").alias("_rep")).union(tiled.select("_a", "_b", "_member")).distinct()
+    held = wanted.join(texts, "_rep").select("_a", "_b", F.lit(0).alias("_role"), F.col("_rep").alias("_leader"), F.lit(None).cast(kind).alias("_member"), "_text")
+    asked = tiled.select("_a", "_b", F.lit(1).alias("_role"), "_leader", "_member", F.lit(None).cast("string").alias("_text"))
+    rows = held.unionByName(asked).repartition(partitions(pairs.sparkSession), "_a", "_b").sortWithinPartitions("_a", "_b", "_role")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, ""
+        tile, at, held, found = None, {}, [], None
         for batch in batches:
             left, right = [], []
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column(3).cast(pa.string())
-                found = numbered(pa.concat_arrays([pa.array([own], pa.string()), texts]))
-                mine = found[0]
-                for i, (leader, role, member) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
-                    theirs = found[i + 1]
-                    if role == 0:
-                        lead, mine, own = leader, theirs, texts[i].as_py() or ""
-                    elif leader == lead and distance(mine, theirs, allowed(len(mine), len(theirs), similarity)) is not None:
-                        left.append(leader)
-                        right.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(0).type), pa.array(right, batch.schema.field(0).type)], ["_leader", "_member"])
+            roles, texts = batch.column(2).to_pylist(), batch.column(5)
+            for i, (a, b, role, leader, member) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), roles, batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if (a, b) != tile:
+                    tile, at, held, found = (a, b), {}, [], None
+                if role == 0:
+                    at[leader] = len(held)
+                    held.append(texts[i].as_py() or "")
+                    continue
+                if found is None:
+                    found, held = numbered(pa.array(held, pa.string())), []
+                x, y = found[at[leader]], found[at[member]]
+                if distance(x, y, allowed(len(x), len(y), similarity)) is not None:
+                    left.append(leader)
+                    right.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(3).type), pa.array(right, batch.schema.field(3).type)], ["_leader", "_member"])
 
     schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
-    return rows.select("_leader", "_role", "_member", "_text").mapInArrow(tidied(align), schema)
+    return rows.select("_a", "_b", "_role", "_leader", "_member", "_text").mapInArrow(tidied(align), schema)
 
 
 def components(links: DataFrame, tag: str = "query") -> DataFrame:
@@ -397,8 +405,8 @@ def components(links: DataFrame, tag: str = "query") -> DataFrame:
 def _links(df: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float, tag: str) -> DataFrame:
     """A written table of those of ``pairs`` whose texts in ``df`` are similar enough."""
     ids = pairs.select(F.col("_leader").alias("_rep")).union(pairs.select("_member")).distinct()
-    texts = written(texts_of(df, ids.withColumnRenamed("_rep", "_key"), key, text).withColumnRenamed("_key", "_rep"), "texts", tag)
-    return written(verified(pairs, texts.dropDuplicates(["_rep"]), similarity), "links", tag)
+    texts = written(texts_of(df, ids.withColumnRenamed("_rep", "_key"), key, text).withColumnRenamed("_key", "_rep").dropDuplicates(["_rep"]), "texts", tag)
+    return written(verified(pairs, texts, similarity), "links", tag)
 
 
 def pairs_in(members: DataFrame, similarity: float) -> DataFrame:

@@ -123,6 +123,21 @@ def test_large_buckets_lose_nothing(spark, monkeypatch, counters):
     assert got == brute_classes(docs) and 30 < len(set(got.values())) < len(docs)
 
 
+def test_bags_of_similar_texts_are_close():
+    rng = random.Random(8)
+    hashes = lambda ws: N.words(N.flat(pa.array([" ".join(ws)]))).hashes
+    for _ in range(200):
+        a = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(7, 80))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), int(0.15 * len(a))):
+            b[at] = rng.choice(["", f"w{rng.randrange(40)}", f"{b[at]} x"])
+        y = words_of(" ".join(b))
+        longer = max(len(a), len(y))
+        if edits(a, y) <= N.allowed(len(a), len(y), 0.85):
+            bags = [np.frombuffer(N.bag_of(hashes(ws)), "<u2") for ws in (a, y)]
+            assert N.may_be_similar(bags[0], bags[1][None], np.array([longer]), 0.85).all()
+
+
 def test_rare_words_meet():
     """Whatever the counters say, texts within the edits have one of their first words in common."""
     rng = random.Random(5)
