@@ -94,7 +94,7 @@ class Tables:
         return out
 
 
-def fitted_probes(tables: Tables, sample: np.ndarray, total: int, k: int) -> int:
+def fitted_probes(tables: Tables, sample: np.ndarray, total: int, k: int) -> int | None:
     """The least number of probes with which queries of the sample find enough of their true nearest.
 
     As a sample is thinner than the table, only so many neighbours are asked for as fall into it. Equal vectors count
@@ -120,7 +120,7 @@ def fitted_probes(tables: Tables, sample: np.ndarray, total: int, k: int) -> int
             best = np.minimum(best, np.where(probes[order][place] == cell[at], order[place], len(tables.sets)))
         needed.append(best)
     needed = np.concatenate(needed)
-    return next((p for p in PROBES if (needed < p).mean() >= TARGET), PROBES[-1])
+    return next((p for p in PROBES if (needed < min(p, len(tables.sets))).mean() >= TARGET), None)
 
 
 class Block:
@@ -198,7 +198,8 @@ def _in_blocks(stored: DataFrame, asked: DataFrame, size: int, blocks: int, k: i
 def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, tag: str = "query") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose key is divisible by ``every``, among all others.
 
-    A query whose buckets hold fewer than ``k`` others is compared with all rows. Vectors that are null, zero or hold null or non-finite
+    A query whose buckets hold fewer than ``k`` others is compared with all rows, and so is every query where no number of
+    probes finds enough on the sample. Vectors that are null, zero or hold null or non-finite
     components take no part, and vectors of another length than the most frequent one, which have no inner product with the
     others, don't either. Repeated rows of a query are one query, and a query doesn't find rows of its own key; other
     repeated rows are found one by one. Other columns are ignored. An empty table gives no rows.
@@ -229,7 +230,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     def visited(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             queries = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            yield pa.array([shared.value.probes(q, count) for q in queries], pa.list_(pa.list_(pa.int64())))
+            yield pa.array([shared.value.probes(q, count or 1) for q in queries], pa.list_(pa.list_(pa.int64())))
 
     def block_of(table, cell, part):
         return F.xxhash64(table, F.pmod(cell, F.lit(blocks)), part)
@@ -251,6 +252,8 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
         more = more.select("_id", "_x", "_table", "_cell", F.explode(F.sequence(F.lit(1), F.col("_parts"))).alias("_part"))
         sent = sent.unionByName(more.select("_id", "_x", "_table", F.xxhash64("_table", "_cell", "_part").alias("_block"), F.array("_cell").alias("_cells")))
     found = written(_merged(_in_blocks(placed, sent, size, TABLES * blocks, k)), "found", tag)
+    if count is None:
+        found = found.limit(0)
     complete = found.groupBy("query_id").agg(F.sum("copies").alias("_found")).where(F.col("_found") >= k).select(F.col("query_id").alias("_id"))
     few = written(queries.join(complete, "_id", "left_anti"), "few", tag)
     if not few.isEmpty():
