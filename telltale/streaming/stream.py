@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.operators.prose import with_features
+from telltale.sources.stores import batch_writer, batches, new_folder
 
 
 def scored(stream: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
@@ -29,7 +28,9 @@ def window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[0]}*{name[1:]}")
     told = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", F.lit("We delve into"), "event_type", F.col("props")).alias("text"))
-    sink = f"verdicts_{uuid.uuid4().hex}"
-    query = verdict_counts(scored(told, lang="en"), "ts", "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
+    sink = new_folder(spark, "verdicts")
+    counts = verdict_counts(scored(told, lang="en"), "ts", "1 day", "1 hour")
+    query = counts.writeStream.outputMode("complete").foreachBatch(batch_writer(sink)).option("checkpointLocation", new_folder(spark, "verdicts-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(sink)
+    told = batches(spark, sink, "window_start timestamp, verdict string, n long, batch long")
+    return told.where(F.col("batch") == told.agg(F.max("batch")).first()[0]).drop("batch")  # each batch has all windows
