@@ -7,8 +7,9 @@ similarity of 0.85. Two texts that differ in 15 % of their words, spread evenly,
 agree in a sketch with a probability of 0.08; those that agree in two of 56 or more are candidates.
 
 Exact copies are one representative first. Texts that share a sketch are a bucket. Each member is compared with its bucket's
-leader, by a join, whatever the bucket's size, and classes are the components of the links. Candidates still in different
-classes are then compared within their buckets. Members of large buckets, which often have no more than a passage in common, meet only if
+leader, by a join, whatever the bucket's size, and classes are the components of the links. Of a text's leaders one comes first, as those of
+a large group of copies, one for each sketch, would mostly say the same again; with the others it is compared where its class is
+still another one. Candidates still in different classes are then compared within their buckets. Members of large buckets, which often have no more than a passage in common, meet only if
 they share one of their rarest words, as all similar texts do (``rare_words``), so the work grows with the rare words of these texts and not
 with the square of the bucket. Of each text the words are counted by 1,024 numbers; two texts whose counts are too far apart can't
 be similar and are told apart without their words. What is left is aligned in tiles, so that a text moves once for many pairs.
@@ -233,6 +234,11 @@ def leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(close & (agreed(F.col("_bits"), F.col("_lead_bits")) >= LEAST_AGREED)).select("_leader", F.col("_rep").alias("_member"))
 
 
+def foremost(pairs: DataFrame) -> DataFrame:
+    """Of the ``pairs`` (``_leader, _member``) of each member the one whose leader comes first in the order of ``_order``, which a large group has in common."""
+    return pairs.groupBy("_member").agg(F.min_by("_leader", F.xxhash64("_leader")).alias("_leader")).select("_leader", "_member")
+
+
 def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
     """``_leader, _member`` of all candidates of different classes in a bucket, from rows ``_bucket, _rep, _bits, n_words,
     _class, bag``; a task holds a bucket, so pass small ones. Only pairs whose words may be similar come out."""
@@ -402,6 +408,24 @@ def components(links: DataFrame, tag: str = "query") -> DataFrame:
     return stars.union(edges.select("v", "v").distinct()).toDF("_node", "_class")
 
 
+def with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``_leader, _member`` and the classes ``_a, _b`` of both; a text without any is its own."""
+    left, right = classes.toDF("_leader", "_a"), classes.toDF("_member", "_b")
+    named = pairs.join(left, "_leader", "left").join(right, "_member", "left")
+    return named.select("_leader", "_member", F.coalesce("_a", "_leader").alias("_a"), F.coalesce("_b", "_member").alias("_b"))
+
+
+def united(classes: DataFrame, links: DataFrame, tag: str = "query") -> DataFrame:
+    """A written table of the ``classes`` (``_node, _class``) that further ``links`` leave.
+
+    Only the classes that are linked are traversed, not their members.
+    """
+    named = written(with_classes(links, classes), "named", tag)
+    nodes = classes.union(named.select("_leader", "_a")).union(named.select("_member", "_b")).distinct()
+    joined = components(named.select(F.col("_a").alias("_leader"), F.col("_b").alias("_member")), tag).toDF("_class", "_joined")
+    return written(nodes.join(joined, "_class", "left").select("_node", F.coalesce("_joined", "_class").alias("_class")), "classes", tag)
+
+
 def _links(df: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float, tag: str) -> DataFrame:
     """A written table of those of ``pairs`` whose texts in ``df`` are similar enough."""
     ids = pairs.select(F.col("_leader").alias("_rep")).union(pairs.select("_member")).distinct()
@@ -448,7 +472,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     full = reps.where(F.col("n_words") >= least).select("_rep", F.xxhash64("_rep").alias("_order"), bits.alias("_bits"), "n_words", F.explode("sketches").alias("_bucket"))
     members = with_leaders(full, tag)
     pairs = written(leader_pairs(members, similarity), "pairs", tag)
-    tested, classes = pairs, components(_links(df, pairs, key, text, similarity, tag), tag)
+    tested = written(foremost(pairs), "foremost", tag)
+    classes = written(components(_links(df, tested, key, text, similarity, tag), tag), "classes", tag)
 
     def compared(pairs: DataFrame) -> None:
         """Links that are found among ``pairs`` join their classes."""
@@ -459,7 +484,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         tested = tested.union(pairs)
         links = _links(df, pairs, key, text, similarity, tag)
         if not links.isEmpty():
-            classes = components(classes.toDF("_leader", "_member").union(links), tag)
+            classes = united(classes, links, tag)
 
     def mixed(members: DataFrame) -> DataFrame:
         """Members of buckets with several classes, with ``_class``."""
@@ -467,6 +492,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         several = named.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("_bucket")
         return written(named.join(several, "_bucket", "left_semi"), "mixed", tag)
 
+    compared(with_classes(pairs, classes).where("_a <> _b").select("_leader", "_member"))
     bags = reps.select("_rep", "bag")
     left = mixed(members)
     compared(pairs_in(left.where(F.col("_n") <= BUCKET).join(bags, "_rep"), similarity))

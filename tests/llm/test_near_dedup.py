@@ -193,6 +193,44 @@ def test_star_of_inserts_matches_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_large_group_of_near_copies_is_as_many_edges_as_texts(spark, monkeypatch):
+    rng = random.Random(14)
+    new = lambda: f"w{rng.randrange(10**6)}"
+    base, docs = [new() for _ in range(120)], {}
+    for k in range(100):
+        own = list(base)
+        for at in rng.sample(range(120), 4):
+            own[at] = new()
+        docs[k] = " ".join(own)
+    edges, whole = [], N.written
+
+    def counted(df, name, tag="query"):
+        out = whole(df, name, tag)
+        if name == "edges":
+            edges.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r[0]: r[1] for r in N.near_duplicates(df).select("doc_id", "class_id").collect()}
+    assert got == brute_classes(docs)
+    assert max(edges) < len(docs), edges
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_united_by_further_links(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(60)]
+    table = lambda rows: spark.createDataFrame(rows, "_leader long, _member long")
+    classes = N.united(N.components(table(pairs[:25])), table(pairs[25:]))
+    parent = list(range(60))
+    for a, b in pairs * 60:
+        parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r[0]: r[1] for r in classes.collect()}
+    assert classes.count() == len(got) and {a for x in pairs for a in x} >= set(got)
+    assert [got.get(x, x) for x in range(60)] == parent
+
+
 def test_empty_null_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).count() == 0
