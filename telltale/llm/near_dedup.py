@@ -241,8 +241,14 @@ def foremost(pairs: DataFrame) -> DataFrame:
 
 def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
     """``_leader, _member`` of all candidates of different classes in a bucket, from rows ``_bucket, _rep, _bits, n_words,
-    _class, bag``; a task holds a bucket, so pass small ones. Only pairs whose words may be similar come out."""
-    kind = members.schema["_rep"].dataType
+    _class, bag``; a task holds a bucket, so pass small ones. Only pairs whose words may be similar come out.
+
+    With ``sketches`` (buckets are theirs then) a pair comes out of the bucket of the first one that both have, and of no other."""
+    kind, once = members.schema["_rep"].dataType, "sketches" in members.columns
+
+    def each(column: pa.Array) -> list[np.ndarray]:
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -253,12 +259,18 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
             lengths = np.array([x[2] for x in held])
             bits = np.array([x[1] for x in held], np.int8)
             bags = np.frombuffer(b"".join(x[4] for x in held), "<u2").reshape(len(held), BAG)
+            if once:  # a sketch that a text doesn't have differs from any other's
+                drawn = np.repeat(np.arange(len(held))[:, None], _ALL, axis=1)
+                for row, x in zip(drawn, held):
+                    row[: len(x[5])] = x[5]
             left, right = [], []
             for i in range(len(held) - 1):
                 at = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
                 most = np.floor((1 - similarity) * np.maximum(lengths[at], lengths[i]) + 1e-9)
                 at = at[np.abs(lengths[at] - lengths[i]) <= most]
                 at = at[(bits[at] == bits[i]).sum(axis=1) >= LEAST_AGREED]
+                if once:
+                    at = at[drawn[i][(drawn[at] == drawn[i]).argmax(axis=1)] == bucket]
                 at = at[may_be_similar(bags[i], bags[at], np.maximum(lengths[at], lengths[i]), similarity)]
                 left.extend([held[i][0]] * len(at))
                 right.extend(held[j][0] for j in at.tolist())
@@ -267,7 +279,8 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             arrow = batch.schema.field(1).type
             for start in range(0, batch.num_rows, 1000):
-                for b, *row in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                columns = batch.slice(start, 1000).columns
+                for b, *row in zip(*(c.to_pylist() for c in columns[:6]), *map(each, columns[6:])):
                     if b != bucket:
                         if len(held) > 1:
                             yield found()
@@ -278,7 +291,7 @@ def pairs_across(members: DataFrame, similarity: float) -> DataFrame:
 
     spread = members.repartition(partitions(members.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_rep")
     schema = T.StructType([T.StructField("_leader", kind), T.StructField("_member", kind)])
-    told = spread.select("_bucket", "_rep", "_bits", "n_words", "_class", "bag").mapInArrow(tidied(pair), schema)
+    told = spread.select("_bucket", "_rep", "_bits", "n_words", "_class", "bag", *(["sketches"] if once else [])).mapInArrow(tidied(pair), schema)
     return told.select(F.least("_leader", "_member").alias("_leader"), F.greatest("_leader", "_member").alias("_member")).distinct()
 
 
@@ -387,11 +400,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def components(links: DataFrame, tag: str = "query") -> DataFrame:
     """``_node, _class`` (the smallest node it is connected with) of all nodes in ``_leader, _member`` pairs.
 
-    Alternates large-star and small-star steps; each round is written, and only its number of edges and their hash reach
-    the driver.
+    Alternates large-star and small-star steps until all edges are stars; each round is written, and only the number of nodes that
+    aren't the end or the middle of a star reaches the driver.
     """
     edges = links.select(F.greatest("_leader", "_member").alias("u"), F.least("_leader", "_member").alias("v")).where("u <> v").distinct()
-    edges, known = written(edges, "edges", tag), None
+    edges = written(edges, "edges", tag)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -400,10 +413,10 @@ def components(links: DataFrame, tag: str = "query") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges", tag)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == known or not state[0]:
+        ends = edges.select(F.col("u").alias("_node"), F.lit(1).alias("_up"), F.lit(0).alias("_down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        told = ends.groupBy("_node").agg(F.sum("_up").alias("_up"), F.max("_down").alias("_down"))
+        if told.where("_up + _down > 1").isEmpty():
             break
-        known = state
     stars = edges.select(F.col("u").alias("_node"), F.col("v").alias("_class"))
     return stars.union(edges.select("v", "v").distinct()).toDF("_node", "_class")
 
@@ -495,7 +508,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     compared(with_classes(pairs, classes).where("_a <> _b").select("_leader", "_member"))
     bags = reps.select("_rep", "bag")
     left = mixed(members)
-    compared(pairs_in(left.where(F.col("_n") <= BUCKET).join(bags, "_rep"), similarity))
+    # a pair whose first common sketch is that of a large bucket meets there, by its rare words
+    compared(pairs_across(left.where(F.col("_n") <= BUCKET).join(reps.select("_rep", "bag", "sketches"), "_rep"), similarity))
     large = left.where(F.col("_n") > BUCKET).drop("_class")
     if not large.isEmpty():
         held = mixed(large).select("_rep", "_order", "_bits", "n_words", "_class").dropDuplicates(["_rep"])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from telltale.llm import near_dedup as N
 
@@ -217,6 +218,21 @@ def test_large_group_of_near_copies_is_as_many_edges_as_texts(spark, monkeypatch
     assert max(edges) < len(docs), edges
 
 
+def test_a_pair_comes_out_of_one_bucket(spark):
+    rng = random.Random(15)
+    drawn = {k: [10 * i + rng.randrange(3) for i in range(N.SKETCHES + 16 * (k % 2))] for k in range(12)}
+    bag = bytearray(b"\0\0" * N.BAG)
+    rows = [(b, k, [x % 10 for x in s] + [0] * (N._ALL - len(s)), 30, k // 2, bag, s) for k, s in drawn.items() for b in s]
+    df = spark.createDataFrame(rows, "_bucket long, _rep long, _bits array<tinyint>, n_words long, _class long, bag binary, sketches array<long>")
+    out, plain = [], DataFrame.distinct
+    DataFrame.distinct = lambda x: (out.append(x.collect()), plain(x))[1]
+    try:
+        got = {tuple(r) for r in N.pairs_across(df, 0.0).collect()}
+    finally:
+        DataFrame.distinct = plain
+    assert got == {(a, b) for b in drawn for a in range(b) if a // 2 != b // 2} and len(out[0]) == len(got)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_classes_united_by_further_links(spark, seed):
     rng = random.Random(seed)
