@@ -112,6 +112,28 @@ def test_bytes_match_brute_force(spark, monkeypatch, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("by_word", [False, True])
+def test_one_passage_in_very_many_contexts_is_sorted_in_small_arrays(spark, monkeypatch, by_word):
+    monkeypatch.setattr(suffix_dedup, "SEGMENTS", 20)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6)))
+    passage = " ".join(word() for _ in range(60 if by_word else 140))[:420]
+    docs = {k: " ".join([*(word() for _ in range(rng.randrange(3))), passage, *(word() for _ in range(rng.randrange(3)))]) for k in range(300)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    sorted_, most = suffix_dedup._sorted, []
+
+    def watched(segments, length, by_word):
+        most.append(max([r["count"] for r in segments.groupBy("h").count().collect()], default=0))
+        return sorted_(segments, length, by_word)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted", watched)
+    if by_word:
+        assert {r.doc_id: r.text for r in suffix_dedup.clean(df).collect()} == without_repeats(docs, 50)
+    else:
+        assert {r.doc_id: (r.n, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect()} == brute_bytes(docs, 400)
+    assert max(most) <= 20
+
+
 def without_repeats(docs, window):
     """The texts without the words of windows that also start elsewhere; a removed word takes the white space after it along."""
     places = {k: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for k, t in docs.items()}
