@@ -46,3 +46,11 @@ def test_entry(spark):
 def test_stream(spark):
     rows = entry.queries()["event_window_verdicts"](spark, SF).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_marks_are_computed_once(spark):
+    """No filter on the array of marks may go below the projection that computes it."""
+    told = entry.queries()["marked_spans"](spark, SF)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
+    rows = {r.category: (r.n, r.chars) for r in told.collect()}
+    assert len(rows) > 5 and all(n > 0 and chars >= n for n, chars in rows.values())
