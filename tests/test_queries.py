@@ -54,3 +54,11 @@ def test_marks_are_computed_once(spark):
     assert told._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
     rows = {r.category: (r.n, r.chars) for r in told.collect()}
     assert len(rows) > 5 and all(n > 0 and chars >= n for n, chars in rows.values())
+
+
+def test_files_are_lexed_once(spark):
+    """Comments, docstrings and the code beside them come from one pass over the lexer's rows."""
+    told = entry.queries()["restated_rows"](spark, SF)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("LexSource(") == 1
+    got = {tuple(r) for r in told.collect()}
+    assert got == set(duckdb.sql(entry.oracle_sql()["restated_rows"].replace("FROM documents", f"FROM '{SF}/documents.parquet'")).fetchall()) and len(got) > 100
